@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import mixing, packing, topk
+from delimlake.llm import langid, licenses, mixing, packing, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,28 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.size_of(F.col("text")), packing.text_cluster(F.col("text")))
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(manifest, payloads=False)
+    return records.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.predict(F.col("text"), langid.fit(docs)).alias("p"))
+    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantize(F.col("embedding")).alias("vector"))
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -32,8 +54,23 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_exact_top_k, op8_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_warc_archives, op4_license_scan, op6_language_id, op7_exact_top_k, op8_source_mixing)}
+
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p
+), d AS (
+  SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: right(bin(CAST(strpos('0123456789abcdef', c) - 1 + 16 AS INTEGER)), 4)), '') AS bits FROM b
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) * (1 << (4 - CAST(j AS INTEGER))))) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN best IS NULL OR page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best IS NULL OR page_id IS NOT DISTINCT FROM best THEN NULL ELSE best END AS refers_to
+FROM d
+"""
 
 OP7_SQL = """
 WITH v AS (
@@ -91,4 +128,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op3_warc_archives": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
