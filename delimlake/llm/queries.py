@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import langid, licenses, mixing, packing, topk, warc
+from delimlake.llm import langid, licenses, mixing, packing, secrets, spotsigs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, packing.size_of(F.col("text")), packing.text_cluster(F.col("text")))
@@ -53,8 +57,87 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_warc_archives, op4_license_scan, op6_language_id, op7_exact_top_k, op8_source_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_warc_archives, op4_license_scan, op6_language_id, op7_exact_top_k, op8_source_mixing, op9_spotsigs_fingerprints)}
+
+
+def _op1_sql() -> str:
+    each = []
+    for no, (kind, (_, group, least, part)) in enumerate(secrets.KINDS.items()):
+        p = secrets._pattern(kind).replace("'", "''")
+        each.append(
+            f"SELECT rn, {no} AS no, '{kind}' AS kind, '{part}' AS part, i, "
+            f"length(string_split_regex(t, '{p}')[i]) AS gap, length(regexp_extract_all(t, '{p}', 0)[i]) AS size, "
+            f"length(regexp_extract_all(t, '{p}', {group})[i]) >= {least} AS counts "
+            f"FROM (SELECT rn, t, unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) AS i FROM d)"
+        )
+    scope = secrets.SCOPE
+    near = f"r.rn = l.rn AND r.s <= l.e + {scope} AND r.e >= l.s - {scope} AND NOT (r.s < l.e AND r.e > l.s)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(each)}),
+p AS (
+  SELECT rn, no, kind, part, e - size AS s, e FROM (
+    SELECT *, sum(gap + size) OVER (PARTITION BY rn, kind ORDER BY i) AS e FROM m
+  ) WHERE counts
+),
+w AS (SELECT * FROM p l WHERE part = 'weak' AND NOT EXISTS (SELECT 1 FROM p r WHERE r.part = 'base' AND r.rn = l.rn AND r.s < l.e AND r.e > l.s)),
+a AS (SELECT * FROM p WHERE part = 'anchor' OR kind = 'access'),
+x AS (SELECT * FROM w l WHERE EXISTS (SELECT 1 FROM a r WHERE {near})),
+y AS (SELECT * FROM a l WHERE part = 'anchor' AND EXISTS (SELECT 1 FROM x r WHERE {near})),
+f AS (SELECT * FROM p WHERE part = 'base' UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y),
+g AS (
+  SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, no) FILTER (part = 'base') AS base,
+         string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, no) AS spans, count(*) FILTER (part <> 'base') AS n_linked
+  FROM f GROUP BY rn
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN g USING (rn)
+"""
+
+
+def _op9_sql() -> str:
+    anchors = ", ".join(f"'{x}'" for x in spotsigs.ANCHORS)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rn, doc_id, coalesce(text, '') AS text FROM documents
+), e AS (
+  SELECT d.*, length(d.text) AS n, coalesce(lead(text) OVER (ORDER BY rn), first_value(text) OVER (ORDER BY rn)) AS next_text FROM d
+), t AS (
+  SELECT rn, 0 AS edited, text FROM e
+  UNION ALL SELECT rn, 1, concat(substr(text, 1, n - n // 2), substr(next_text, 1, n // 2)) FROM e
+), w AS (
+  SELECT rn, edited, concat(' ', trim(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS words FROM t
+), u AS (
+  SELECT rn, edited, unnest(string_split(trim(words), ' ')) AS word, unnest(range(len(string_split(trim(words), ' ')))) AS pos FROM w
+), c AS (
+  SELECT *, word IN ({anchors}) AS anchor, CASE WHEN word IN ({anchors}) THEN NULL ELSE pos END AS at, CASE WHEN word IN ({anchors}) THEN NULL ELSE word END AS content FROM u
+), l AS (
+  SELECT *, lead(content, 1 IGNORE NULLS) OVER o AS c1, lead(at, 1 IGNORE NULLS) OVER o AS p1, lead(content, 2 IGNORE NULLS) OVER o AS c2, lead(at, 2 IGNORE NULLS) OVER o AS p2
+  FROM c WINDOW o AS (PARTITION BY rn, edited ORDER BY pos)
+), s AS (
+  SELECT DISTINCT rn, edited, substr(md5(concat(word, ' ', c1, ' ', c2, ' ')), 1, 8) AS h
+  FROM l WHERE anchor AND p2 IS NOT NULL AND p1 - pos - 1 <= {spotsigs.SKIP} AND p2 - p1 - 1 <= {spotsigs.SKIP}
+), g AS (
+  SELECT w.rn, w.edited, coalesce(any_value(x.hs), [substr(md5(any_value(w.words)), 1, 8)]) AS hs
+  FROM w LEFT JOIN (SELECT rn, edited, list(h ORDER BY h) AS hs FROM s GROUP BY ALL) x USING (rn, edited) GROUP BY w.rn, w.edited
+), j AS (
+  SELECT e.rn, e.doc_id, e.n, sha256(t.text) AS sha, a.hs AS fa, b.hs AS fb, coalesce(nx.hs, f.hs) AS fn
+  FROM e JOIN t ON t.rn = e.rn AND t.edited = 1 JOIN g a ON a.rn = e.rn AND a.edited = 0 JOIN g b ON b.rn = e.rn AND b.edited = 1
+  LEFT JOIN g nx ON nx.rn = e.rn + 1 AND nx.edited = 0 JOIN g f ON f.rn = 1 AND f.edited = 0
+)
+SELECT doc_id, n AS n_chars, sha AS edited_sha256,
+       concat(len(fa), ':', array_to_string(fa, ',')) AS fingerprint, concat(len(fb), ':', array_to_string(fb, ',')) AS edited_fingerprint,
+       CAST(len(list_intersect(fa, fb)) AS DOUBLE) / (len(fa) + len(fb) - len(list_intersect(fa, fb))) AS near_edited,
+       CAST(len(list_intersect(fa, fn)) AS DOUBLE) / (len(fa) + len(fn) - len(list_intersect(fa, fn))) AS near_next
+FROM j
+"""
 
 
 OP3_SQL = """
@@ -128,4 +211,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archives": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
