@@ -117,9 +117,9 @@ WITH d AS (
 ), u AS (
   SELECT rn, edited, unnest(string_split(trim(words), ' ')) AS word, unnest(range(len(string_split(trim(words), ' ')))) AS pos FROM w
 ), c AS (
-  SELECT *, word IN ({anchors}) AS anchor, CASE WHEN word IN ({anchors}) THEN NULL ELSE pos END AS at, CASE WHEN word IN ({anchors}) THEN NULL ELSE word END AS content FROM u
+  SELECT *, word IN ({anchors}) AS anchor, CASE WHEN word IN ({anchors}) THEN NULL ELSE pos END AS spot, CASE WHEN word IN ({anchors}) THEN NULL ELSE word END AS content FROM u
 ), l AS (
-  SELECT *, lead(content, 1 IGNORE NULLS) OVER o AS c1, lead(at, 1 IGNORE NULLS) OVER o AS p1, lead(content, 2 IGNORE NULLS) OVER o AS c2, lead(at, 2 IGNORE NULLS) OVER o AS p2
+  SELECT *, lead(content, 1 IGNORE NULLS) OVER o AS c1, lead(spot, 1 IGNORE NULLS) OVER o AS p1, lead(content, 2 IGNORE NULLS) OVER o AS c2, lead(spot, 2 IGNORE NULLS) OVER o AS p2
   FROM c WINDOW o AS (PARTITION BY rn, edited ORDER BY pos)
 ), s AS (
   SELECT DISTINCT rn, edited, substr(md5(concat(word, ' ', c1, ' ', c2, ' ')), 1, 8) AS h

@@ -81,7 +81,10 @@ def find_parts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("doc_id"), t.alias("__t"))
     rows = rows.select("row", "doc_id", *[matches(F.col("__t"), _pattern(k), v[1], v[2]).alias(k) for k, v in KINDS.items()])
     rows = cut(rows)
-    tagged = [F.transform(F.col(k), lambda x, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("no"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value"))) for k in KINDS]
+    def tag(kind):
+        return F.transform(F.col(kind), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
+
+    tagged = [tag(k) for k in KINDS]
     some = F.lit(False)
     for k in KINDS:
         some = some | (F.size(k) > 0)
