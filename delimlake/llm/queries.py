@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import langid, licenses, mixing, packing, secrets, spotsigs, topk, warc
+from delimlake.llm import jaccard, langid, licenses, linededup, mixing, packing, secrets, spotsigs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.predict(F.col("text"), langid.fit(docs)).alias("p"))
@@ -61,8 +65,25 @@ def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_warc_archives, op4_license_scan, op6_language_id, op7_exact_top_k, op8_source_mixing, op9_spotsigs_fingerprints)}
+    every = (
+        op1_secret_scan,
+        op2_best_fit_packing,
+        op3_warc_archives,
+        op4_license_scan,
+        op5_ngram_jaccard_join,
+        op6_language_id,
+        op7_exact_top_k,
+        op8_source_mixing,
+        op9_spotsigs_fingerprints,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _op1_sql() -> str:
@@ -155,6 +176,28 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rn, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT rn, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))
+                                  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (
+  SELECT w.rn, doc_id, count(g) AS n FROM w LEFT JOIN s USING (rn) GROUP BY w.rn, doc_id
+), p AS (
+  SELECT a.rn AS a, b.rn AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.rn <> b.rn GROUP BY a.rn, b.rn
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.rn = a JOIN n y ON y.rn = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), r(rn, m) AS (
+  SELECT rn, rn FROM n UNION SELECT r.rn, e.b FROM r JOIN e ON e.a = r.m
+)
+SELECT n.doc_id, n.n AS n_shingles, min(o.doc_id) AS component_id
+FROM n JOIN r ON r.rn = n.rn JOIN n o ON o.rn = r.m GROUP BY n.rn, n.doc_id, n.n
+"""
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -211,4 +254,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
