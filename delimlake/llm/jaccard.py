@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
-from delimlake.llm.common import attach, cut
+from delimlake.llm.common import WORD, attach, cut
 from delimlake.llm.links import resolve
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
@@ -126,7 +126,7 @@ def _texts(column):
 
 
 def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, sig): size and signature of each document's set; sig is null where it is empty."""
+    """(doc_id, content, n, sig): a hash of the text, size and signature of its set; sig is null where it is empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -134,13 +134,14 @@ def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS)
         shingler = Shingler(words)
         for b in batches:
             n, sig = [], []
-            for _, s in shingler.sets(*_texts(b.column(1))):
+            for _, s in shingler.sets(*_texts(b.column(2))):
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "content", "n", "sig"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, n long, sig binary")
+    rows = docs.select(F.col(ident).alias("doc_id"), F.xxhash64(text), F.col(text).cast("string"))
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, n long, sig binary")
 
 
 def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -260,3 +261,24 @@ def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "t
     out = attach(classes, by_sig, ["sig"])
     named = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component: its smallest ident (null last), then by a hash of the text.
+
+    Documents with an empty set all stay. Of rows that agree in ident and text one stays.
+    """
+    classes = cut(document_classes(docs, ident, text, words))
+    labels = class_labels(docs, classes, text, words, percent).toDF("sig", "label")
+    keys = {"__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__content": F.col("content")}
+    rows = attach(classes.withColumns(keys), labels, ["sig"])
+    at = F.struct(*keys)
+    best = rows.where("sig is not null").groupBy(F.coalesce("label", "sig").alias("label")).agg(F.min(at).alias("at"), F.count("*").alias("held"))
+    stay = best.select("at.*").union(rows.where("sig is null").select(*keys).distinct())
+    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": F.coalesce(F.col(ident), F.lit(0)), "__content": F.xxhash64(text)})
+    out = named.join(stay, list(keys), "left_semi")
+    again = classes.where("sig is not null").groupBy("doc_id", "content").count().where("count > 1")
+    if not again.isEmpty():
+        wordy = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+        out = out.where(wordy).dropDuplicates(list(keys)).union(out.where(~wordy))
+    return out.drop(*keys)
