@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run of anything but ASCII white space.
@@ -56,8 +56,12 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left"
     return out.drop(place)
 
 
-def _same(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _told(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """df cut, with its row count and a checksum of its edges, taken while it is written."""
+    told = Observation()
+    seen = df.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"))
+    out = cut(seen)
+    return out, (told.get["n"], told.get["h"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -68,12 +72,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbour, until nothing moves. A logarithmic number of rounds, each over
     the edges alone; no component meets in one task.
     """
-    e = cut(
+    e, state = _told(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    state = _same(e)
     while state[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -85,8 +88,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = attach(large, least, ["u"], "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        new = _same(e)
+        e, new = _told(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if new == state:
             break
         state = new

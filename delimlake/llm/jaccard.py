@@ -29,8 +29,6 @@ from delimlake.llm.links import resolve
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are hashed at once (or one longer text).
 BLOCK = 1 << 18
-#: Shared tokens of the prefix, rarest first, that the pivot rounds look at.
-PIVOTS = 3
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -240,7 +238,7 @@ def class_labels(docs: DataFrame, classes: DataFrame, text: str, words: int = WO
         best = 1 + F.least(F.col(f"{l}.rest"), F.col(f"{r}.rest"))
         return sizes & (100 * best >= percent * (n + m - best))
 
-    return resolve(posts, ranked.select("gid", "node"), lambda p: verified(p, sets, percent), near, f"pos < {PIVOTS}")
+    return resolve(posts, ranked.select("gid", "node"), lambda p: verified(p, sets, percent), near)
 
 
 def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -177,7 +177,7 @@ def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) ->
         return rows.where(similar(F.col("la"), F.col("lb"), percent)).select("a", "b")
 
     members = named.select("gid").distinct().select("gid", F.col("gid").alias("node"))
-    return resolve(named, members, verify)
+    return resolve(named, members, verify, share=4)
 
 
 def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -1,11 +1,12 @@
 """From candidate postings to classes of linked nodes, without all pairs of a group.
 
 Candidates are the pairs of nodes that share a key. Only connectivity is asked
-for, so a pair whose nodes are already connected need not be verified. First
-each node of a key is verified against one pivot; components of the links found
-leave few keys with several components. Rounds with other pivots go on while
-many pairs are left, and a last round verifies every remaining pair of different
-components. No candidate is dropped: each is verified, or connected already.
+for, so a pair whose nodes are already connected need not be verified. Each
+round deals the postings of a key into small blocks by a hash, verifies the
+pairs within blocks and takes the components of all links so far; a key with
+many nodes thus costs a few pairs a node, in many tasks. When few candidates of
+different components are left, or rounds stop helping, a last round verifies
+all of them. No candidate is dropped: each is verified, or connected already.
 """
 
 from __future__ import annotations
@@ -17,8 +18,19 @@ from pyspark.sql import functions as F
 
 from delimlake.llm.common import attach, components, cut
 
-#: Pairs a node that may be left for the last round, and rounds at most.
-LEFT, ROUNDS = 32, 8
+#: Postings of a block, in the first round and in further ones.
+BLOCK, MORE_BLOCK = 8, 32
+#: Candidates a node, counted once for each key, that are left to the last round at once; above it
+#: rounds go on while they help.
+LEFT, ROUNDS, HELPS = 512, 6, 0.8
+
+
+def _block(size: int, turn: int) -> Column:
+    return F.pmod(F.xxhash64("gid", "key", F.lit(turn)), F.ceil(F.col("entries") / size)).alias("block")
+
+
+def _turn(share: int, turn: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(share)) == turn % share
 
 
 def resolve(
@@ -26,54 +38,60 @@ def resolve(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     near: Callable[[str, str], Column] | None = None,
-    first: str = "true",
+    share: int = 8,
 ) -> DataFrame:
     """(node, label) of all nodes that have a link; label is the smallest node of the component.
 
     posts(key, gid, ...): groups of nodes by key; members(gid, node). Nodes of
     a group are candidates of each other and share all its keys. verify turns
     pairs (a, b) into the links among them; near(l, r), over the aliases of two
-    rows of posts, may rule out a pair of groups beforehand; first is the SQL
-    condition of the posts that the pivot rounds use.
+    rows of posts, may rule out a pair of groups beforehand; a round before the
+    last looks at one of `share` keys.
     """
+    may = near or (lambda l, r: F.lit(True))
     members = cut(members)
     reps = members.groupBy("gid").agg(F.min("node").alias("rep"))
-    keyed = posts.where(first).select("key", "gid").join(reps, "gid").select("key", "rep")
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("key", "a")
-    pairs = attach(keyed, pivots, ["key"], "inner").select("a", F.col("rep").alias("b"))
-    pairs = pairs.union(attach(members, reps, ["gid"], "inner").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-    links = cut(verify(pairs.where("a != b").distinct()))
-    nodes = members.count()
-    for turn in range(ROUNDS + 1):
+    chosen = posts.where(_turn(share, 0))
+    many = chosen.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1")
+    dealt = attach(chosen, many, ["key"], "inner").join(reps, "gid").withColumn("block", _block(BLOCK, 0))
+    pairs = _inside(dealt, (F.col("l.gid") < F.col("r.gid")) & may("l", "r"))
+    inner = attach(members, reps, ["gid"], "inner").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    links = cut(verify(pairs.union(inner).distinct()))
+    nodes, was = members.count(), None
+    for turn in range(1, ROUNDS + 1):
         labels = components(links)
         known = cut(members.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label")))
         groups = known.groupBy("gid", "label").agg(F.min("node").alias("rep"), F.count("*").alias("held"))
-        entries = cut(posts.join(groups, "gid"))
-        sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"))
-        keys = sums.groupBy("key").agg(F.max(F.struct("held", "label"))["label"].alias("major"), F.sum("held").alias("total"), F.count("*").alias("labels"))
+        entries = posts.join(groups, "gid")
+        sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"), F.count("*").alias("n"))
+        keys = sums.groupBy("key").agg(F.max(F.struct("held", "label"))["label"].alias("major"), F.sum("held").alias("total"), F.sum("n").alias("entries"), F.count("*").alias("labels"))
         mixed = cut(attach(entries, keys.where("labels > 1").drop("labels"), ["key"], "inner"))
         left = mixed.where("label != major").agg(F.sum(F.col("held") * F.col("total"))).first()[0]
         if not left:
             return labels
-        if left <= LEFT * nodes or turn == ROUNDS:
+        if left <= LEFT * nodes or turn == ROUNDS or was is not None and left > HELPS * was:
             break
-        draw = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))
-        pivots = mixed.where("label = major").groupBy("key").agg(F.min(draw)["rep"].alias("a"))
-        pairs = attach(mixed.where(f"label != major and ({first})").select("key", "rep"), pivots, ["key"], "inner")
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        more = cut(verify(pairs))
-        if more.isEmpty():
+        was = left
+        dealt = mixed.where(_turn(share, turn)).withColumn("block", _block(MORE_BLOCK, turn))
+        found = cut(verify(_inside(dealt, (F.col("l.label") < F.col("r.label")) & may("l", "r")).distinct()))
+        if found.isEmpty():
             break
-        links = links.union(more)
+        links = links.union(found)
     l, r = mixed.where("label != major").alias("l"), mixed.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
     on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label")))
-    if near is not None:
-        on = on & ((F.col("l.gid") == F.col("r.gid")) | near("l", "r"))
+    on = on & ((F.col("l.gid") == F.col("r.gid")) | may("l", "r"))
     pairs = l.join(r, on).select(F.col("l.gid").alias("ga"), F.col("l.label").alias("la"), F.col("r.gid").alias("gb"), F.col("r.label").alias("lb")).distinct()
     pairs = pairs.join(known.toDF("ga", "a", "la"), ["ga", "la"]).join(known.toDF("gb", "b", "lb"), ["gb", "lb"])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(verify(pairs))
-    if more.isEmpty():
+    found = cut(verify(pairs))
+    if found.isEmpty():
         return labels
-    return components(links.union(more))
+    return components(links.union(found))
+
+
+def _inside(dealt: DataFrame, on: Column) -> DataFrame:
+    """Pairs of the representatives of postings of one key and block."""
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
+    rows = dealt.alias("l").join(dealt.alias("r"), same & on)
+    return rows.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
