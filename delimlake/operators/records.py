@@ -53,7 +53,7 @@ def _opens(before: Column) -> Column:
 
 def _joint(keep: Column) -> Column:
     """What follows the line within its record; null where the record ends."""
-    return F.when(F.col("esc") & ~F.col("last"), F.lit("\\\n")).when(F.col("q"), F.when(keep, F.lit("\n")).otherwise(F.lit(" ")))
+    return F.when(F.col("esc") & ~F.col("last"), F.lit("\n")).when(F.col("q"), F.when(keep, F.lit("\n")).otherwise(F.lit(" ")))
 
 
 def _assemble(rows: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def stitch(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     so_far = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = doc.rowsBetween(Window.unboundedPreceding, -1)
-    rows = _facts(lines)
     delim = _delim(delimiter)
+    rows = _facts(lines)
     rows = rows.withColumns({
         "after": F.sum("nq").over(so_far),
         "last": F.lead("line_no").over(doc).isNull(),
@@ -98,13 +98,13 @@ def stitch_blocks(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
     block = Window.partitionBy(*keys).orderBy("line_no")
     so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = block.rowsBetween(Window.unboundedPreceding, -1)
+    delim = _delim(delimiter)
     facts = _facts(lines)
 
     # Quote parity before each block, the document's last line and its delimiter.
     whole = Window.partitionBy("doc_id")
     first = F.min_by("line", "line_no")
     per = facts.groupBy(*keys).agg(F.sum("nq").alias("quotes"), F.max("line_no").alias("top"), F.min("line_no").alias("low"), first.alias("first"))
-    delim = _delim(delimiter)
     found = delim if delim is not None else detect_delimiter(F.first("first").over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     per = per.select(*keys, F.coalesce(F.sum("quotes").over(blocks_before), F.lit(0)).alias("quotes"), F.max("top").over(whole).alias("end"), found.alias("delim"))
     rows = facts.join(per, keys)
