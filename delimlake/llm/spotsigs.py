@@ -30,21 +30,36 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Likeness of near duplicates.
 THRESHOLD = 0.75
 
-_ANY = "(?:" + "|".join(ANCHORS) + ")"
-_SPOT = f" (?=({_ANY} " + f"(?:{_ANY} ){{0,{SKIP}}}+(?!{_ANY} )[^ ]+ " * CHAIN + "))"
 
 
-def spots(text: Column) -> Column:
-    """Sorted distinct hashes (8 hex digits) of a text's spots; of a text without spots, the hash of its words."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAPS, " ")), F.lit(" "))
-    plain = F.transform(F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1)), lambda s: F.substring(F.md5(F.regexp_replace(s, f" (?:{_ANY} )+", " ").cast("binary")), 1, 8))
-    return F.when(F.size(plain) > 0, F.sort_array(F.array_distinct(plain))).otherwise(F.array(F.substring(F.md5(words.cast("binary")), 1, 8)))
+def _any_of(words) -> str:
+    """A pattern of the words that shares their beginnings, so that few alternatives are tried."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words) - {""}):
+        by.setdefault(w[0], []).append(w[1:])
+    parts = [first + (_any_of(rest) if any(rest) else "") for first, rest in by.items()]
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in words else "")
 
 
-def fingerprint(text: Column) -> Column:
-    """Length of the signature set, a colon and the set."""
-    s = spots(text)
-    return F.concat_ws(":", F.size(s), F.array_join(s, ","))
+_ANY = _any_of(ANCHORS)
+_SPOT = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + f"(?=({_ANY}{GAPS}" + f"(?:{_ANY}{GAPS}){{0,{SKIP}}}+(?!{_ANY}{GAPS})[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+{GAPS}" * CHAIN + "))"
+
+
+def spot_hashes(text: Column) -> Column:
+    """Hashes (8 hex digits) of a text's spots; common words between the others, and what parts words, don't count."""
+    found = F.regexp_extract_all(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), F.lit(_SPOT), F.lit(1))
+    return F.transform(found, lambda s: F.substring(F.md5(F.regexp_replace(s, f"{GAPS}(?:{_ANY}{GAPS})*", " ").cast("binary")), 1, 8))
+
+
+def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the fingerprint of a text column: length of the signature set, a colon and the set
+    (sorted distinct hashes). Of a text without spots the set is the hash of its words."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), GAPS, " ")), F.lit(" "))
+    whole = F.array(F.substring(F.md5(words.cast("binary")), 1, 8))
+    # One step each, so that no step is computed twice.
+    rows = rows.withColumn("__spots", spot_hashes(F.col(text)))
+    rows = rows.withColumn("__set", F.when(F.size("__spots") > 0, F.sort_array(F.array_distinct("__spots"))).otherwise(whole))
+    return rows.withColumn(name, F.concat_ws(":", F.size("__set"), F.array_join("__set", ","))).drop("__spots", "__set")
 
 
 def members(fp: Column) -> Column:
@@ -85,7 +100,8 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     small = docs.sparkSession.createDataFrame(guests_of, "bucket int, top long, host int")
     first = rows.join(F.broadcast(small), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))
     first = first.groupBy("host").agg(F.min("text").alias("text"))
-    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "text", fingerprint(F.col("text")).alias("fp"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    guests = with_fingerprint(guests, "text", "fp")
     every = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     return every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("guest", "bucket")
@@ -101,11 +117,11 @@ def fingerprint_documents(docs: DataFrame, *, ident: str = "doc_id", text: str =
     """
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"))), n)
+    rows = with_next(with_fingerprint(rows, "text", "fp"), n)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    rows = with_fingerprint(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
         "doc_id",
         "n_chars",
