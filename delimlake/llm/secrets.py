@@ -128,7 +128,7 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = (F.col("r.start") <= F.col("l.end") + scope) & (F.col("r.end") >= F.col("l.start") - scope)
     linked = semi(weak, anchor, near & ~cover, scope)
     partners = semi(anchor.where("part = 'anchor'"), linked, near & ~cover, scope)
-    return linked.union(partners).select("row", "kind", "start", "end")
+    return linked.unionByName(partners).select("row", "kind", "start", "end")
 
 
 def scan_secrets(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
