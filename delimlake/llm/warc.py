@@ -122,7 +122,10 @@ def frame_length(data, at: int) -> int:
         pos += 3 + (1 if kind == 1 else size)
         if kind == 3 or pos > len(data):
             raise ValueError(f"broken frame at {at}")
-    return pos + 4 * zstandard.get_frame_parameters(data[at : at + 18]).has_checksum - at
+    pos += 4 * zstandard.get_frame_parameters(data[at : at + 18]).has_checksum
+    if pos > len(data):
+        raise ValueError(f"broken frame at {at}")
+    return pos - at
 
 
 def read_archive(data: bytes):
