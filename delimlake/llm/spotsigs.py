@@ -148,8 +148,9 @@ def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     df = each.groupBy("h").agg(F.count("*").alias("df"))
     ranked = attach(each, df, ["h"], "inner").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")
-    posts = ranked.select("doc_id", "n", part.alias("part"), F.explode(prefix)["h"].alias("h")) if threshold < 1 else ranked.select("doc_id", "n", F.col("n").alias("part"), F.explode(F.slice("o", 1, 1))["h"].alias("h"))
+    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int") if threshold < 1 else F.col("n")
+    hashes = F.explode(F.transform(prefix, lambda x: x["h"])).alias("h")
+    posts = ranked.select("doc_id", "n", part.alias("part"), hashes)
     left = posts.select("doc_id", "n", "h", F.explode(F.array("part", F.col("part") + 1)).alias("part")).alias("l")
     right = posts.alias("r")
     ok = (F.col("l.h") == F.col("r.h")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n")) & (F.col("l.doc_id") != F.col("r.doc_id"))
