@@ -64,31 +64,59 @@ def _told(df: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (told.get["n"], told.get["h"])
 
 
+#: Tasks that the children of one node are dealt over.
+PLACES = 8
+
+
+def _unite(batches):
+    """Union-find over the edges of one task: children, dealt pointers and merged roots with their roots."""
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent.get(x, x)
+        return root
+
+    told, kind = set(), None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v, tell in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "tell")), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+            if tell:
+                told.add(u)
+            told.add(v)
+    pairs = [(x, root) for x in told if (root := find(x)) != x]
+    for i in range(0, len(pairs), 10_000):
+        us, vs = zip(*pairs[i : i + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(us, kind), pa.array(vs, kind)], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of an edge: label is the smallest node reachable.
 
-    Distributed union-find by alternating large and small stars: each round
-    hangs the larger neighbours of a node, then the smaller ones, on the least
-    neighbour, until nothing moves. A logarithmic number of rounds, each over
-    the edges alone; no component meets in one task.
+    Distributed union-find. Edges point from a node to a smaller one. In each
+    round an edge goes where its upper node is, among the node's children, and
+    its lower node's children are: dealt over PLACES tasks, as a node may have
+    any number of them. Tasks unite what they see and point their nodes to the
+    roots, which halves the paths at least; when nothing moves, every node
+    points to its label.
     """
-    e, state = _told(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
+    e, state = _told(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    kind = e.schema["u"].dataType.simpleString()
     while state[0]:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            attach(both.where("v > u"), least, ["u"], "inner")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u != v")
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = attach(large, least, ["u"], "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, new = _told(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        place = F.pmod(F.xxhash64("u"), F.lit(PLACES)).cast("int")
+        child = e.select(F.col("v").alias("at"), place.alias("place"), "u", "v", F.lit(True).alias("tell"))
+        own = e.select(F.col("u").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))).alias("place"), "u", "v")
+        own = own.withColumn("tell", F.col("place") == 0)
+        rows = child.union(own).repartition("at", "place").select("u", "v", "tell")
+        e, new = _told(rows.mapInArrow(_unite, f"u {kind}, v {kind}").distinct())
         if new == state:
             break
         state = new

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
 from delimlake.llm.common import WORD, attach, cut
-from delimlake.llm.links import resolve
+from delimlake.llm.links import SKETCH, overlap, resolve, sketches
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -169,15 +169,15 @@ def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent:
 
 
 def class_sets(docs: DataFrame, text: str, table: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(node: signature, ref, n, tokens) of the sets that the bitmap lets pass, once each."""
+    """(node: signature, ref, n, bits, tokens) of the sets that the bitmap lets pass, once each; bits is a parity sketch."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
         import pyarrow as pa
 
-        shingler, names = Shingler(words), ["node", "ref", "n", "tokens"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        shingler, names = Shingler(words), ["node", "ref", "n", "bits", "tokens"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             out: dict[bytes, np.ndarray] = {}
             for _, s in shingler.sets(*_texts(b.column(0))):
@@ -186,12 +186,12 @@ def class_sets(docs: DataFrame, text: str, table: np.ndarray, words: int = WORDS
             sigs = list(out)
             refs = np.array([node_of(x) for x in sigs], np.int64)
             keep = np.flatnonzero(cooccur.in_bitmap(refs, shared.value)) if sigs else []
-            rows = [(sigs[i], int(refs[i]), len(out[sigs[i]]), out[sigs[i]].view(np.int64)) for i in keep]
+            rows = [(sigs[i], int(refs[i]), len(out[sigs[i]]), sketches(out[sigs[i]], np.zeros(len(out[sigs[i]]), np.int64), 1)[0].tolist(), out[sigs[i]].view(np.int64)) for i in keep]
             for a in range(0, len(rows), 1000):
                 arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, n long, tokens array<bigint>").dropDuplicates(["node"])
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, n long, bits array<bigint>, tokens array<bigint>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -233,12 +233,12 @@ def class_labels(docs: DataFrame, classes: DataFrame, text: str, words: int = WO
 
     def near(l, r):
         n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
-        sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
         # At most the common hash and what follows it in both is shared.
         best = 1 + F.least(F.col(f"{l}.rest"), F.col(f"{r}.rest"))
-        return sizes & (100 * best >= percent * (n + m - best))
+        return (100 * best >= percent * (n + m - best)) & overlap(l, r, percent, SKETCH)
 
-    return resolve(posts, ranked.select("gid", "node"), lambda p: verified(p, sets, percent), near)
+    members = ranked.select("gid", "node", F.col("prefix").alias("keys")).join(sets.select("node", "bits"), "node")
+    return resolve(posts, members, lambda p: verified(p, sets, percent), near)
 
 
 def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
 from delimlake.llm.common import attach, cut
-from delimlake.llm.links import resolve
+from delimlake.llm.links import SKETCH, overlap, resolve, sketches
 
 #: Characters of a shingle, and likeness (percent) from which lines are duplicates.
 CHARS, PERCENT = 8, 75
@@ -38,8 +38,10 @@ def line_id(line: str) -> bytes:
     return hashlib.md5(line.encode(), usedforsecurity=False).digest()
 
 
-def ref_of(ident: bytes) -> int:
-    return int.from_bytes(ident[:8], "big", signed=True) or 1
+def refs_of(idents: list[bytes]) -> np.ndarray:
+    """The first 64 bits of line ids, never 0."""
+    refs = np.frombuffer(b"".join(idents), ">i8")[::2].astype(np.int64)
+    return np.where(refs == 0, 1, refs)
 
 
 def text_lines(text: str | None) -> list[str]:
@@ -52,6 +54,44 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1)))
 
 
+def shingle_sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and parity sketches of the lines' shingle sets, by 64-bit hashes of the shingles."""
+    sizes, bits = [], []
+    for i, j in _blocks(lines):
+        part = lines[i:j]
+        size = np.array([len(x) for x in part])
+        code = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        code = np.concatenate([code, np.zeros(CHARS, np.uint64)])
+        count = np.maximum(1, size - CHARS + 1)
+        of = np.repeat(np.arange(len(part)), count)
+        start = np.cumsum(size) - size
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
+        held = np.minimum(size, CHARS)[of]
+        h = held.astype(np.uint64)
+        for k in range(CHARS):
+            h = np.where(k < held, h * _MULT + code[at + k], h)
+        h = cooccur.mix64(h)
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+        h, of = h[keep], of[keep]
+        sizes.append(np.bincount(of, minlength=len(part)))
+        bits.append(sketches(h, of, len(part)))
+    return np.concatenate(sizes), np.concatenate(bits)
+
+
+def _blocks(lines: list[str]):
+    """(first, end) of runs of lines that are hashed at once."""
+    i = 0
+    while i < len(lines):
+        j, held = i, 0
+        while j < len(lines) and (j == i or held + len(lines[j]) <= BLOCK):
+            held += len(lines[j])
+            j += 1
+        yield i, j
+        i = j
+
+
 def _minima(lines: list[str]) -> np.ndarray:
     """lines x BINS least hashes; all-ones where a bin is empty."""
     size = np.array([len(x) for x in lines])
@@ -84,12 +124,8 @@ def _minima(lines: list[str]) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """lines x BANDS keys; equal keys make a candidate pair."""
-    out, i = [], 0
-    while i < len(lines):
-        j, held = i, 0
-        while j < len(lines) and (j == i or held + len(lines[j]) <= BLOCK):
-            held += len(lines[j])
-            j += 1
+    out = []
+    for i, j in _blocks(lines):
         least = _minima(lines[i:j])
         empty = least == np.iinfo(np.uint64).max
         full = least.copy()
@@ -105,7 +141,6 @@ def band_keys(lines: list[str]) -> np.ndarray:
         for r in range(ROWS):
             keys = cooccur.mix64(keys * _MULT + full[:, r::ROWS] + np.uint64(r + 1))
         out.append(cooccur.mix64(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT))
-        i = j
     return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
 
 
@@ -118,7 +153,7 @@ def band_posts(docs: DataFrame, text: str, ranges: int) -> DataFrame:
         for turn, b in enumerate(batches):
             lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
             if lines:
-                refs = np.array([ref_of(line_id(x)) for x in lines], np.int64)
+                refs = refs_of([line_id(x) for x in lines])
                 rows = cooccur.chunks(band_keys(lines).ravel(), np.repeat(refs, BANDS), ranges, turn)
                 kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "known", "keys", "nodes"])
@@ -128,7 +163,8 @@ def band_posts(docs: DataFrame, text: str, ranges: int) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
-    """(node: line id, ref, line) of the different lines that the bitmap lets pass."""
+    """(node: line id, ref, line, n, bits) of the different lines that the bitmap lets pass; n and bits are
+    size and parity sketch of the shingle set."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -137,12 +173,15 @@ def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
         for b in batches:
             lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
             ids = [line_id(x) for x in lines]
-            refs = np.array([ref_of(x) for x in ids], np.int64)
+            refs = refs_of(ids)
             keep = np.flatnonzero(cooccur.in_bitmap(refs, shared.value)) if lines else []
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array(refs[keep]), pa.array([lines[i] for i in keep])], names=["node", "ref", "line"])
+                size, bits = shingle_sketches([lines[i] for i in keep])
+                arrays = [pa.array([ids[i] for i in keep], pa.binary()), pa.array(refs[keep]), pa.array([lines[i] for i in keep])]
+                arrays += [pa.array(size.astype(np.int64)), pa.array(list(bits), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "ref", "line", "n", "bits"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, line string").dropDuplicates(["node"])
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, line string, n long, bits array<bigint>").dropDuplicates(["node"])
 
 
 def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -176,8 +215,8 @@ def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) ->
         rows = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
         return rows.where(similar(F.col("la"), F.col("lb"), percent)).select("a", "b")
 
-    members = named.select("gid").distinct().select("gid", F.col("gid").alias("node"))
-    return resolve(named, members, verify, share=4)
+    members = named.groupBy("gid").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(lines.select(F.col("node").alias("gid"), "n", "bits"), "gid").withColumn("node", F.col("gid"))
+    return resolve(named, members, verify, lambda l, r: overlap(l, r, percent, SKETCH), share=BANDS)
 
 
 def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

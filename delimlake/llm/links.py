@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,33 @@ def _block(size: int, turn: int) -> Column:
     return F.pmod(F.xxhash64("gid", "key", F.lit(turn)), F.ceil(F.col("entries") / size)).alias("block")
 
 
+def differ(a: str, b: str, words: int) -> Column:
+    """How many elements differ between two sets, at least: the bits in which their parity sketches do."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
+
+
+def overlap(l: str, r: str, percent: int, words: int) -> Column:
+    """Whether two groups with columns n, bits and held may hold a pair of that likeness (percent).
+
+    bits is a parity sketch (see sketch) of a member's set; it tells only where a group has one node."""
+    n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    shared = (100 + percent) * (n + m - differ(f"{l}.bits", f"{r}.bits", words)) >= 2 * percent * (n + m)
+    return sizes & ((F.col(f"{l}.held") > 1) | (F.col(f"{r}.held") > 1) | shared)
+
+
+#: Longs of a parity sketch.
+SKETCH = 16
+
+
+def sketches(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches (rows of longs) of n sets, of[i] being the set of hashes[i]: one bit a slot,
+    set where an odd number of hashes falls."""
+    slot = (hashes % np.uint64(64 * SKETCH)).astype(np.int64) + of * (64 * SKETCH)
+    odd = np.bincount(slot, minlength=64 * SKETCH * n) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)
+
+
 def _turn(share: int, turn: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(share)) == turn % share
 
@@ -42,26 +70,31 @@ def resolve(
 ) -> DataFrame:
     """(node, label) of all nodes that have a link; label is the smallest node of the component.
 
-    posts(key, gid, ...): groups of nodes by key; members(gid, node). Nodes of
-    a group are candidates of each other and share all its keys. verify turns
-    pairs (a, b) into the links among them; near(l, r), over the aliases of two
-    rows of posts, may rule out a pair of groups beforehand; a round before the
+    posts(key, gid, ...): groups of nodes by key; members(gid, node, ...). Nodes
+    of a group are candidates of each other and share all its keys. verify turns
+    pairs (a, b) into the links among them; near(l, r) may rule out a pair of
+    groups beforehand, over the aliases of two rows of posts that also have
+    `held` (nodes of the group) and the further columns of one of its members. If
+    members have `keys`, all keys of the group in an order common to all, the
+    last round meets a pair at its first common key alone. A round before the
     last looks at one of `share` keys.
     """
     may = near or (lambda l, r: F.lit(True))
     members = cut(members)
-    reps = members.groupBy("gid").agg(F.min("node").alias("rep"))
+    more = [c for c in members.columns if c not in ("gid", "node")]
+    of_one = [F.min("node").alias("rep"), F.count("*").alias("held"), *[F.first(c).alias(c) for c in more]]
+    reps = members.groupBy("gid").agg(*of_one)
     chosen = posts.where(_turn(share, 0))
     many = chosen.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1")
     dealt = attach(chosen, many, ["key"], "inner").join(reps, "gid").withColumn("block", _block(BLOCK, 0))
     pairs = _inside(dealt, (F.col("l.gid") < F.col("r.gid")) & may("l", "r"))
-    inner = attach(members, reps, ["gid"], "inner").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    inner = attach(members.select("gid", "node"), reps.select("gid", "rep"), ["gid"], "inner").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = cut(verify(pairs.union(inner).distinct()))
     nodes, was = members.count(), None
     for turn in range(1, ROUNDS + 1):
         labels = components(links)
-        known = cut(members.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label")))
-        groups = known.groupBy("gid", "label").agg(F.min("node").alias("rep"), F.count("*").alias("held"))
+        known = cut(members.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"), *more))
+        groups = known.groupBy("gid", "label").agg(*of_one)
         entries = posts.join(groups, "gid")
         sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"), F.count("*").alias("n"))
         keys = sums.groupBy("key").agg(F.max(F.struct("held", "label"))["label"].alias("major"), F.sum("held").alias("total"), F.sum("n").alias("entries"), F.count("*").alias("labels"))
@@ -81,7 +114,10 @@ def resolve(
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
     on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label")))
     on = on & ((F.col("l.gid") == F.col("r.gid")) | may("l", "r"))
+    if "keys" in more:
+        on = on & (F.get(F.array_intersect("l.keys", "r.keys"), F.lit(0)) == F.col("l.key"))
     pairs = l.join(r, on).select(F.col("l.gid").alias("ga"), F.col("l.label").alias("la"), F.col("r.gid").alias("gb"), F.col("r.label").alias("lb")).distinct()
+    known = known.select("gid", "node", "label")
     pairs = pairs.join(known.toDF("ga", "a", "la"), ["ga", "la"]).join(known.toDF("gb", "b", "lb"), ["gb", "lb"])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = cut(verify(pairs))
