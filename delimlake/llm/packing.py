@@ -43,21 +43,27 @@ class Bins:
         self.full: list[int] = []  # bitmap of the sources without a free slot
         self.used = 0  # bitmap of the residuals that have bins
         self.at: dict[int, dict[int, list[int]]] = defaultdict(dict)  # residual -> full -> bins
+        self.barred: dict[int, int] = {}  # source -> bitmap of residuals whose bins are all full for it
 
     def put(self, b: int) -> None:
         r = self.room[b]
         if r > 0:
             self.at[r].setdefault(self.full[b], []).append(b)
             self.used |= 1 << r
+            for s, barred in self.barred.items():
+                if barred >> r & 1 and not self.full[b] >> s & 1:
+                    self.barred[s] = barred & ~(1 << r)
 
     def successor(self, need: int, source: int, cluster: int) -> int | None:
         """Take out the bin of least residual >= need that is compatible."""
-        above = self.used >> need
+        above = (self.used & ~self.barred.get(source, 0)) >> need
         while above:
             r = need + (above & -above).bit_length() - 1
+            barred = True
             for full, bins in self.at[r].items():
                 if full >> source & 1:
                     continue
+                barred = False
                 for i in range(len(bins) - 1, -1, -1):
                     if cluster < 0 or not self.clusters[bins[i]] >> cluster & 1:
                         b = bins.pop(i)
@@ -66,6 +72,8 @@ class Bins:
                             if not self.at[r]:
                                 self.used &= ~(1 << r)
                         return b
+            if barred:
+                self.barred[source] = self.barred.get(source, 0) | 1 << r
             above &= above - 1
         return None
 
