@@ -3,8 +3,9 @@
 1. Every document gets its set's size and a 128-bit signature; equal sets are
    one class.
 2. A set of n shingles that has a partner leaves at most u = n - ceil(t n) of
-   them unshared. Of the 2 u + 1 smallest hashes, more than u are then shared
-   with another class. Postings of these alone tell which classes can have
+   them unshared. Each class posts its 2 u + 2 smallest hashes; both of a pair
+   then hold at least min(u + 1, ceil(t n)) postings of the other, whichever of
+   the two posts fewer (see posted). Postings alone tell which classes can have
    partners; the others are done.
 3. Classes that remain are ordered by rising document frequency; their prefix
    is what a partner must share. Classes with identical prefix and size
@@ -114,6 +115,21 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def posted(n: int, percent: int = PERCENT) -> int:
+    """Smallest hashes that a set of n posts: 2 u + 2 with u = n - need(n), or all.
+
+    A pair of m <= n shingles with i in common (t is the threshold) posts the
+    common ones up to the lower of its two last posted hashes twice. If that is
+    the larger set's, they are 2 u + 2 - (n - i) > u(n) >= u(m). If it is the
+    smaller set's, they are 2 u(m) + 2 - (m - i), where u(m) > (1 - t) m - 1 and
+    i >= t (m + n) / (1 + t), so more than 2 (1 - t) m - (m - t n) / (1 + t).
+    That is at least (1 - t) n >= u(n) for n = m and, if t > 1/2, for n = m / t,
+    so, being linear, between them. A set that posts all of its hashes has all
+    i >= need(n) of them below the cut; for t <= 1/2 every set does.
+    """
+    return min(n, 2 * (n - need(n, percent)) + 2)
+
+
 def _texts(column):
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -143,7 +159,7 @@ def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS)
 
 
 def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, n): for the 2 u + 1 smallest hashes of each set, how many other sets hold, at least."""
+    """(node, n): of the posted hashes of each set, how many other sets post too, at least."""
 
     def run(batches):
         import pyarrow as pa
@@ -155,7 +171,7 @@ def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent:
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
-                part = s[: 2 * (len(s) - need(len(s), percent)) + 1]
+                part = s[: posted(len(s), percent)]
                 keys.append(part)
                 nodes.append(np.full(len(part), node_of(sig), np.int64))
             if keys:
@@ -211,8 +227,8 @@ def class_labels(docs: DataFrame, classes: DataFrame, text: str, words: int = WO
     counts = screen(docs, text, cooccur.ranges_for(total // 2), words, percent)
     kept = classes.where("sig is not null").select("sig", "n", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long").alias("node")).distinct()
     kept = kept.withColumn("node", F.when(F.col("node") == 0, 1).otherwise(F.col("node")))
-    unshared = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    possible = cut(kept.join(counts.withColumnRenamed("n", "held"), "node").where(F.col("held") > unshared).select(F.col("sig").alias("node"), F.col("node").alias("ref")))
+    shared = F.ceil(F.col("n") * percent / 100)
+    possible = cut(kept.join(counts.withColumnRenamed("n", "held"), "node").where(F.col("held") >= F.least(F.col("n") - shared + 1, shared)).select(F.col("sig").alias("node"), F.col("node").alias("ref")))
     if possible.isEmpty():
         return possible.select("node", F.col("node").alias("label"))
     table = cooccur.bitmap(possible, "ref")

@@ -85,6 +85,34 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_short_texts_of_unequal_length(spark):
+    """7 words and the same with one more at either end: 3 shingles of 4, which link."""
+    texts = []
+    for i in range(40):
+        seven = [f"w{i}x{j}" for j in range(7)]
+        texts += [seven, [*seven, f"end{i}"]] if i % 2 else [[f"start{i}", *seven], seven]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (len(w) - 4, i - i % 2) for i, w in enumerate(texts)}
+    assert jaccard.representatives(docs).count() == 40
+
+
+@pytest.mark.parametrize("percent", [40, 50, 51, 60, 75, 90, 100])
+def test_screen_bound(percent):
+    """However the hashes of a pair interleave, both sets hold as many postings of the other as the screen asks for."""
+    for m in range(1, 60):
+        for n in range(m, m * 100 // percent + 1):
+            i = -(-percent * (m + n) // (100 + percent))
+            if i > m:
+                continue
+            asked = max(min(x - jaccard.need(x, percent) + 1, jaccard.need(x, percent)) for x in (m, n))
+            # The unshared hashes of either set come first, up to what it posts.
+            for x, y in ((m, n), (n, m)):
+                alone = min(x - i, jaccard.posted(x, percent))
+                common = min(i, jaccard.posted(x, percent) - alone, jaccard.posted(y, percent))
+                assert common >= asked, (m, n, i)
+
+
 def test_long_text_and_batches():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 3, 5, 40000, 7, 1)]
