@@ -120,7 +120,17 @@ def duplicate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL, only documents without quotes; split_whole_documents has all."""
     docs = _table(spark, sf_dir, "documents").where("not contains(text, '\"')")
+    return _split(docs)
+
+
+def split_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it stands, with raw, escaped and unclosed quotes."""
+    return _split(_table(spark, sf_dir, "documents"))
+
+
+def _split(docs: DataFrame) -> DataFrame:
     rows = records.parse_records(document_lines(docs))
     return rows.select("doc_id", "record_no", F.posexplode("cells").alias("cell_no", "cell"))
 
@@ -218,6 +228,7 @@ EVERY = (
     ragged_rows,
     duplicate_headers,
     split_documents,
+    split_whole_documents,
     split_quoted,
     detect_delimiter,
     one_large_document,
@@ -244,6 +255,9 @@ _R = """r AS (
   SELECT event_id AS id, event_id % 7 AS rule, CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 299 ELSE 200 END AS status, props FROM events
 )"""
 _TIE = "CASE WHEN (q * 4) % 1 = 0 THEN printf('%.1f', sign(q) * floor(abs(q) * 10 + 0.5) / 10) ELSE printf('%.1f', q) END"
+# Marks of split_whole_documents: escaped backslash, quote, line break and delimiter; ends of cells and records.
+_B, _Q, _N, _D, _CUT, _END = (f"chr({0xFDD0 + i})" for i in range(6))
+_SPACES = " || ".join(f"chr({x})" for x in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 
 SQL = {
     "section_rows": f"WITH {_O} SELECT doc_id, key, status, cents, day FROM o",
@@ -271,6 +285,32 @@ UNION ALL SELECT doc_id, no, '_raw', CASE o_orderkey % 3 WHEN 0 THEN '["' || key
 ), c AS (
   SELECT doc_id, record_no, list_transform(string_split(line, delim), lambda x: trim(x)) AS cells FROM l
 )
+SELECT doc_id, record_no, CAST(unnest(range(len(cells))) AS INTEGER) AS cell_no, unnest(cells) AS cell FROM c WHERE len(list_filter(cells, lambda x: x <> '')) > 0""",
+    # Pieces between quotes that count: every second one is quoted.
+    "split_whole_documents": f"""WITH a AS (
+  SELECT row_number() OVER () AS k, CAST(doc_id AS VARCHAR) AS doc_id, text,
+         coalesce(nullif(regexp_extract(array_to_string(list_filter(string_split(string_split(text, chr(10))[1], '"'), lambda x, i: i % 2 = 1), ''), '[\\t,|]'), ''), ',') AS delim
+  FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT k, doc_id, delim, string_split(replace(replace(replace(replace(replace(text, '\\\\', {_B}), '\\"', {_Q}), '\\' || chr(10), {_N}), '\\' || delim, {_D}), '\\', ''), '"') AS ps FROM a
+), p AS (
+  SELECT k, doc_id, delim, unnest(range(len(ps))) AS i, unnest(ps) AS s FROM b
+), q AS (
+  SELECT *, i % 2 = 1 AS quoted, strpos(s, chr(10)) AS br, right(lag(s) OVER (PARTITION BY k ORDER BY i), 1) IN (chr(10), {_N}) AS opens FROM p
+), f AS (
+  SELECT *, max(CASE WHEN quoted AND opens THEN i END) OVER (PARTITION BY k ORDER BY i) AS opened,
+         max(CASE WHEN quoted AND br > 0 THEN i END) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS folded FROM q
+), t AS (
+  SELECT k, doc_id, delim, i, CASE WHEN NOT quoted THEN replace(replace(s, delim, {_CUT}), chr(10), {_END})
+         WHEN br > 0 AND opened > coalesce(folded, -1) THEN substr(s, 1, br) || replace(substr(s, br + 1), chr(10), ' ')
+         ELSE replace(s, chr(10), ' ') END AS s FROM f
+), r AS (
+  SELECT doc_id, delim, string_split(string_agg(s, '' ORDER BY i), {_END}) AS rs FROM t GROUP BY k, doc_id, delim
+), l AS (
+  SELECT doc_id, delim, unnest(range(len(rs))) AS record_no, unnest(rs) AS line FROM r
+), c AS (
+  SELECT doc_id, record_no, list_transform(string_split(line, {_CUT}), lambda x: trim(replace(replace(replace(replace(x, {_B}, '\\'), {_Q}, '"'), {_N}, chr(10)), {_D}, delim), {_SPACES})) AS cells FROM l
+)
 SELECT doc_id, record_no, CAST(unnest(range(len(cells))) AS INTEGER) AS cell_no, unnest(cells) AS cell FROM c WHERE len(list_filter(cells, lambda x: x <> '')) > 0""",
     "split_quoted": """WITH d AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS t, strpos(coalesce(text, ''), chr(10)) AS p FROM documents

@@ -117,3 +117,25 @@ def test_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert scan_documents(spark, f"file://{tmp_path}").count() == 2
+
+
+def test_split_whole_documents(spark, tmp_path):
+    """Every document counts, whatever its quotes: the query and its SQL against the character scan."""
+    import duckdb
+
+    from delimlake.plans import queries
+
+    rng = random.Random(5)
+    texts = [t for t, _ in CASES if not t or t[:1] != "\u00a0"] + ["".join(rng.choice('ab,"\n\\ \r') for _ in range(rng.randrange(1, 24))) for _ in range(600)]
+    texts += ['he said "a, b', 'x,y\n"never\nclosed,z', 'a",b"|c,d\ne|"f|g"']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.split_whole_documents(spark, f"file://{tmp_path}").collect())
+    found: dict = {}
+    for i, no, _, cell in got:
+        found.setdefault(int(i), {}).setdefault(no, []).append(cell)
+    delims = {len(texts) - 1: "|"}
+    want = {i: scan(t, delims.get(i, ",")) for i, t in enumerate(texts) if t}
+    assert {i: list(r.values()) for i, r in found.items()} == {i: r for i, r in want.items() if r}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(queries.oracle_sql()["split_whole_documents"]).fetchall()) == got
