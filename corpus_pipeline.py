@@ -10,9 +10,15 @@ from delimlake.llm.common import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised: not those without letters, nor those of no clear language."""
-    p = langid.predict(F.col("text"), langid.fit(docs))
-    rows = docs.withColumn("__p", p)
+    """Keep documents whose language is recognised: not those without letters, nor those of no clear language.
+
+    Where nothing can be learned (no labels, or held-out ones alone), no language
+    is unclear: all documents with a letter stay.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.withColumn("__p", langid.predict(F.col("text"), model))
     return rows.where((F.col("__p.lang") != langid.UNKNOWN) & (F.col("__p.score") >= langid.MIN_SCORE)).drop("__p")
 
 

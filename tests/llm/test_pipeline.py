@@ -68,6 +68,19 @@ def test_empty(spark, folder):
         assert stage(spark, none, folder).count() == 0
 
 
+def test_nothing_to_learn(spark, folder):
+    from delimlake.llm import langid
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = sorted(str(r["doc_id"]) for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.col("lang")))
+    for rows in (unlabelled, held):
+        got = corpus_pipeline.language_id(spark, rows, folder)
+        assert got.columns == docs.columns
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
 def test_registered(spark):
     import __spark_entry__
 
