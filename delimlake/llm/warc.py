@@ -1,7 +1,8 @@
 """WARC archives in Zstandard (.warc.zst): writer and reader.
 
 An archive starts with a skippable frame that holds a compression dictionary
-(trained on the archive's own first records), followed by one frame per WARC
+(trained on the archive's own first records, or their first bytes as they are
+where there is too little to train on), followed by one frame per WARC
 record, all compressed with that dictionary. Records of equal payload are
 written once as a response; the others are revisit records that refer to it.
 
@@ -14,6 +15,7 @@ reader turns a manifest into rows, one task taking whole archives of bounded siz
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 import uuid
@@ -33,6 +35,8 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 ARCHIVE_BYTES = 16 << 20
 #: Bytes of the first records that the dictionary is trained on, and its size.
 TRAINING_BYTES, DICTIONARY_BYTES = 1 << 19, 1 << 15
+#: Records that training takes at least, and bytes of each that it looks at.
+TRAINING_RECORDS, SAMPLE_BYTES = 16, 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "path string, records long, bytes long"
@@ -174,7 +178,7 @@ class _Archive:
             return self.put(self.coder.compress(record))
         self.waiting.append(record)
         self.waits += len(record)
-        if self.waits >= TRAINING_BYTES:
+        if self.waits >= TRAINING_BYTES and len(self.waiting) >= TRAINING_RECORDS:
             self.start()
 
     def put(self, data: bytes) -> None:
@@ -185,16 +189,15 @@ class _Archive:
         import zstandard
 
         options = {"level": 3, "write_checksum": True, "write_content_size": True}
-        self.coder = zstandard.ZstdCompressor(**options)
-        if len(self.waiting) >= 16:
-            try:
-                parts = [x[:16384] for x in self.waiting]
+        parts = [x[:SAMPLE_BYTES] for x in self.waiting]
+        trained = None
+        if len(parts) >= TRAINING_RECORDS:
+            with contextlib.suppress(zstandard.ZstdError):  # too little to train on
                 trained = zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=512, d=8)
-                content = trained.as_bytes()
-                self.put(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
-                self.coder = zstandard.ZstdCompressor(dict_data=trained, **options)
-            except zstandard.ZstdError:
-                pass  # too little to train on: an archive without dictionary
+        trained = trained or zstandard.ZstdCompressionDict(b"".join(parts)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content = trained.as_bytes()
+        self.put(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
+        self.coder = zstandard.ZstdCompressor(dict_data=trained, **options)
         waiting, self.waiting = self.waiting, None
         for x in waiting:
             self.put(self.coder.compress(x))

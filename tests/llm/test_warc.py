@@ -78,3 +78,16 @@ def test_structure_and_faults(spark, tmp_path):
     for bad in (good[:-1], good + b"x", good.replace(b"body", b"bodi"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"WARC-Dote"), b""):
         with pytest.raises(ValueError):
             warc.parse_record(bad)
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 10), (5, 3000), (5, 200_000), (40, 60_000), (40, 0)])
+def test_every_archive_has_a_dictionary(spark, tmp_path, n, size):
+    """Few records, and records of which fewer than 16 make up the training bytes."""
+    rng = random.Random(n)
+    rows = [(i, "u", f"{i} " + " ".join(rng.choice(["<p>", "alpha", "beta", "é"]) + str(rng.randrange(99)) for _ in range(size // 6))) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w")
+    for r in manifest.collect():
+        assert int.from_bytes(Path(r["path"].removeprefix("file://")).read_bytes()[:4], "little") == warc.DICTIONARY_FRAME
+    got = warc.read_archives(manifest).select(warc.page_of("record_id").alias("i"), "payload").collect()
+    assert sorted((r["i"], bytes(r["payload"]).decode()) for r in got) == [(i, html) for i, _, html in rows]
