@@ -205,14 +205,19 @@ def error_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections by status, written a folder each to the shared folder; one of them is read back."""
+    """Section O of written_sections, as its SQL."""
+    return written_sections(spark, sf_dir).where("section = 'O'")
+
+
+def written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by status, written a folder each to the shared folder and all read back."""
     import uuid
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{shared}/sections-{uuid.uuid4().hex}"
     rows = _status_sections(spark, sf_dir).section_rows
     sections.write_sections(rows.select("doc_id", "section", F.col("row")["col_0"].alias("key")), path)
-    return spark.read.parquet(path).where("section = 'O'").select("doc_id", "section", "key")
+    return spark.read.parquet(path).select("doc_id", "section", "key")
 
 
 EVERY = (
@@ -238,6 +243,7 @@ EVERY = (
     split_responses,
     error_message,
     write_sections,
+    written_sections,
 )
 
 
@@ -338,6 +344,7 @@ SELECT id, CASE rule WHEN 0 THEN 'empty' WHEN 1 THEN 'raw' ELSE 'json' END AS pa
     "split_responses": f"WITH {_R} SELECT id, CASE status WHEN 500 THEN 'error' ELSE 'payload' END AS branch, CASE rule WHEN 0 THEN 'empty' WHEN 1 THEN 'raw' ELSE 'json' END AS payload_kind FROM r",
     "error_message": f"WITH {_R} SELECT id, CASE rule WHEN 2 THEN 'no ' || id WHEN 5 THEN '0' ELSE 'Status 500' END AS error_message FROM r WHERE status = 500",
     "write_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o WHERE status = 'O'",
+    "written_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o",
 }
 
 

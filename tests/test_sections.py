@@ -80,3 +80,14 @@ def test_no_documents(spark):
     r = report(spark, "")
     for t in (r.section_index, r.section_headers, r.section_rows, r.section_notes, r.unparsed):
         assert t.count() == 0
+
+
+def test_written_sections_are_all_read_back(spark, tmp_path):
+    from delimlake.plans import queries
+
+    rows = [(1, 10, "F"), (1, 11, "O"), (2, 12, "P"), (2, 13, "F")]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string")
+    orders.selectExpr("*", "1.5D as o_totalprice", "timestamp_ntz'2024-01-01' as o_orderdate").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = queries.written_sections(spark, f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in got.select("doc_id", "section", "key").collect()) == sorted((str(c), s, str(k)) for c, k, s in rows)
+    assert [r["key"] for r in queries.write_sections(spark, f"file://{tmp_path}").collect()] == ["11"]
