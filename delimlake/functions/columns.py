@@ -53,7 +53,9 @@ def error_message(payload: Column, status_text: Column) -> Column:
     """The payload's message if it has a true one, else the status text."""
     found = F.try_variant_get(payload, "$.message", "variant")
     told = F.to_json(found)
-    false = told.isNull() | told.isin('""', "0", "false", "null")
+    # Zeros come in many spellings (-0, 0.00, 0e1); a string is never a number here.
+    zero = ~F.startswith(told, F.lit('"')) & (F.coalesce(F.try_variant_get(payload, "$.message", "double"), F.lit(1.0)) == 0)
+    false = told.isNull() | told.isin('""', "false", "null") | zero
     return F.when(false, status_text).otherwise(F.try_variant_get(payload, "$.message", "string"))
 
 

@@ -145,5 +145,7 @@ def parse_records(lines: DataFrame, delimiter: str | None = None, *, large: bool
     line. large: documents may be too large for one task.
     """
     text = (stitch_blocks if large else stitch)(lines, delimiter)
-    rows = text.select("doc_id", "record_no", split_cells(F.col("text"), F.col("delim")).alias("cells"))
+    # A generator, which filters on the cells don't cross: each record is split once.
+    once = F.explode(F.array(split_cells(F.col("text"), F.col("delim"))))
+    rows = text.select("doc_id", "record_no", once.alias("cells"))
     return rows.where(F.exists("cells", lambda c: c != ""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from delimlake.functions import columns
 from delimlake.operators import records, sections
 from delimlake.plans.render import cents, line, number, quoted
-from delimlake.sources import document_lines
+from delimlake.sources import document_lines, scan_lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,18 +120,17 @@ def duplicate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL, only documents without quotes; split_whole_documents has all."""
-    docs = _table(spark, sf_dir, "documents").where("not contains(text, '\"')")
-    return _split(docs)
+    """Every document as it stands, with raw, escaped and unclosed quotes."""
+    return _split(_table(spark, sf_dir, "documents"))
 
 
 def split_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as it stands, with raw, escaped and unclosed quotes."""
-    return _split(_table(spark, sf_dir, "documents"))
+    """As split_documents, in the form for documents too large for a task."""
+    return _split(_table(spark, sf_dir, "documents"), large=True)
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    rows = records.parse_records(document_lines(docs))
+def _split(docs: DataFrame, large: bool = False) -> DataFrame:
+    rows = records.parse_records(document_lines(docs), large=large)
     return rows.select("doc_id", "record_no", F.posexplode("cells").alias("cell_no", "cell"))
 
 
@@ -205,19 +204,46 @@ def error_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section O of written_sections, as its SQL."""
-    return written_sections(spark, sf_dir).where("section = 'O'")
+    """Sections by status, written a folder each to the shared folder and all read back."""
+    path = _new_folder(spark, "sections")
+    rows = _status_sections(spark, sf_dir).section_rows
+    sections.write_sections(rows.select("doc_id", "section", F.col("row")["col_0"].alias("key")), path)
+    return spark.read.parquet(path).select("doc_id", "section", "key")
 
 
 def written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections by status, written a folder each to the shared folder and all read back."""
+    """How many keys of each report came back from every section folder."""
+    return write_sections(spark, sf_dir).groupBy("doc_id", "section").agg(F.count("key").alias("n"), F.min("key").alias("least"))
+
+
+def _new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder that executors share: beside the checkpoints, or in the warehouse where that is unset."""
     import uuid
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared}/sections-{uuid.uuid4().hex}"
-    rows = _status_sections(spark, sf_dir).section_rows
-    sections.write_sections(rows.select("doc_id", "section", F.col("row")["col_0"].alias("key")), path)
-    return spark.read.parquet(path).select("doc_id", "section", "key")
+    return f"{shared}/{kind}-{uuid.uuid4().hex}"
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as text files, a folder a status, and read back by file blocks; numbered says whether the
+    lines of each file count from 0 without a gap."""
+    path = _new_folder(spark, "lines")
+    text = line(F.col("key"), F.concat(F.lit('"'), F.col("cents"), F.lit(","), F.col("day"), F.lit('"')))
+    _orders(spark, sf_dir).select("status", text.alias("value")).write.partitionBy("status").text(path)
+    lines = scan_lines(spark, path)
+    whole = lines.groupBy("doc_id").agg(((F.max("line_no") == F.count("*") - 1) & (F.min("line_no") == 0)).alias("numbered"))
+    rows = records.parse_records(lines, ",").join(whole, "doc_id")
+    status = F.regexp_extract("doc_id", "status=([^/]*)/", 1)
+    return rows.select(status.alias("status"), F.col("cells")[0].alias("key"), F.col("cells")[1].alias("told"), "numbered")
+
+
+def swapped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports whose row type comes first and whose section stands third."""
+    text = line("Data", F.col("day"), F.col("status"), F.col("key"), F.col("cents"))
+    lines = _customer_report(_orders(spark, sf_dir), text, (0, "Header,-,F,key,cents"))
+    rows = sections.parse_report(lines, section_col=2, type_col=0).section_rows
+    row = F.col("row")
+    return rows.select("doc_id", "section", *[F.coalesce(row[c], row[f"col_{i}"]).alias(c) for i, c in enumerate(("key", "cents"))], F.map_contains_key("row", "key").alias("named"))
 
 
 EVERY = (
@@ -244,6 +270,8 @@ EVERY = (
     error_message,
     write_sections,
     written_sections,
+    scan_files,
+    swapped_columns,
 )
 
 
@@ -283,15 +311,6 @@ UNION ALL SELECT doc_id, no, 'status', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE
 UNION ALL SELECT doc_id, no, 'col_2', day FROM o WHERE o_orderkey % 3 = 2
 UNION ALL SELECT doc_id, no, '_raw', CASE o_orderkey % 3 WHEN 0 THEN '["' || key || '"]' WHEN 1 THEN '["' || key || '","' || status || '"]' ELSE '["' || key || '","' || status || '","' || day || '"]' END FROM o""",
     "duplicate_headers": f"WITH {_O} SELECT doc_id, no AS record_no, 'a' AS name, status AS value FROM o UNION ALL SELECT doc_id, no, 'b', cents FROM o",
-    "split_documents": """WITH d AS (
-  SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE strpos(text, '"') = 0 AND text <> ''
-), l AS (
-  SELECT doc_id, unnest(range(len(ls))) AS record_no, unnest(ls) AS line,
-         coalesce(nullif(regexp_extract(ls[1], '[\\t,|]'), ''), ',') AS delim FROM d
-), c AS (
-  SELECT doc_id, record_no, list_transform(string_split(line, delim), lambda x: trim(x)) AS cells FROM l
-)
-SELECT doc_id, record_no, CAST(unnest(range(len(cells))) AS INTEGER) AS cell_no, unnest(cells) AS cell FROM c WHERE len(list_filter(cells, lambda x: x <> '')) > 0""",
     # Pieces between quotes that count: every second one is quoted.
     "split_whole_documents": f"""WITH a AS (
   SELECT row_number() OVER () AS k, CAST(doc_id AS VARCHAR) AS doc_id, text,
@@ -343,10 +362,12 @@ SELECT id, CASE rule WHEN 0 THEN 'empty' WHEN 1 THEN 'raw' ELSE 'json' END AS pa
        CASE WHEN rule = 6 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN rule = 1 THEN '<html>' || id END AS raw FROM r""",
     "split_responses": f"WITH {_R} SELECT id, CASE status WHEN 500 THEN 'error' ELSE 'payload' END AS branch, CASE rule WHEN 0 THEN 'empty' WHEN 1 THEN 'raw' ELSE 'json' END AS payload_kind FROM r",
     "error_message": f"WITH {_R} SELECT id, CASE rule WHEN 2 THEN 'no ' || id WHEN 5 THEN '0' ELSE 'Status 500' END AS error_message FROM r WHERE status = 500",
-    "write_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o WHERE status = 'O'",
-    "written_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o",
+    "write_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o",
+    "written_sections": f"WITH {_O} SELECT doc_id, status AS section, count(*) AS n, min(key) AS least FROM o GROUP BY ALL",
+    "scan_files": f"WITH {_O} SELECT status, key, cents || ',' || day AS told, true AS numbered FROM o",
+    "swapped_columns": f"WITH {_O} SELECT doc_id, status AS section, key, cents, status = 'F' AS named FROM o",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"split_documents": SQL["split_whole_documents"]}

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of a block of a document that is held in a row.
+LINES = 10_000
+
+
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines of texts held in rows, one block a document. Null and empty texts have none."""
+    """Lines of texts held in rows, in blocks of LINES. Null and empty texts have none."""
     lines = F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     rows = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("string").alias("doc_id"), lines)
-    return rows.select("doc_id", F.lit(0).cast("long").alias("block"), F.col("line_no").cast("long"), "line")
+    return rows.select("doc_id", F.floor(F.col("line_no") / LINES).alias("block"), F.col("line_no").cast("long"), "line")
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -40,6 +40,7 @@ def test_local_timestamp(spark):
 BODIES = [
     (200, "", "empty", None), (200, '{"k": 1}', "json", None), (299, "<html>", "raw", None), (200, "null", "json", None),
     (500, '{"message":"no"}', "json", "no"), (500, '{"message":"0"}', "json", "0"), (500, '{"message":0}', "json", "st"),
+    (500, '{"message":0e1}', "json", "st"), (500, '{"message":-0.0}', "json", "st"), (500, '{"message":"0.0"}', "json", "0.0"),
     (404, '{"message":""}', "json", "st"), (300, '{"x":1}', "json", "st"), (199, "[1]", "json", "st"), (500, "null", "json", "st"),
     (500, "<html>", "raw", "st"), (500, "", "empty", "st"), (500, None, "empty", "st"), (None, "x", "raw", "st"),
 ]

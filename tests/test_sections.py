@@ -5,13 +5,14 @@ import pytest
 from delimlake.operators import sections
 from delimlake.sources import document_lines
 
-SAMPLE = """Statement,Header,Field Name,Field Value
-Statement,Data,BrokerName,Some Broker LLC
-Trades,Header,DataDiscriminator,Currency,Symbol,Date/Time
-Trades,Data,Order,USD,BIDU,"2025-09-05, 16:20:00"
-Trades,SubTotal,,USD,BIDU,
-Trades,Total,,USD,,
-Trades,Notes,prices, in USD
+SAMPLE = """Harbour,Header,Quay,Depth,Opened
+Harbour,Data,North,11.5,"May 3, 1987"
+Harbour,Data,South,7,"June 12, 2004"
+Crew,Header,Name,Hours
+Crew,Data,Ida,38
+Crew,SubTotal,deck,38
+Crew,Total,all,61
+Crew,Notes,hours, per week
 """
 
 
@@ -26,16 +27,17 @@ def rows(r):
 
 def test_sample(spark):
     r = report(spark, SAMPLE)
-    assert sections.section_names(r.section_index).first()["names"] == ["Statement", "Trades"]
+    assert sections.section_names(r.section_index).first()["names"] == ["Harbour", "Crew"]
     got = rows(r)
-    assert got[1] == ("data", {"DataDiscriminator": "Order", "Currency": "USD", "Symbol": "BIDU", "Date/Time": "2025-09-05, 16:20:00"})
-    assert [k for k, _ in got] == ["data", "data", "subtotal", "total"]
-    assert [x["note"] for x in r.section_notes.collect()] == ["prices,in USD"]
+    assert got[0] == ("data", {"Quay": "North", "Depth": "11.5", "Opened": "May 3, 1987"})
+    assert got[2:] == [("data", {"Name": "Ida", "Hours": "38"}), ("subtotal", {"Name": "deck", "Hours": "38"}), ("total", {"Name": "all", "Hours": "61"})]
+    assert [k for k, _ in got] == ["data", "data", "data", "subtotal", "total"]
+    assert [x["note"] for x in r.section_notes.collect()] == ["hours,per week"]
     assert r.unparsed.count() == 0
-    assert sections.get_section(r.section_rows, "Statement").count() == 1
+    assert sections.get_section(r.section_rows, "Harbour").count() == 2
     assert sections.get_section(r.section_rows, "Absent").count() == 0
-    assert sections.has_section(r.section_index, "Trades").first()["has_section"]
-    assert not sections.has_section(r.section_index, "trades").first()["has_section"]
+    assert sections.has_section(r.section_index, "Crew").first()["has_section"]
+    assert not sections.has_section(r.section_index, "crew").first()["has_section"]
 
 
 @pytest.mark.parametrize(
@@ -73,7 +75,7 @@ def test_raw_and_columns(spark):
 def test_written_sections(spark, tmp_path):
     r = report(spark, SAMPLE)
     sections.write_sections(r.section_rows, f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out").where("section = 'Trades'").count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/out").where("section = 'Crew'").count() == 3
 
 
 def test_no_documents(spark):
@@ -88,6 +90,6 @@ def test_written_sections_are_all_read_back(spark, tmp_path):
     rows = [(1, 10, "F"), (1, 11, "O"), (2, 12, "P"), (2, 13, "F")]
     orders = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string")
     orders.selectExpr("*", "1.5D as o_totalprice", "timestamp_ntz'2024-01-01' as o_orderdate").write.parquet(f"file://{tmp_path}/orders.parquet")
-    got = queries.written_sections(spark, f"file://{tmp_path}")
+    got = queries.write_sections(spark, f"file://{tmp_path}")
     assert sorted(tuple(r) for r in got.select("doc_id", "section", "key").collect()) == sorted((str(c), s, str(k)) for c, k, s in rows)
-    assert [r["key"] for r in queries.write_sections(spark, f"file://{tmp_path}").collect()] == ["11"]
+    assert {(r["doc_id"], r["section"]): r["n"] for r in queries.written_sections(spark, f"file://{tmp_path}").collect()} == {("1", "F"): 1, ("1", "O"): 1, ("2", "P"): 1, ("2", "F"): 1}
