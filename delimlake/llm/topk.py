@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
-#: Vectors of a block of queries, and of candidates.
-QUERY_BLOCK, BLOCK = 256, 1024
+#: Vectors of a block of queries, and of candidates: a cell's scores take 64 MB.
+QUERY_BLOCK, BLOCK = 2048, 4096
 
 
 def quantize(vector: Column, scale: int = 1024) -> Column:
@@ -24,18 +24,18 @@ def quantize(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _terms(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of the non-zero components."""
-    n = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(lists)), n)
+def _terms(vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the non-zero components of an Arrow array of lists."""
+    n = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
     term = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
     keep = flat != 0
     return row[keep], term[keep], flat[keep]
 
 
 def scores(queries, candidates) -> np.ndarray:
-    """Inner products, term at a time: queries x candidates."""
+    """Inner products of two Arrow arrays of lists, term at a time: queries x candidates."""
     out = np.zeros((len(queries), len(candidates)), dtype=np.int64)
     qr, qt, qw = _terms(queries)
     cr, ct, cw = _terms(candidates)
@@ -56,42 +56,41 @@ def top_k(vectors: DataFrame, is_query: Column, *, ident: str = "vec_id", vector
 
     vector is an array of longs; rows where it is null take no part, rows
     without ident neither. Ties go to the smaller ident. A query is compared to
-    every row but itself; of repeated rows (same ident) none counts as other.
-    Vectors of different lengths are compared over their common components.
-    Scores must fit in 64 bits. An empty table gives an empty result.
+    every row but those of its own ident. Repeated rows: each row is a candidate
+    of its own, and each query row has ranks of its own. Vectors of different
+    lengths are compared over their common components. Scores must fit in 64
+    bits. An empty table gives an empty result; other columns are not read.
     """
-    rows = vectors.where(F.col(ident).isNotNull() & F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = vectors.where(F.col(ident).isNotNull() & F.col(vector).isNotNull())
+    rows = rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)).alias("q")).first()
     nq, nc = max(1, -(-sizes["q"] // QUERY_BLOCK)), max(1, -(-sizes["n"] // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")
-    q_block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(nq)).cast("int")
-    left = rows.where("q").select("id", "v", q_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), block.alias("cb"))
+    # Blocks by the rows' numbers: repeated rows spread like others.
+    no = F.monotonically_increasing_id()
+    left = rows.where("q").select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
+    right = rows.select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
 
     def cell(a, b):
-        import pandas as pd
-
-        names = ["query_id", "vec_id", "score"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({x: np.zeros(0, np.int64) for x in names})
-        qid, cid = a["id"].to_numpy(), b["id"].to_numpy()
-        order = np.argsort(cid, kind="stable")  # ties of scores then fall in the order of ids
-        cid = cid[order]
-        got = scores(a["v"].tolist(), [b["v"].iloc[i] for i in order])
-        out = []
-        for i, row in enumerate(got):
-            other = np.flatnonzero(cid != qid[i])
-            row = row[other]
-            if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                sure = np.flatnonzero(row > least)
-                tied = np.flatnonzero(row == least)[: k - len(sure)]
-                keep = np.concatenate([sure, tied])
-            else:
+        import pyarrow as pa
+
+        names = ["row", "query_id", "vec_id", "score"]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("id")  # ties of scores then fall in the order of ids
+            qid, cid, row_no = a["id"].to_numpy(), b["id"].to_numpy(), a["row"].to_numpy()
+            got = scores(a["v"].combine_chunks(), b["v"].combine_chunks())
+            for i, row in enumerate(got):
+                other = np.flatnonzero(cid != qid[i]) if (cid == qid[i]).any() else np.arange(len(cid))
+                row = row[other]
                 keep = np.arange(len(row))
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": cid[other[keep]], "score": row[keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+                if len(row) > k:
+                    least = np.partition(row, len(row) - k)[len(row) - k]
+                    sure = np.flatnonzero(row > least)
+                    keep = np.concatenate([sure, np.flatnonzero(row == least)[: k - len(sure)]])
+                for to, x in zip(out, (np.full(len(keep), row_no[i]), np.full(len(keep), qid[i]), cid[other[keep]], row[keep]), strict=True):
+                    to.append(x)
+        return pa.table([np.concatenate(x) for x in out], names=names)
+
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, "row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

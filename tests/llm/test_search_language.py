@@ -22,7 +22,7 @@ def test_top_k_is_exact(spark):
             best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q)[:10]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     mine = sorted(tuple(r) for r in got.collect())
-    assert {x for x in mine if x[0] != 500} == {x for x in want if x[0] != 500}
+    assert mine == sorted(want)  # the repeated query row has ranks of its own
     assert [x[1] for x in mine if x[0] == 0] == list(range(1, 11))
     assert topk.top_k(table.limit(0).select("vec_id", topk.quantize(F.col("embedding")).alias("vector")), F.lit(True)).count() == 0
 
