@@ -7,10 +7,11 @@ piece to the tightest bin that is compatible with it, by successor search over
 a bitmap of the residuals in use.
 
 Every bin carries two bitmaps. The source bitmap has ``slots`` bits a source and
-so bounds the pieces of one source in a bin; the cluster bitmap has one bit for
-each duplicate cluster that has several pieces in the lot, and no two pieces of
-a cluster share a bin. The search goes on to the next residual until a bin fits
-both; only if none does is a bin opened.
+so bounds the pieces of one source in a bin (unless the lot has one source
+alone); the cluster bitmap has one bit for each duplicate cluster that has
+several pieces in the lot, and no two pieces of a cluster share a bin. Pieces
+come in the order of decreasing size. The search goes on to the next residual
+until a bin fits both; only if none does is a bin opened.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from delimlake.llm.common import WORD, attach, lower_ascii
 
 #: Words a bin holds.
 CAPACITY = 2048
-#: Pieces of one source that a bin may hold.
-SLOTS = 4
+#: Pieces of one source that a bin may hold beside those of others.
+SLOTS = 8
 #: Documents a packing lot has, about; the number of lots grows with the input.
 LOT = 20_000
 
@@ -35,7 +36,7 @@ LOT = 20_000
 class Bins:
     """Open bins of one lot, ordered by residual room."""
 
-    def __init__(self, capacity: int, slots: int):
+    def __init__(self, capacity: int, slots: int | None):
         self.capacity, self.slots = capacity, slots
         self.room: list[int] = []  # by bin
         self.sources: list[int] = []  # bitmap: `slots` bits a source
@@ -43,37 +44,46 @@ class Bins:
         self.full: list[int] = []  # bitmap of the sources without a free slot
         self.used = 0  # bitmap of the residuals that have bins
         self.at: dict[int, dict[int, list[int]]] = defaultdict(dict)  # residual -> full -> bins
-        self.barred: dict[int, int] = {}  # source -> bitmap of residuals whose bins are all full for it
+        # source or cluster -> bitmap of residuals whose bins are all closed to it, and the other way round
+        self.barred: dict[tuple, int] = {}
+        self.bars: dict[int, set[tuple]] = defaultdict(set)
 
     def put(self, b: int) -> None:
         r = self.room[b]
         if r > 0:
             self.at[r].setdefault(self.full[b], []).append(b)
             self.used |= 1 << r
-            for s, barred in self.barred.items():
-                if barred >> r & 1 and not self.full[b] >> s & 1:
-                    self.barred[s] = barred & ~(1 << r)
+            for bar in [x for x in self.bars[r] if not (self.full if x[0] else self.clusters)[b] >> x[1] & 1]:
+                self.bars[r].discard(bar)
+                self.barred[bar] &= ~(1 << r)
+
+    def bar(self, kind: bool, no: int, r: int) -> None:
+        self.barred[kind, no] = self.barred.get((kind, no), 0) | 1 << r
+        self.bars[r].add((kind, no))
 
     def successor(self, need: int, source: int, cluster: int) -> int | None:
         """Take out the bin of least residual >= need that is compatible."""
-        above = (self.used & ~self.barred.get(source, 0)) >> need
+        above = (self.used & ~self.barred.get((True, source), 0) & ~self.barred.get((False, cluster), 0)) >> need
         while above:
             r = need + (above & -above).bit_length() - 1
-            barred = True
+            closed = held = True
             for full, bins in self.at[r].items():
-                if full >> source & 1:
-                    continue
-                barred = False
-                for i in range(len(bins) - 1, -1, -1):
-                    if cluster < 0 or not self.clusters[bins[i]] >> cluster & 1:
-                        b = bins.pop(i)
+                closed &= (no_slot := full >> source & 1)
+                for i, b in enumerate(bins):
+                    if cluster < 0 or not self.clusters[b] >> cluster & 1:
+                        held = False
+                        if no_slot:
+                            break
+                        bins.pop(i)
                         if not bins:
                             del self.at[r][full]
                             if not self.at[r]:
                                 self.used &= ~(1 << r)
                         return b
-            if barred:
-                self.barred[source] = self.barred.get(source, 0) | 1 << r
+            if closed:
+                self.bar(True, source, r)
+            if held:
+                self.bar(False, cluster, r)
             above &= above - 1
         return None
 
@@ -85,36 +95,31 @@ class Bins:
 
     def add(self, b: int, size: int, source: int, cluster: int) -> None:
         self.room[b] -= size
-        first = source * self.slots
-        held = self.sources[b] >> first & ((1 << self.slots) - 1)
-        self.sources[b] |= 1 << (first + held.bit_count())
-        if held.bit_count() + 1 == self.slots:
-            self.full[b] |= 1 << source
+        if self.slots:
+            first = source * self.slots
+            held = (self.sources[b] >> first & ((1 << self.slots) - 1)).bit_count()
+            self.sources[b] |= 1 << (first + held)
+            if held + 1 == self.slots:
+                self.full[b] |= 1 << source
         if cluster >= 0:
             self.clusters[b] |= 1 << cluster
+        self.put(b)
 
 
 def pack(sizes: list[int], sources: list, clusters: list, capacity: int, slots: int) -> list[int]:
-    """The bin of each piece. Pieces come in the order in which they are packed;
-    those of a cluster must follow each other."""
-    bins = Bins(capacity, slots)
+    """The bin of each piece, in the order in which they are packed."""
     source_no: dict = {}
     cluster_no: dict = {}
     many = {c for c, n in Counter(c for c in clusters if c is not None).items() if n > 1}
-    out, aside, now = [], [], None
+    bins = Bins(capacity, slots if len(set(sources)) > 1 else None)
+    out = []
     for size, s, c in zip(sizes, sources, clusters, strict=True):
-        if c != now or c is None:
-            for b in aside:
-                bins.put(b)
-            aside, now = [], c
         source = source_no.setdefault(s, len(source_no))
         cluster = cluster_no.setdefault(c, len(cluster_no)) if c in many else -1
         b = bins.successor(size, source, cluster)
         if b is None:
             b = bins.open()
         bins.add(b, size, source, cluster)
-        # No other piece of this cluster can use the bin: it stays out of the search until they are done.
-        aside.append(b)
         out.append(b)
     return out
 
@@ -143,15 +148,16 @@ def pack_documents(
     null). Null idents and sources are values like others; a null cluster
     conflicts with nothing. Repeated rows are packed one by one. Texts do not
     travel: join the pieces to the documents to cut them. An empty table gives
-    an empty result.
+    an empty result. A lot of one source alone has no bound on its pieces in a
+    bin. Columns beyond ident and source are read by size and cluster alone.
     """
     if capacity < 1 or slots < 1:
         raise ValueError("capacity and slots must be positive")
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), cluster.cast("long").alias("cluster"), size.cast("long").alias("words"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     lots = max(1, -(-docs.count() // lot))
-    # Cut by the plain place, not by source or cluster: a lot gets its share of hot ones.
-    rows = rows.repartition(lots, F.xxhash64("doc_id", "words", "cluster"))
+    # By the rows' numbers, not by id, source or cluster: a lot gets its share of hot ones.
+    rows = rows.repartition(lots, F.xxhash64("doc_id", F.monotonically_increasing_id()))
 
     def one_lot(batches):
         import pyarrow as pa
@@ -171,16 +177,10 @@ def pack_documents(
         src = table["source"].to_pylist()
         ident = table["doc_id"].cast(pa.string()).to_pylist()
         rest = np.flatnonzero((length > 0) & (length < capacity)).tolist()
-        top: dict = {}  # the largest piece of each cluster
-        for i in rest:
-            if not none[row[i]]:
-                k = int(cl[row[i]])
-                top[k] = max(top.get(k, 0), int(length[i]))
 
         def decreasing(i):
-            r, size = row[i], int(length[i])
-            k = None if none[r] else int(cl[r])
-            return (-top.get(k, size), k is None, k or 0, -size, str(src[r]), str(ident[r]))
+            r = row[i]
+            return (-int(length[i]), bool(none[r]), int(cl[r]), str(src[r]), str(ident[r]))
 
         todo = sorted(rest, key=decreasing)
         got = pack([int(length[i]) for i in todo], [src[row[i]] for i in todo], [None if none[row[i]] else int(cl[row[i]]) for i in todo], capacity, slots)
