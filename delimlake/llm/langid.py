@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 #: Bound of the training sample: documents in all, and windows taken of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 4
+#: Labels that are learned at most.
+MAX_LANGUAGES = 256
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 11
 #: Windows that are computed at once.
 CHUNK = 2048
@@ -151,22 +153,26 @@ def held_out(ident: Column) -> Column:
 
 def sample(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Training windows: of about bound labelled documents in all, as many of each
-    language as there are, up to its even share; picked by a hash of the ident.
-    Windows start at hashed places; one in four is cut short, so that short texts are known."""
+    language as there are, up to its even share; picked by a hash of ident and
+    text, equal rows once. Of more than MAX_LANGUAGES labels the most frequent are
+    learned. Windows start at hashed places; one in four is cut short, so that
+    short texts are known."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(ident)) & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    often = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES)
+    counts = {r[lang]: r["n"] for r in often.collect()}
     languages = sorted(counts)
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = max(1, bound // len(languages))
-    draw = F.pmod(F.xxhash64(F.col(ident), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
+    row = F.xxhash64(F.col(ident), F.col(text), F.lit(SEED))
+    draw = F.pmod(row, F.lit(1 << 20)) / float(1 << 20)
     part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, share / counts[k]))])
-    picked = rows.where(draw < part[F.col(lang)])
+    picked = rows.where(draw < part[F.col(lang)]).withColumn("__row", row)
     room = F.greatest(F.length(text) - WINDOW + 1, F.lit(1))
     places = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(ident), F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     rng = np.random.default_rng(SEED)
     windows, labels = [], []
-    for r in sorted(picked.select(lang, F.array(*places).alias("w")).collect(), key=lambda r: (r[lang], r["w"])):
+    for r in sorted(picked.groupBy(lang, "__row").agg(F.first(F.array(*places)).alias("w")).collect(), key=lambda r: (r[lang], r["w"])):
         for i, w in enumerate(r["w"]):
             data = w.encode()
             windows.append(to_window(data[: rng.integers(12, WINDOW)] if i == 0 else data))
@@ -175,7 +181,10 @@ def sample(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
 
 
 def fit(docs: DataFrame, **columns) -> Model | None:
-    """A model of the labelled, not held-out documents; None if there are none."""
+    """A model of the labelled, not held-out documents; None if there are none (an empty table, say).
+
+    Null texts and labels, and texts without a letter, teach nothing. Columns other than ident, text and lang
+    are not read."""
     windows, labels, languages = sample(docs, **columns)
     return train(windows, labels, languages) if languages else None
 
@@ -183,7 +192,7 @@ def fit(docs: DataFrame, **columns) -> Model | None:
 def predict(text: Column, model: Model | None) -> Column:
     """struct(lang, score) of whole texts. 'und' with score 0 where the text is null
     or has no letter, or nothing was learned; else a learned language and its
-    mean probability over the text's windows."""
+    mean probability over the text's windows; equal texts get equal results."""
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     if model is None:
         return none
