@@ -127,7 +127,7 @@ def _op9_sql() -> str:
     anchors = ", ".join(f"'{x}'" for x in spotsigs.ANCHORS)
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rn, doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')), coalesce(text, '')) AS rn, doc_id, coalesce(text, '') AS text FROM documents
 ), e AS (
   SELECT d.*, length(d.text) AS n, coalesce(lead(text) OVER (ORDER BY rn), first_value(text) OVER (ORDER BY rn)) AS next_text FROM d
 ), t AS (

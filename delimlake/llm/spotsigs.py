@@ -75,36 +75,42 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """docs(doc_id, text, fp) with next_text and next_fp: those of the next row in
-    the order of descending doc_id (null last, ties by text), of the first row
-    for the last.
+    the order of descending doc_id (null last; ties by the text's MD5), of the
+    first row for the last.
 
-    Rows are cut into ranges of doc_id; each range gets the first row of the one
-    below it as a guest, so that no task sees more than its range.
+    Rows are cut into ranges of doc_id, those of one frequent doc_id (or none)
+    further by their MD5; each range gets the first row of the one after it as a
+    guest, so that no task sees more than its range.
     """
-    ids = docs.select("doc_id")
     fractions = [i / buckets for i in range(1, buckets)] or [0.5]
-    bounds = ids.agg(F.percentile_approx("doc_id", fractions, 100 * buckets).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
+    found = docs.agg(F.percentile_approx("doc_id", fractions, 100 * buckets).alias("b")).first()["b"] or []
+    bounds = sorted(set(found))
+    often = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     if bounds:
         table = F.array(*[F.lit(x) for x in bounds])
         at = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(table, acc + s - 1) <= F.col("doc_id")), acc + s).otherwise(acc))
     else:
         at = F.lit(0)
-    rows = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(at))
-    # At most one row a range: its largest doc_id, and the range that it is a guest of.
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
+    rows = docs.withColumn("md5", F.md5(F.col("text").cast("binary")))
+    split = F.col("doc_id").isNull() | (F.col("doc_id").isin(*often) if often else F.lit(False))
+    part = F.when(split, 1 + F.conv(F.substring("md5", 1, 2), 16, 10).cast("int")).otherwise(0)
+    # Ranges in the order of their numbers: a frequent doc_id is the least of its range, so its parts come last.
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - at) * 512 + part)
+    # One row a range: where its first row is found, and the range that it is a guest of.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("least"), F.col("md5").alias("h"))
+    tops = rows.groupBy("bucket").agg(F.min(order).alias("top")).orderBy("bucket").select("bucket", (-F.col("top.least")).alias("top"), "top.h").collect()
     if not tops:
         return docs.withColumns({"next_text": F.col("text"), "next_fp": F.col("fp")})
-    guests_of = [(t["bucket"], t["top"], tops[(i + 1) % len(tops)]["bucket"]) for i, t in enumerate(tops)]
-    small = docs.sparkSession.createDataFrame(guests_of, "bucket int, top long, host int")
-    first = rows.join(F.broadcast(small), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    guests_of = [(t["bucket"], t["top"], t["h"], tops[i - 1]["bucket"]) for i, t in enumerate(tops)]
+    small = docs.sparkSession.createDataFrame(guests_of, "bucket int, top long, h string, host int")
+    first = rows.join(F.broadcast(small), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("md5") == F.col("h")))
     first = first.groupBy("host").agg(F.min("text").alias("text"))
-    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("").alias("md5"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
     guests = with_fingerprint(guests, "text", "fp")
     every = rows.withColumn("guest", F.lit(False)).unionByName(guests)
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("guest", "bucket")
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "md5", "text")
+    return every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("guest", "bucket", "md5")
 
 
 def fingerprint_documents(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -114,6 +120,9 @@ def fingerprint_documents(docs: DataFrame, *, ident: str = "doc_id", text: str =
     The edited text has its last half replaced by the first as many code points
     of the next document's text. Null texts are empty; equal texts have equal
     fingerprints, and likeness 1. The only row of a table is its own next.
+    Documents of one doc_id, or without one, follow each other by the MD5 of
+    their texts; repeated rows are rows of their own. An empty table gives an
+    empty result. Columns other than ident and text are not read.
     """
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
