@@ -5,21 +5,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Cuts made within calls of settled, innermost last.
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our
-    own where that is unset (local runs and tests)."""
+    own where that is unset and the session runs in one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -31,10 +42,54 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a
-    lost executor costs no recomputation of what went before."""
-    path = new_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no recomputation of what went before. The shuffle files
+    that made it go at once."""
+    spark = df.sparkSession
+    path, was = new_path(spark, "cut"), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    if _made:
+        _made[-1].append(path)
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Remove the files of cuts. What was made of them must have been cut itself."""
+    for df in cuts:
+        if path := _folders.pop(df, None):
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut(make()), after which all cuts that were made on the way go."""
+    _made.append([])
+    try:
+        out = cut(make())
+    finally:
+        made = _made.pop()
+    for path in made:
+        if path != _folders[out]:
+            _remove(out.sparkSession, path)
+    if _made:
+        _made[-1].append(_folders[out])
+    return out
+
+
+def recut(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """cut(df), after which the cuts that it was made of go."""
+    out = cut(df)
+    drop(*used)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:
@@ -51,74 +106,91 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left"
     the partitions of hot keys. Rows whose key is null match nothing.
     """
     place = "__place"
-    h = F.xxhash64(*[F.col(k) for k in keys])
+    h = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(16))
     out = rows.withColumn(place, h).join(facts.withColumn(place, h), [*keys, place], how)
     return out.drop(place)
 
 
-def _told(df: DataFrame) -> tuple[DataFrame, tuple]:
-    """df cut, with its row count and a checksum of its edges, taken while it is written."""
-    told = Observation()
-    seen = df.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"))
-    out = cut(seen)
-    return out, (told.get["n"], told.get["h"])
-
+class Forest:
+    """Union-find; the least node of a tree is its root."""
 
-#: Tasks that the children of one node are dealt over.
-PLACES = 8
+    def __init__(self):
+        self.parent: dict = {}
 
-
-def _unite(batches):
-    """Union-find over the edges of one task: children, dealt pointers and merged roots with their roots."""
-    import pyarrow as pa
-
-    parent: dict = {}
-
-    def find(x):
-        root = x
+    def find(self, x):
+        parent, root = self.parent, x
         while (up := parent.get(root, root)) != root:
             root = up
         while x != root:
             parent[x], x = root, parent.get(x, x)
         return root
 
-    told, kind = set(), None
+    def unite(self, x, y) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+    def edges(self) -> list[tuple]:
+        """(node, root) of each node that is not a root."""
+        return [(x, self.find(x)) for x in self.parent]
+
+
+def edge_batches(edges: list[tuple], kind, names: tuple[str, str] = ("u", "v"), size: int = 10_000):
+    import pyarrow as pa
+
+    for i in range(0, len(edges), size):
+        us, vs = zip(*edges[i : i + size], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(us, kind), pa.array(vs, kind)], names=list(names))
+
+
+def _forests(batches):
+    """The edges of a task as (node, root): at most one a node."""
+    forest, kind = Forest(), None
     for batch in batches:
-        kind = batch.schema.field("u").type
-        for u, v, tell in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "tell")), strict=True):
-            a, b = find(u), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-            if tell:
-                told.add(u)
-            told.add(v)
-    pairs = [(x, root) for x in told if (root := find(x)) != x]
-    for i in range(0, len(pairs), 10_000):
-        us, vs = zip(*pairs[i : i + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(us, kind), pa.array(vs, kind)], names=["u", "v"])
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.unite(u, v)
+    yield from edge_batches(forest.edges(), kind)
+
+
+#: Edges that one task may unite: some megabytes.
+FEW_EDGES = 50_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of an edge: label is the smallest node reachable.
 
-    Distributed union-find. Edges point from a node to a smaller one. In each
-    round an edge goes where its upper node is, among the node's children, and
-    its lower node's children are: dealt over PLACES tasks, as a node may have
-    any number of them. Tasks unite what they see and point their nodes to the
-    roots, which halves the paths at least; when nothing moves, every node
-    points to its label.
+    Distributed union-find. Each task first unites the edges it holds, which
+    leaves one edge a node. Then, in rounds, every node takes its smallest
+    neighbour as its parent; its other smaller neighbours get an edge to that
+    parent, and all edges are led on to the parent's parent. Edges point to
+    smaller nodes, paths halve, and when nothing moves every node points to its
+    label. A node may have any number of children (see attach). Once at most
+    FEW_EDGES are left, which are counted, one task unites them.
     """
-    e, state = _told(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    kind = e.schema["u"].dataType.simpleString()
+    kind = edges.schema[a].dataType.simpleString()
+    ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e, state = _told(ends.mapInArrow(_forests, f"u {kind}, v {kind}").distinct())
     while state[0]:
-        place = F.pmod(F.xxhash64("u"), F.lit(PLACES)).cast("int")
-        child = e.select(F.col("v").alias("at"), place.alias("place"), "u", "v", F.lit(True).alias("tell"))
-        own = e.select(F.col("u").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))).alias("place"), "u", "v")
-        own = own.withColumn("tell", F.col("place") == 0)
-        rows = child.union(own).repartition("at", "place").select("u", "v", "tell")
-        e, new = _told(rows.mapInArrow(_unite, f"u {kind}, v {kind}").distinct())
+        if state[0] <= FEW_EDGES:
+            e = recut(e.coalesce(1).mapInArrow(_forests, e.schema), e)
+            break
+        up = e.groupBy("u").agg(F.min("v").alias("p"))
+        led = e.join(up, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("p").alias("v")), F.struct(F.col("v").alias("u"), F.col("p").alias("v")))).alias("e")).select("e.*").where("u != v")
+        led = attach(led, up.toDF("v", "top"), ["v"]).select("u", F.coalesce("top", "v").alias("v")).distinct()
+        last = e
+        e, new = _told(led)
+        drop(last)
         if new == state:
             break
         state = new
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
+
+
+def _told(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """df cut, with its row count and a checksum of its edges, taken while it is written."""
+    told = Observation()
+    seen = df.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"))
+    out = cut(seen)
+    return out, (told.get["n"], told.get["h"])

@@ -13,8 +13,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-#: Postings that a key range should hold.
-RANGE = 1 << 19
+#: Bits of the postings that a key range holds: the first while ranges are at most 2^MANY, for then a map task's
+#: chunks stay long; beyond that the second, which is what a task can hold.
+FINE, COARSE, LEAST, MANY = 19, 22, 8, 16
+#: Postings that a map task gathers before it cuts them into chunks.
+FLUSH = 1 << 21
 CHUNK = "range long, known boolean, keys binary, nodes binary"
 POSTS = "key long, node long"
 COUNTS = "node long, n long"
@@ -22,9 +25,10 @@ COUNTS = "node long, n long"
 KNOWN_ROWS = 1 << 16
 
 
-def ranges_for(postings: int, least: int = 256) -> int:
+def ranges_for(postings: int) -> int:
     """A power of two: key ranges for so many postings."""
-    return 1 << max(least.bit_length() - 1, int(postings // RANGE).bit_length())
+    fine, coarse = (int(postings >> bits).bit_length() for bits in (FINE, COARSE))
+    return 1 << max(LEAST, min(fine, max(MANY, coarse)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -73,6 +77,27 @@ def chunks(keys: np.ndarray, nodes: np.ndarray, ranges: int, turn: int = 0) -> l
     return out
 
 
+def chunk_batches(postings, ranges: int):
+    """Arrow batches of CHUNK for a task's (keys, nodes)."""
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+
+    def cut(turn, held):
+        rows = chunks(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]), ranges, turn)
+        arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["range", "known", "keys", "nodes"])
+
+    held, turn = [], 0
+    for keys, nodes in postings:
+        held.append((keys, nodes))
+        if sum(len(k) for k, _ in held) >= FLUSH:
+            yield cut(turn, held)
+            held, turn = [], turn + 1
+    if any(len(k) for k, _ in held):
+        yield cut(turn, held)
+
+
 def shared(rows: DataFrame, counts: bool = False) -> DataFrame:
     """rows of CHUNK -> (key, node) postings of keys that several nodes hold, possibly
     repeated; with counts, (node, n): how many such postings a node has in a range."""
@@ -98,13 +123,15 @@ def shared(rows: DataFrame, counts: bool = False) -> DataFrame:
     return rows.groupBy("range").applyInPandas(gather, COUNTS if counts else POSTS)
 
 
-#: Bits of a membership bitmap; 8 MB whatever the input.
-BITMAP_BITS = 1 << 26
+#: Bits of a membership bitmap: 16 a node, within these bounds (128 KB to 32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-def bitmap(nodes: DataFrame, node: str = "node", bits: int = BITMAP_BITS) -> np.ndarray:
+def bitmap(nodes: DataFrame, node: str = "node") -> np.ndarray:
     """A bitmap of bounded size over hashed nodes (longs): a filter that lets some others pass,
-    never loses one. Slices of it are built by tasks."""
+    never loses one. Slices of it are built by tasks. Beyond MOST_BITS / 16 nodes it lets more
+    pass; what it filters is joined exactly afterwards."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * nodes.count()).bit_length()))
     slices = 256
     per = bits // slices
 

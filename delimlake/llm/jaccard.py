@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
-from delimlake.llm.common import WORD, attach, cut
-from delimlake.llm.links import SKETCH, overlap, resolve, sketches
+from delimlake.llm.common import WORD, attach, cut, drop, recut
+from delimlake.llm.links import Test, resolve
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -140,7 +140,7 @@ def _texts(column):
 
 
 def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS) -> DataFrame:
-    """(doc_id, content, n, sig): a hash of the text, size and signature of its set; sig is null where it is empty."""
+    """(doc_id, content, n, sig, node): a hash of the text, size, signature of its set and the first 64 bits of that; sig and node are null where it is empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -151,22 +151,22 @@ def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS)
             for _, s in shingler.sets(*_texts(b.column(2))):
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "content", "n", "sig"])
+            node = [None if x is None else node_of(x) for x in sig]
+            arrays = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "n", "sig", "node"])
 
     kind = docs.schema[ident].dataType.simpleString()
     rows = docs.select(F.col(ident).alias("doc_id"), F.xxhash64(text), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, n long, sig binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, n long, sig binary, node long")
 
 
 def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, n): of the posted hashes of each set, how many other sets post too, at least."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def postings(batches):
         shingler = Shingler(words)
-        for turn, b in enumerate(batches):
-            keys, nodes, seen = [], [], set()
+        for b in batches:
+            keys, nodes, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
             for _, s in shingler.sets(*_texts(b.column(0))):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
@@ -174,87 +174,101 @@ def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent:
                 part = s[: posted(len(s), percent)]
                 keys.append(part)
                 nodes.append(np.full(len(part), node_of(sig), np.int64))
-            if keys:
-                # The smallest hashes crowd at the low end: spread them anew.
-                rows = cooccur.chunks(cooccur.mix64(np.concatenate(keys)), np.concatenate(nodes), ranges, turn)
-                arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["range", "known", "keys", "nodes"])
+            # The smallest hashes crowd at the low end: spread them anew.
+            yield cooccur.mix64(np.concatenate(keys)), np.concatenate(nodes)
+
+    def run(batches):
+        yield from cooccur.chunk_batches(postings(batches), ranges)
 
     chunks = docs.select(F.col(text).cast("string")).mapInArrow(run, cooccur.CHUNK)
     return cooccur.shared(chunks, counts=True).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def class_sets(docs: DataFrame, text: str, table: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(node: signature, ref, n, bits, tokens) of the sets that the bitmap lets pass, once each; bits is a parity sketch."""
+    """(node, n, data) of the sets that the bitmap lets pass, once each; data: the sorted hashes."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
         import pyarrow as pa
 
-        shingler, names = Shingler(words), ["node", "ref", "n", "bits", "tokens"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        shingler, names = Shingler(words), ["node", "n", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
-            out: dict[bytes, np.ndarray] = {}
+            out: dict[int, np.ndarray] = {}
             for _, s in shingler.sets(*_texts(b.column(0))):
                 if len(s):
-                    out.setdefault(signature(s), s)
-            sigs = list(out)
-            refs = np.array([node_of(x) for x in sigs], np.int64)
-            keep = np.flatnonzero(cooccur.in_bitmap(refs, shared.value)) if sigs else []
-            rows = [(sigs[i], int(refs[i]), len(out[sigs[i]]), sketches(out[sigs[i]], np.zeros(len(out[sigs[i]]), np.int64), 1)[0].tolist(), out[sigs[i]].view(np.int64)) for i in keep]
+                    out.setdefault(node_of(signature(s)), s)
+            refs = np.array(list(out), np.int64)
+            keep = refs[cooccur.in_bitmap(refs, shared.value)].tolist() if out else []
+            rows = [(x, len(out[x]), out[x].astype("<u8").tobytes()) for x in keep]
             for a in range(0, len(rows), 1000):
                 arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, n long, bits array<bigint>, tokens array<bigint>").dropDuplicates(["node"])
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node long, n long, data binary").dropDuplicates(["node"])
+
+
+class TokenSets(Test):
+    """Sorted 64-bit hashes."""
 
+    def load(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, "<u8")
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    sizes = sets.select("node", "n")
-    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-    rows = pairs.join(a, "a").join(b, "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    return rows.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b")
+
+def tokens(sets: DataFrame) -> DataFrame:
+    """(node, n, h): the hashes of each set as rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = b.column(1).to_numpy()
+            data = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(2)]
+            # A batch has bounded rows; so have those that it makes.
+            for i in range(0, len(data), 64):
+                size = [len(x) for x in data[i : i + 64]]
+                arrays = [pa.array(np.repeat(b.column(0).to_numpy()[i : i + 64], size)), pa.array(np.repeat(n[i : i + 64], size)), pa.array(np.concatenate(data[i : i + 64]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "h"])
+
+    return sets.select("node", "n", "data").mapInArrow(run, "node long, n long, h long")
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, label) of the classes that link to another class."""
+    """(node, label) of the classes that link to a class of a smaller node."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     counts = screen(docs, text, cooccur.ranges_for(total // 2), words, percent)
-    kept = classes.where("sig is not null").select("sig", "n", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long").alias("node")).distinct()
-    kept = kept.withColumn("node", F.when(F.col("node") == 0, 1).otherwise(F.col("node")))
+    kept = classes.where("sig is not null").select("node", "n").distinct()
     shared = F.ceil(F.col("n") * percent / 100)
-    possible = cut(kept.join(counts.withColumnRenamed("n", "held"), "node").where(F.col("held") >= F.least(F.col("n") - shared + 1, shared)).select(F.col("sig").alias("node"), F.col("node").alias("ref")))
+    possible = cut(kept.join(counts.withColumnRenamed("n", "held"), "node").where(F.col("held") >= F.least(F.col("n") - shared + 1, shared)).select("node"))
     if possible.isEmpty():
         return possible.select("node", F.col("node").alias("label"))
-    table = cooccur.bitmap(possible, "ref")
-    sets = cut(class_sets(docs, text, table, words).join(possible.select("node"), "node", "left_semi"))
+    table = cooccur.bitmap(possible)
+    sets = recut(class_sets(docs, text, table, words).join(possible, "node", "left_semi"), possible)
 
-    each = sets.select("node", "n", F.explode("tokens").alias("h"))
+    each = tokens(sets)
     df = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = attach(each, df, ["h"], "inner").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    ranked = attach(each, df, ["h"], "inner").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     alone = F.col("n") - F.size("o")  # hashes that no other class has come first
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     ranked = ranked.withColumns({"alone": alone, "p": prefix}).where("p > 0")
     ranked = ranked.withColumn("prefix", F.transform(F.slice("o", 1, F.col("p")), lambda x: x["h"]))
-    gid = F.unhex(F.md5(F.concat_ws(",", F.col("n"), F.col("alone"), F.transform("prefix", lambda h: h.cast("string"))).cast("binary")))
+    # Identical prefix and size: one group.
+    gid = F.xxhash64("n", "alone", "prefix")
     ranked = cut(ranked.select(gid.alias("gid"), "node", "n", "alone", "prefix"))
-    groups = ranked.groupBy("gid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix"))
-    posts = groups.select("gid", "n", "alone", F.posexplode("prefix").alias("pos", "key"))
-    posts = cut(posts.withColumn("rest", F.col("n") - F.col("alone") - F.col("pos") - 1))
+    groups = ranked.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("n", "alone", "prefix")])
+    posts = groups.select("gid", (F.col("n") - F.col("alone")).alias("rest"), F.posexplode("prefix").alias("pos", "key"))
+    posts = cut(posts.select("key", "gid", (F.col("rest") - F.col("pos") - 1).alias("rest")))
 
     def near(l, r):
         n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
-        # At most the common hash and what follows it in both is shared.
+        # At the first hash that two sets share, at most it and what follows it in both is shared.
         best = 1 + F.least(F.col(f"{l}.rest"), F.col(f"{r}.rest"))
-        return (100 * best >= percent * (n + m - best)) & overlap(l, r, percent, SKETCH)
+        return 100 * best >= percent * (n + m - best)
 
-    members = ranked.select("gid", "node", F.col("prefix").alias("keys")).join(sets.select("node", "bits"), "node")
-    return resolve(posts, members, lambda p: verified(p, sets, percent), near)
+    out = resolve(posts, ranked.select("gid", "node", "n"), sets.select("node", "data"), TokenSets(percent), near)
+    drop(ranked, posts, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -268,8 +282,8 @@ def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "t
     """
     classes = cut(document_classes(docs, ident, text, words))
     labels = class_labels(docs, classes, text, words, percent)
-    first = classes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    first = first.join(labels.toDF("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    first = classes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("node").alias("node"))
+    first = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = first.groupBy("label").agg(F.min("least").alias("component_id"))
     by_sig = attach(first.select("sig", "label"), names, ["label"], "inner").select("sig", "component_id")
     out = attach(classes, by_sig, ["sig"])
@@ -280,19 +294,22 @@ def jaccard_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "t
 def representatives(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: its smallest ident (null last), then by a hash of the text.
 
-    Documents with an empty set all stay. Of rows that agree in ident and text one stays.
+    Documents with an empty set all stay. Of rows that agree in ident and text one stays. idents may be of any
+    type that can be ordered and written as text. An empty table gives an empty result.
     """
     classes = cut(document_classes(docs, ident, text, words))
-    labels = class_labels(docs, classes, text, words, percent).toDF("sig", "label")
-    keys = {"__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__content": F.col("content")}
-    rows = attach(classes.withColumns(keys), labels, ["sig"])
-    at = F.struct(*keys)
-    best = rows.where("sig is not null").groupBy(F.coalesce("label", "sig").alias("label")).agg(F.min(at).alias("at"), F.count("*").alias("held"))
-    stay = best.select("at.*").union(rows.where("sig is null").select(*keys).distinct())
-    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": F.coalesce(F.col(ident), F.lit(0)), "__content": F.xxhash64(text)})
-    out = named.join(stay, list(keys), "left_semi")
+    labels = class_labels(docs, classes, text, words, percent)
+    rows = attach(classes, labels, ["node"]).withColumn("__null", F.col("doc_id").isNull())
+    at = F.struct("__null", "doc_id", "content")
+    best = rows.where("sig is not null").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(at).alias("at"))
+    stay = best.select("at.*").union(rows.where("sig is null").select("__null", "doc_id", "content").distinct())
+    keys = ["__null", "__id", "__content"]
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    stay = stay.select("__null", told("doc_id").alias("__id"), F.col("content").alias("__content"))
+    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__content": F.xxhash64(text)})
+    out = named.join(stay, keys, "left_semi")
     again = classes.where("sig is not null").groupBy("doc_id", "content").count().where("count > 1")
     if not again.isEmpty():
         wordy = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-        out = out.where(wordy).dropDuplicates(list(keys)).union(out.where(~wordy))
+        out = out.where(wordy).dropDuplicates(keys).union(out.where(~wordy))
     return out.drop(*keys)

@@ -10,15 +10,14 @@ the first line in the order of documents stays.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
-from delimlake.llm.common import attach, cut
-from delimlake.llm.links import SKETCH, overlap, resolve, sketches
+from delimlake.llm.common import attach, cut, drop, recut
+from delimlake.llm.links import Test, resolve
 
 #: Characters of a shingle, and likeness (percent) from which lines are duplicates.
 CHARS, PERCENT = 8, 75
@@ -49,35 +48,35 @@ def text_lines(text: str | None) -> list[str]:
     return [x for line in (text or "").split(BREAK) if (x := line.strip(BLANK))]
 
 
-def shingles(line: str) -> frozenset[str]:
-    """Exact shingle set; a line shorter than a shingle is one."""
-    return frozenset(line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1)))
+def shingles(line: str) -> np.ndarray:
+    """Exact shingle set, as sorted numbers: the 8 characters themselves where each is below U+0100, else a 64-bit
+    hash of them. A line shorter than a shingle is one."""
+    if len(line) < CHARS:
+        return np.frombuffer(line_id(line)[:8], "<u8")
+    raw = line.encode("latin-1", "replace")
+    grams = np.sort(np.ndarray((len(raw) - CHARS + 1,), "<u8", raw, strides=(1,)) if line.isascii() or max(line) < "\u0100" else _wide(line))
+    keep = np.empty(len(grams), bool)
+    keep[0] = True
+    np.not_equal(grams[1:], grams[:-1], out=keep[1:])
+    return grams[keep]
 
 
-def shingle_sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and parity sketches of the lines' shingle sets, by 64-bit hashes of the shingles."""
-    sizes, bits = [], []
-    for i, j in _blocks(lines):
-        part = lines[i:j]
-        size = np.array([len(x) for x in part])
-        code = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        code = np.concatenate([code, np.zeros(CHARS, np.uint64)])
-        count = np.maximum(1, size - CHARS + 1)
-        of = np.repeat(np.arange(len(part)), count)
-        start = np.cumsum(size) - size
-        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
-        held = np.minimum(size, CHARS)[of]
-        h = held.astype(np.uint64)
-        for k in range(CHARS):
-            h = np.where(k < held, h * _MULT + code[at + k], h)
-        h = cooccur.mix64(h)
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
-        h, of = h[keep], of[keep]
-        sizes.append(np.bincount(of, minlength=len(part)))
-        bits.append(sketches(h, of, len(part)))
-    return np.concatenate(sizes), np.concatenate(bits)
+def _wide(line: str) -> np.ndarray:
+    code = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(code, CHARS)
+    narrow = windows.max(axis=1) < 256
+    plain, h = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.uint64)
+    for k in range(CHARS):
+        plain |= (windows[:, k] & np.uint64(255)) << np.uint64(8 * k)
+        h = h * _MULT + windows[:, k]
+    return np.where(narrow, plain, cooccur.mix64(h))
+
+
+class LineSets(Test):
+    """Lines as UTF-8."""
+
+    def load(self, data: bytes) -> np.ndarray:
+        return shingles(data.decode())
 
 
 def _blocks(lines: list[str]):
@@ -95,31 +94,32 @@ def _blocks(lines: list[str]):
 def _minima(lines: list[str]) -> np.ndarray:
     """lines x BINS least hashes; all-ones where a bin is empty."""
     size = np.array([len(x) for x in lines])
-    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    # A byte a character; other characters may share one, which only adds candidates.
-    code = (code ^ (code >> 8) * 31 ^ (code >> 16) * 17).astype(np.uint8)
+    text = "".join(lines)
+    if text.isascii():
+        code = np.frombuffer(text.encode(), np.uint8)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        # A byte a character; other characters may share one, which only adds candidates.
+        code = (code ^ (code >> 8) * 31 ^ (code >> 16) * 17).astype(np.uint8)
     code = np.concatenate([code, np.zeros(CHARS, np.uint8)])
-    grams = np.ndarray((len(code) - CHARS + 1,), "<u8", code, strides=(1,))
-    count = np.maximum(1, size - CHARS + 1)
-    line = np.repeat(np.arange(len(lines)), count)
+    x = np.ndarray((len(code) - CHARS,), "<u8", code, strides=(1,)).copy()
     start = np.cumsum(size) - size
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + start[line]
-    x = grams[at]
-    short = size[line] < CHARS
-    if short.any():  # only the line's own characters, and its length
-        keep = (np.uint64(1) << (8 * size[line[short]]).astype(np.uint64)) - np.uint64(1)
-        x[short] = (x[short] & keep) ^ (size[line[short]].astype(np.uint64) << np.uint64(60))
+    line = np.repeat(np.arange(len(lines)), size)
+    counts = np.ones(len(x), bool)  # not the windows that cross the end of a line
+    for k in range(1, CHARS):
+        counts[(start + size - k)[size >= k]] = False
+    if len(short := np.flatnonzero((size > 0) & (size < CHARS))):  # only the line's own characters, and its length
+        at, n = start[short], size[short].astype(np.uint64)
+        x[at] = (x[at] & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))) ^ (n << np.uint64(60))
+        counts[at] = True
     h = x * _MULT
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    both = line.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)  # 20 bits of line, 6 of bin, 38 of value
-    both.sort()
-    cell = both >> np.uint64(38)
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    out = np.full(len(lines) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    out[cell[first].astype(np.int64)] = both[first] & np.uint64((1 << 38) - 1)
-    return out.reshape(len(lines), BINS)
+    cell = np.where(counts, line * BINS + (h >> np.uint64(58)).astype(np.int64), len(lines) * BINS)
+    out = np.full(len(lines) * BINS + 1, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, cell, h)
+    return out[:-1].reshape(len(lines), BINS)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -147,24 +147,21 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def band_posts(docs: DataFrame, text: str, ranges: int) -> DataFrame:
     """(key, ref): bands that several different lines share."""
 
-    def run(batches):
-        import pyarrow as pa
-
-        for turn, b in enumerate(batches):
+    def postings(batches):
+        for b in batches:
             lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
             if lines:
-                refs = refs_of([line_id(x) for x in lines])
-                rows = cooccur.chunks(band_keys(lines).ravel(), np.repeat(refs, BANDS), ranges, turn)
-                kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "known", "keys", "nodes"])
+                yield band_keys(lines).ravel(), np.repeat(refs_of([line_id(x) for x in lines]), BANDS)
+
+    def run(batches):
+        yield from cooccur.chunk_batches(postings(batches), ranges)
 
     chunks = docs.select(F.col(text).cast("string")).mapInArrow(run, cooccur.CHUNK)
     return cooccur.shared(chunks).select("key", F.col("node").alias("ref")).distinct()
 
 
 def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
-    """(node: line id, ref, line, n, bits) of the different lines that the bitmap lets pass; n and bits are
-    size and parity sketch of the shingle set."""
+    """(node: line id, ref, data: the line, n: size of its shingle set) of the different lines that the bitmap lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -176,47 +173,31 @@ def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
             refs = refs_of(ids)
             keep = np.flatnonzero(cooccur.in_bitmap(refs, shared.value)) if lines else []
             if len(keep):
-                size, bits = shingle_sketches([lines[i] for i in keep])
-                arrays = [pa.array([ids[i] for i in keep], pa.binary()), pa.array(refs[keep]), pa.array([lines[i] for i in keep])]
-                arrays += [pa.array(size.astype(np.int64)), pa.array(list(bits), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "ref", "line", "n", "bits"])
+                arrays = [pa.array([ids[i] for i in keep], pa.binary()), pa.array(refs[keep]), pa.array([lines[i].encode() for i in keep], pa.binary())]
+                arrays.append(pa.array([len(shingles(lines[i])) for i in keep], pa.int64()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "ref", "data", "n"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, line string, n long, bits array<bigint>").dropDuplicates(["node"])
-
-
-def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
-    """Whether two lines link, by their exact shingle sets."""
-
-    def run(left, right):
-        import pyarrow as pa
-
-        sets = lru_cache(256)(shingles)
-        out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            s, t = sets(x), sets(y)
-            inter = len(s & t) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
-            out.append(100 * inter >= percent * (len(s) + len(t) - inter))
-        return pa.array(out, pa.bool_())
-
-    return F.arrow_udf(run, "boolean")(a, b)
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, data binary, n long").dropDuplicates(["node"])
 
 
 def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(node, label) of the lines (by id) that are fuzzy duplicates of another line."""
-    size = docs.agg(F.sum(F.size(F.split(F.col(text), BREAK)))).first()[0] or 0
+    """(node, label) of lines (by id) that are fuzzy duplicates of others; all but one of a component have a row."""
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit(BREAK), F.lit("")))
+    size = docs.agg(F.sum(1 + breaks)).first()[0] or 0
     posts = cut(band_posts(docs, text, cooccur.ranges_for(size * BANDS)))
     if posts.isEmpty():
         return posts.select(F.lit(b"").alias("node"), F.lit(b"").alias("label")).limit(0)
-    table = cooccur.bitmap(posts, "ref")
-    lines = cut(line_texts(docs, text, table))
-    named = cut(attach(posts, lines.groupBy("ref").agg(F.collect_list("node").alias("nodes")), ["ref"], "inner").select("key", F.explode("nodes").alias("gid")))
-
-    def verify(pairs):
-        rows = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        return rows.where(similar(F.col("la"), F.col("lb"), percent)).select("a", "b")
-
-    members = named.groupBy("gid").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(lines.select(F.col("node").alias("gid"), "n", "bits"), "gid").withColumn("node", F.col("gid"))
-    return resolve(named, members, verify, lambda l, r: overlap(l, r, percent, SKETCH), share=BANDS)
+    lines = line_texts(docs, text, cooccur.bitmap(posts, "ref"))
+    # Within the search a line is a number: short, and never two lines'.
+    lines = cut(lines.withColumn("no", F.monotonically_increasing_id()))
+    named = attach(posts, lines.groupBy("ref").agg(F.collect_list("no").alias("nodes")), ["ref"], "inner")
+    named = recut(named.select("key", F.explode("nodes").alias("gid")), posts)
+    members = lines.select(F.col("no").alias("gid"), F.col("no").alias("node"), "n").join(named.select("gid").distinct(), "gid", "left_semi")
+    found = resolve(named, members, lines.select(F.col("no").alias("node"), "data"), LineSets(percent))
+    names = lines.select("no", "node")
+    out = found.join(names.toDF("node", "__line"), "node").select(F.col("__line").alias("node"), "label")
+    out = attach(out, names.toDF("label", "__line"), ["label"], "inner").select("node", F.col("__line").alias("label"))
+    return recut(out, lines, named)
 
 
 def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -227,14 +208,16 @@ def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", pe
     """
     labels = line_labels(docs, text, percent)
     content = F.xxhash64(F.col(text))
-    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": F.coalesce(F.col(ident), F.lit(0)).cast("long"), "__text": content})
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.btrim(F.col("line"), F.lit(BLANK))
-    each = named.select("__null", "__id", "__text", F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line")).where(line != "")
-    each = each.select(F.struct("__null", "__id", "__text", "pos").alias("at"), F.unhex(F.md5(line.cast("binary"))).alias("node"))
+    each = docs.select(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), content.alias("text"), F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line")).where(line != "")
+    each = each.select(F.struct("none", "id", "text", "pos").alias("at"), F.unhex(F.md5(line.cast("binary"))).alias("node"))
     firsts = each.groupBy("node").agg(F.min("at").alias("at"))
     firsts = firsts.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("at").alias("at"))
     keys = ["__null", "__id", "__text"]
-    stay = firsts.select("at.*").groupBy(*keys).agg(F.collect_list("pos").alias("__kept"))
+    stay = firsts.select("at.*").select(F.col("none").alias("__null"), told("id").alias("__id"), F.col("text").alias("__text"), "pos")
+    stay = stay.groupBy(*keys).agg(F.collect_list("pos").alias("__kept"))
+    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__text": content})
     out = named.join(stay, keys, "left").drop(*keys)
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), BREAK)))
     return out.withColumns({"__kept": F.coalesce("__kept", F.array().cast("array<int>")), "__n_lines": n})
@@ -270,4 +253,7 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", p
     blank = F.coalesce(F.size(F.filter(F.split(F.col(text), BREAK), lambda x: F.btrim(x, F.lit(BLANK)) == "")), F.lit(0))
     blank = F.when(F.col(text).isNull(), 0).otherwise(blank)
     rows = rows.withColumns({"n_lines": (F.col("__n_lines") - blank).cast("long"), "n_kept": F.size("__kept").cast("long")})
-    return rows.withColumn(text, cut_lines(F.col(text), F.col("__kept"))).drop("__n_lines", "__kept")
+    # Only texts that lose lines travel to Python.
+    changed = F.col("n_kept") < F.col("n_lines")
+    cut = cut_lines(F.when(changed, F.col(text)), F.when(changed, F.col("__kept")))
+    return rows.withColumn(text, F.when(changed, cut).otherwise(F.col(text))).drop("__n_lines", "__kept")

@@ -1,33 +1,60 @@
 """From candidate postings to classes of linked nodes, without all pairs of a group.
 
 Candidates are the pairs of nodes that share a key. Only connectivity is asked
-for, so a pair whose nodes are already connected need not be verified. Each
-round deals the postings of a key into small blocks by a hash, verifies the
-pairs within blocks and takes the components of all links so far; a key with
-many nodes thus costs a few pairs a node, in many tasks. When few candidates of
-different components are left, or rounds stop helping, a last round verifies
-all of them. No candidate is dropped: each is verified, or connected already.
+for, so a pair whose nodes are already connected need not be verified. In a
+round every node goes, with its data, to one block of one of its keys; a task
+verifies the pairs of a block that it has not yet united and returns at most one
+edge a node. Labels are then contracted. A key with many nodes thus costs a few
+pairs a node, in many tasks, and data travel once a node and round.
+
+When rounds stop helping, a last step verifies what is left: pairs of different
+components that share a key and that size, position and a parity sketch of
+their sets allow. No candidate is dropped: each is verified, ruled out by a
+bound, or connected already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delimlake.llm.common import attach, components, cut
+from delimlake.llm.common import Forest, attach, components, cut, drop, edge_batches, recut
+from delimlake.llm.cooccur import mix64
 
-#: Postings of a block, in the first round and in further ones.
-BLOCK, MORE_BLOCK = 8, 32
-#: Candidates a node, counted once for each key, that are left to the last round at once; above it
-#: rounds go on while they help.
-LEFT, ROUNDS, HELPS = 512, 6, 0.8
+log = logging.getLogger(__name__)
 
+#: Nodes of a block, and elements of their sets, about.
+BLOCK, WEIGHT = 64, 1 << 20
+#: Partners of a node that travel together in the last step.
+PARTNERS = 256
+#: Rounds go on while the last one has united one in GOES_ON nodes with others; a round after the first looks
+#: at one in SHARE keys.
+ROUNDS, GOES_ON, SHARE = 12, 400, 4
+#: Longs of a parity sketch.
+SKETCH = 16
+
+
+class Test:
+    """How data become sets (sorted arrays of 64-bit numbers) and whether two of them link at percent."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def load(self, data: bytes) -> np.ndarray:
+        raise NotImplementedError
 
-def _block(size: int, turn: int) -> Column:
-    return F.pmod(F.xxhash64("gid", "key", F.lit(turn)), F.ceil(F.col("entries") / size)).alias("block")
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> bool:
+        n, m, p = len(x), len(y), self.percent
+        if 100 * min(n, m) < p * max(n, m):
+            return False
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")  # merges the two
+        i = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * i >= p * (n + m - i)
 
 
 def differ(a: str, b: str, words: int) -> Column:
@@ -35,99 +62,174 @@ def differ(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
 
 
-def overlap(l: str, r: str, percent: int, words: int) -> Column:
-    """Whether two groups with columns n, bits and held may hold a pair of that likeness (percent).
+def fits(n: str, m: str, percent: int) -> Column:
+    """Whether sets of n and m elements may have that likeness."""
+    return 100 * F.least(F.col(n), F.col(m)) >= percent * F.greatest(F.col(n), F.col(m))
 
-    bits is a parity sketch (see sketch) of a member's set; it tells only where a group has one node."""
-    n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    shared = (100 + percent) * (n + m - differ(f"{l}.bits", f"{r}.bits", words)) >= 2 * percent * (n + m)
-    return sizes & ((F.col(f"{l}.held") > 1) | (F.col(f"{r}.held") > 1) | shared)
 
+def overlap(a: str, b: str, n: str, m: str, percent: int, words: int = SKETCH) -> Column:
+    """Whether sets of n and m elements with parity sketches a and b may have that likeness."""
+    n, m = F.col(n), F.col(m)
+    return (100 + percent) * (n + m - differ(a, b, words)) >= 2 * percent * (n + m)
 
-#: Longs of a parity sketch.
-SKETCH = 16
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: one bit a slot, set where an odd number of elements falls."""
+    slot = (mix64(s) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = np.bincount(slot, minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(payload: DataFrame, test: Test) -> DataFrame:
+    """(node, bits): parity sketches of the sets of payload(node, data)."""
+    kind = payload.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            bits = [sketch(test.load(x)).tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["node", "bits"])
 
-def sketches(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Parity sketches (rows of longs) of n sets, of[i] being the set of hashes[i]: one bit a slot,
-    set where an odd number of hashes falls."""
-    slot = (hashes % np.uint64(64 * SKETCH)).astype(np.int64) + of * (64 * SKETCH)
-    odd = np.bincount(slot, minlength=64 * SKETCH * n) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)
+    return payload.select("node", "data").mapInArrow(run, f"node {kind}, bits array<bigint>")
 
 
-def _turn(share: int, turn: int) -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(share)) == turn % share
+def _runs(batches, names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows (of names, then the others) in runs of equal values of names; batches are sorted by them."""
+    run, now = [], None
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if row[: len(names)] != now:
+                if run:
+                    yield run
+                run, now = [], row[: len(names)]
+            run.append(row[len(names) :])
+    if run:
+        yield run
 
 
-def resolve(
-    posts: DataFrame,
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    near: Callable[[str, str], Column] | None = None,
-    share: int = 8,
-) -> DataFrame:
-    """(node, label) of all nodes that have a link; label is the smallest node of the component.
+def _dealt(rows: DataFrame, test: Test, unite: Callable) -> DataFrame:
+    """rows(x, y, ..., label, data) dealt by x and y: the trees that unite(run, test, forest) makes of labels, as (u, v)."""
+    kind = rows.schema["label"].dataType.simpleString()
 
-    posts(key, gid, ...): groups of nodes by key; members(gid, node, ...). Nodes
-    of a group are candidates of each other and share all its keys. verify turns
-    pairs (a, b) into the links among them; near(l, r) may rule out a pair of
-    groups beforehand, over the aliases of two rows of posts that also have
-    `held` (nodes of the group) and the further columns of one of its members. If
-    members have `keys`, all keys of the group in an order common to all, the
-    last round meets a pair at its first common key alone. A round before the
-    last looks at one of `share` keys.
+    def run(batches):
+        import pyarrow as pa
+
+        forest = Forest()
+        for block in _runs(batches, ("x", "y")):
+            unite(block, test, forest)
+        yield from edge_batches(forest.edges(), pa.int64() if kind == "bigint" else pa.binary())
+
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _block(run: list[tuple], test: Test, forest: Forest) -> None:
+    """All pairs of a block that are not united."""
+    if len({label for label, _ in run}) < 2:
+        return
+    run = [(label, test.load(data)) for label, data in run]
+    for i, (a, x) in enumerate(run):
+        for b, y in run[:i]:
+            if forest.find(a) != forest.find(b) and test(x, y):
+                forest.unite(a, b)
+
+
+def _star(run: list[tuple], test: Test, forest: Forest) -> None:
+    """The one row of role 0 with each of the others."""
+    run.sort(key=lambda r: r[0])
+    _, a, x = run[0]
+    x = test.load(x)
+    for _, b, y in run[1:]:
+        if forest.find(a) != forest.find(b) and test(x, test.load(y)):
+            forest.unite(a, b)
+
+
+def relabel(known: DataFrame, found: DataFrame) -> DataFrame:
+    """known with the labels u of found replaced by v; known goes."""
+    rows = attach(known, found.toDF("label", "__to"), ["label"])
+    rows = rows.withColumn("label", F.coalesce("__to", "label")).select(known.columns)
+    return recut(rows, known)
+
+
+def resolve(posts: DataFrame, members: DataFrame, payload: DataFrame, test: Test, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(node, label) of the nodes whose component has a smaller node; label is the smallest one.
+
+    posts(key, gid, ...): groups of nodes by key, once each; members(gid, node,
+    n): the nodes of each group, which are candidates of each other and share all
+    its keys, with the size of their sets; payload(node, data): what test loads. near(l, r) may rule out a pair of
+    groups at a key, over the aliases of two rows of posts with their n.
     """
-    may = near or (lambda l, r: F.lit(True))
-    members = cut(members)
-    more = [c for c in members.columns if c not in ("gid", "node")]
-    of_one = [F.min("node").alias("rep"), F.count("*").alias("held"), *[F.first(c).alias(c) for c in more]]
-    reps = members.groupBy("gid").agg(*of_one)
-    chosen = posts.where(_turn(share, 0))
-    many = chosen.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1")
-    dealt = attach(chosen, many, ["key"], "inner").join(reps, "gid").withColumn("block", _block(BLOCK, 0))
-    pairs = _inside(dealt, (F.col("l.gid") < F.col("r.gid")) & may("l", "r"))
-    inner = attach(members.select("gid", "node"), reps.select("gid", "rep"), ["gid"], "inner").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    links = cut(verify(pairs.union(inner).distinct()))
-    nodes, was = members.count(), None
-    for turn in range(1, ROUNDS + 1):
-        labels = components(links)
-        known = cut(members.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"), *more))
-        groups = known.groupBy("gid", "label").agg(*of_one)
-        entries = posts.join(groups, "gid")
-        sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"), F.count("*").alias("n"))
-        keys = sums.groupBy("key").agg(F.max(F.struct("held", "label"))["label"].alias("major"), F.sum("held").alias("total"), F.sum("n").alias("entries"), F.count("*").alias("labels"))
-        mixed = cut(attach(entries, keys.where("labels > 1").drop("labels"), ["key"], "inner"))
-        left = mixed.where("label != major").agg(F.sum(F.col("held") * F.col("total"))).first()[0]
-        if not left:
-            return labels
-        if left <= LEFT * nodes or turn == ROUNDS or was is not None and left > HELPS * was:
-            break
-        was = left
-        dealt = mixed.where(_turn(share, turn)).withColumn("block", _block(MORE_BLOCK, turn))
-        found = cut(verify(_inside(dealt, (F.col("l.label") < F.col("r.label")) & may("l", "r")).distinct()))
-        if found.isEmpty():
+    known = cut(members.select("gid", "node", "n", F.col("node").alias("label")))
+    nodes = known.count()
+    for turn in range(ROUNDS):
+        if turn == 0:  # every node has a label of its own
+            sizes = known.groupBy("gid").agg(F.count("*").alias("total"), F.sum("n").alias("weight"))
+            sizes = posts.select("key", "gid").join(sizes, "gid").groupBy("key").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+            dealt = attach(posts.select("key", "gid"), sizes.where("total > 1"), ["key"], "inner")
+            rank = F.struct("total", F.xxhash64("key"))
+        else:
+            dealt = _mixed(posts.where(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == turn % SHARE), known)
+            rank = F.xxhash64("key", F.lit(turn))
+        home = dealt.groupBy("gid").agg(F.max_by(F.struct("key", "total", "weight"), rank).alias("k")).select("gid", "k.*")
+        blocks = F.ceil(F.greatest(F.col("total") / BLOCK, F.col("weight") / WEIGHT))
+        dealt = attach(known, home, ["gid"], "inner").withColumn("y", F.pmod(F.xxhash64("node", F.lit(turn)), blocks))
+        rows = dealt.select(F.col("key").alias("x"), "y", "label", "node").join(payload, "node").select("x", "y", "label", "data")
+        found = cut(_dealt(rows, test, _block))
+        united = found.count()
+        if turn == 0:  # every node was in one task: its trees are the labels
+            known = relabel(known, found)
+        elif united:
+            known = relabel(known, components(found, "u", "v"))
+        drop(found)
+        log.info("%d nodes, round %d united %d", nodes, turn, united)
+        if united * GOES_ON < nodes and (turn or not united):
             break
-        links = links.union(found)
-    l, r = mixed.where("label != major").alias("l"), mixed.alias("r")
+    mixed = cut(_mixed(posts, known))
+    if not mixed.isEmpty():
+        pairs = _remaining(mixed, known, payload, test, near)
+        found = cut(_verified(pairs, payload, test))
+        drop(pairs)
+        if not found.isEmpty():
+            known = relabel(known, components(found, "u", "v"))
+        drop(found)
+    drop(mixed)
+    return known.where("node != label").select("node", "label")
+
+
+def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """posts by label (with n, and held: the group's nodes of that label), of the keys whose nodes have several; with
+    the key's total and weight and its major label."""
+    groups = known.groupBy("gid", "label").agg(F.first("n").alias("n"), F.count("*").alias("held"))
+    entries = posts.join(groups, "gid")
+    sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"), F.sum(F.col("held") * F.col("n")).alias("weight"))
+    keys = sums.groupBy("key").agg(F.max_by("label", "held").alias("major"), F.sum("held").alias("total"), F.sum("weight").alias("weight"), F.count("*").alias("labels"))
+    return attach(entries, keys.where("labels > 1").drop("labels"), ["key"], "inner")
+
+
+def _remaining(mixed: DataFrame, known: DataFrame, payload: DataFrame, test: Test, near) -> DataFrame:
+    """Pairs (a, b, la, lb) of nodes of different components that may link, cut."""
+    percent = test.percent
+    # Groups that have a partner at some key are expanded; a pair passes only if its own sketches allow it.
+    each = known.join(mixed.select("gid").distinct(), "gid", "left_semi")
+    each = cut(each.join(sketches(payload.join(each.select("node"), "node", "left_semi"), test), "node"))
+    rows = mixed.join(each.select("gid", "label", "node", "bits"), ["gid", "label"])
+    l, r = rows.where("label != major").alias("l"), rows.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
-    on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label")))
-    on = on & ((F.col("l.gid") == F.col("r.gid")) | may("l", "r"))
-    if "keys" in more:
-        on = on & (F.get(F.array_intersect("l.keys", "r.keys"), F.lit(0)) == F.col("l.key"))
-    pairs = l.join(r, on).select(F.col("l.gid").alias("ga"), F.col("l.label").alias("la"), F.col("r.gid").alias("gb"), F.col("r.label").alias("lb")).distinct()
-    known = known.select("gid", "node", "label")
-    pairs = pairs.join(known.toDF("ga", "a", "la"), ["ga", "la"]).join(known.toDF("gb", "b", "lb"), ["gb", "lb"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = cut(verify(pairs))
-    if found.isEmpty():
-        return labels
-    return components(links.union(found))
-
-
-def _inside(dealt: DataFrame, on: Column) -> DataFrame:
-    """Pairs of the representatives of postings of one key and block."""
-    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
-    rows = dealt.alias("l").join(dealt.alias("r"), same & on)
-    return rows.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+    on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label"))) & fits("l.n", "r.n", percent)
+    if near:
+        on = on & near("l", "r")
+    on = on & overlap("l.bits", "r.bits", "l.n", "r.n", percent)
+    swap = F.col("l.node") > F.col("r.node")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("l.node", "r.node", "a"), ("r.node", "l.node", "b"), ("l.label", "r.label", "la"), ("r.label", "l.label", "lb"))]
+    return recut(l.join(r, on).select(*ends).distinct(), each)
+
+
+def _verified(pairs: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
+    """The trees of labels (u, v) that pairs make which link. Partners of a node come in parts, each with its data once."""
+    parts = pairs.groupBy("a", "la").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    firsts = parts.select("a", "la", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("y"))
+    others = attach(pairs, parts, ["a", "la"], "inner").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("y"), "b", "lb")
+    firsts = firsts.select("a", "y", F.col("a").alias("node"), F.lit(0).alias("role"), F.col("la").alias("label"))
+    others = others.select("a", "y", F.col("b").alias("node"), F.lit(1).alias("role"), F.col("lb").alias("label"))
+    rows = firsts.union(others).join(payload, "node").select(F.col("a").alias("x"), "y", "role", "label", "data")
+    return _dealt(rows, test, _star)
