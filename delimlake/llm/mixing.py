@@ -6,9 +6,11 @@ source, documents in the order of their keys are a weighted sample without
 replacement. A source's word budget buys whole epochs of the source first; the
 rest buys the documents with the smallest keys, by their prefix sum.
 
-No source is sorted in one task: keys are cut into buckets of equal probability,
-prefix sums run over the buckets' totals, and only documents of the one bucket
-in which a source's budget ends are compared one by one.
+No source is sorted in one task: keys are cut into buckets of equal probability
+and prefix sums run over the buckets' totals. Only the documents of the one
+bucket in which a source's budget ends are sorted; they give the last key that
+the budget buys, and every document is then compared with its source's last key
+where it stands. Texts take no part: mix a table of ids and sizes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delimlake.llm.common import WORD, attach
+from delimlake.llm.common import WORD, attach, cut
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Key buckets a source. A bucket of a hot source is what one task sorts.
 BUCKETS = 1024
+#: Sources up to which facts about them, one row each, are broadcast.
+BROADCAST_SOURCES = 10_000
 #: Quality weights of documents by their label; documents without one weigh 1.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -87,49 +91,90 @@ def mix(
     """docs with size, source_size, target and taken (words the mix takes of the document).
 
     size and quality are columns over docs; quality above 0 (null, 0 and below
-    count as 1). taken is a multiple of size, at most cap times it. A source's
-    taken words differ from its target by at most half its largest document.
-    Null sources are a source of their own. Rows that agree in everything are
-    drawn one by one, but equal keys keep the order of size, so that reruns
-    agree. A null document id draws by its size alone. An empty table gives an
-    empty result. The columns size, source_size, target and taken of docs, if
-    any, are replaced.
+    count as 1). taken is size times the epochs, once more for the documents that
+    the rest of the budget buys, so at most cap times size. A source's taken
+    words differ from its target by at most half its largest document. Null
+    sources are a source of their own. Rows that agree in id, size and quality
+    (all null ids of a size, say) have one key and are taken together; if the
+    budget ends among several such rows, each gives the same share of its words,
+    rounded down. An empty table gives an empty result; documents without words
+    are taken 0 times. The columns size, source_size, target and taken of docs,
+    if any, are replaced.
     """
     made = ["size", "source_size", "target", "taken"]
     q = F.when(quality > 0, quality).otherwise(1.0).cast("double")
     rows = docs.withColumns({"__size": size, "__quality": q}).drop(*made)
-    key = -F.log(uniform(seed, F.col(ident), F.col("__size"))) / F.col("__quality")
-    rows = rows.withColumn("__key", key)
+    rows = rows.withColumn("__key", -F.log(uniform(seed, F.col(ident), F.col("__size"))) / F.col("__quality"))
     # 1 - exp(-key) is uniform for a quality of 1, and keeps the order of the keys.
     rows = rows.withColumn("__bucket", F.floor((1.0 - F.exp(-F.col("__key"))) * buckets).cast("int"))
     rows = rows.withColumns({"__source": F.coalesce(F.col(source), F.lit("")), "__named": F.col(source).isNotNull()})
-    keys = ["__named", "__source", "__bucket"]
+    keys = ["__named", "__source"]
 
-    parts = rows.groupBy(*keys).agg(F.sum("__size").alias("__words"))
+    parts = rows.groupBy(*keys, "__bucket").agg(F.sum("__size").alias("__words"))
     named = F.when(F.col("__named"), F.col("__source")).alias("source")
-    per = targets(parts.groupBy("__named", "__source").agg(F.sum("__words").alias("source_size")).select(named, "source_size"), weights, cap)
+    per = targets(parts.groupBy(*keys).agg(F.sum("__words").alias("source_size")).select(named, "source_size"), weights, cap)
     per = per.withColumns({"__source": F.coalesce("source", F.lit("")), "__named": F.col("source").isNotNull()}).drop("source", "weight")
     per = per.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    w = Window.partitionBy("__named", "__source").orderBy("__bucket")
-    parts = parts.withColumn("__before", F.sum("__words").over(w) - F.col("__words")).join(per, ["__named", "__source"])
-
-    rows = rows.join(parts, keys)
-    # Prefix sums inside a bucket; only where a budget ends do they decide.
-    inside = Window.partitionBy(*keys).orderBy("__key", F.col(ident).asc_nulls_last(), "__size")
-    sum_in = F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
-    fits = F.col("__before") + sum_in + F.col("__size") / 2 <= F.col("__rest")
-    taken = F.col("__size") * (F.col("__epochs") + fits.cast("long"))
-    out = rows.withColumn("taken", F.when(F.col("__size") > 0, taken).otherwise(0).cast("long"))
+    w = Window.partitionBy(*keys).orderBy("__bucket")
+    parts = parts.withColumn("__before", F.sum("__words").over(w) - F.col("__words"))
+    # The last bucket that begins within the budget; those before it are bought whole.
+    ends = parts.join(per, keys).where("__before <= __rest").groupBy(*keys).agg(F.max_by(F.struct("__bucket", "__before", "__rest"), "__bucket").alias("e"))
+    ends = cut(ends.select(*keys, F.col("e.__bucket").alias("__end"), F.col("e.__before").alias("__before"), F.col("e.__rest").alias("__rest")))
+
+    order = F.struct("__key", F.col(ident).isNull().alias("none"), F.col(ident).cast("string").alias("id"), "__size").alias("__at")
+    inside = _by_source(rows.select(*keys, "__bucket", "__size", order), ends, keys, "inner").where("__bucket = __end")
+    inside = inside.groupBy(*keys, "__at").agg(F.sum("__size").alias("__words"), F.count("*").alias("__n"), F.first("__before").alias("__before"), F.first("__rest").alias("__rest"))
+    upto = F.sum("__words").over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("__left", F.col("__rest") - F.col("__before") - (upto - F.col("__words")))
+    bought = F.when(F.col("__n") == 1, F.when(F.col("__words") / 2 <= F.col("__left"), 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__left") / F.greatest("__words", F.lit(1)))))
+    inside = inside.withColumn("__share", bought)
+    # Shares fall with the key: whole up to a last key, perhaps a part of the next, nothing after.
+    lasts = inside.groupBy(*keys).agg(F.max(F.when(F.col("__share") == 1, F.col("__at"))).alias("__last"), F.max(F.when((F.col("__share") > 0) & (F.col("__share") < 1), F.struct("__at", "__share"))).alias("__part"))
+    facts = cut(per.drop("__rest").join(ends.drop("__before", "__rest"), keys, "left").join(lasts, keys, "left"))
+
+    share = (
+        F.when(F.col("__bucket") < F.col("__end"), 1.0)
+        .when((F.col("__bucket") > F.col("__end")) | F.col("__end").isNull(), 0.0)
+        .when(F.col("__at") <= F.col("__last"), 1.0)
+        .when(F.col("__at") == F.col("__part.__at"), F.col("__part.__share"))
+        .otherwise(0.0)
+    )
+    out = _by_source(rows.withColumn("__at", order), facts, keys, "left")
+    out = out.withColumn("taken", (F.col("__size") * F.col("__epochs") + F.floor(F.col("__size") * share)).cast("long"))
     names = [F.col(c) for c in docs.columns if c not in made]
     return out.select(*names, F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
-def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as many times as it is taken."""
-    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
-    return mixed.select(*columns, times.alias("__copy")).select(*columns)
+def _by_source(rows: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined to facts, one row a source: in place while sources are few, else by a shuffle that splits hot ones."""
+    if facts.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(facts), keys, how)
+    return attach(rows, facts, keys, how)
+
+
+def copies(docs: DataFrame, sizes: DataFrame, *, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix itself: each row of docs as many times as it is taken whole.
+
+    sizes is mix() over source_sizes(docs): texts are shuffled once, to where their counts are. Rows of one ident,
+    source and text have one count. Columns of docs are kept as they are.
+    """
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    keys = ["__id", "__of", "__text"]
+    counts = sizes.select(*keys, times.alias("__times")).where("__times > 0").dropDuplicates(keys)
+    rows = attach(docs.withColumns(_row_keys(ident, source, text)), counts, keys, "inner")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+
+
+def _row_keys(ident: str, source: str, text: str) -> dict[str, Column]:
+    """Columns that name a row: ident and source (null apart from every value) and a hash of the text."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return {"__id": told(ident), "__of": told(source), "__text": F.xxhash64(text)}
+
+
+def source_sizes(docs: DataFrame, *, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(ident, source, words, and what names the row) of docs: a narrow table to mix."""
+    return docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("words"), *[c.alias(k) for k, c in _row_keys(ident, source, text).items()])
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
