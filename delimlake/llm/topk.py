@@ -67,8 +67,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, ident: str = "vec_id", vector
     nq, nc = max(1, -(-sizes["q"] // QUERY_BLOCK)), max(1, -(-sizes["n"] // BLOCK))
     # Blocks by the rows' numbers: repeated rows spread like others.
     no = F.monotonically_increasing_id()
-    left = rows.where("q").select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    right = rows.select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
+    left = rows.where("q").select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nq).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
+    right = rows.select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
 
     def cell(a, b):
         import pyarrow as pa
