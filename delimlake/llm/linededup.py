@@ -26,6 +26,8 @@ BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
 #: Characters that are hashed at once (or one longer line).
 BLOCK = 1 << 19
+#: Bytes of a line, about: only for the number of key ranges.
+LINE_BYTES = 128
 #: Line break, and white space that does not count at the ends of a line.
 BREAK, BLANK = "\n", " \t\r\x0b\x0c"
 
@@ -182,9 +184,8 @@ def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
 
 def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(node, label) of lines (by id) that are fuzzy duplicates of others; all but one of a component have a row."""
-    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit(BREAK), F.lit("")))
-    size = docs.agg(F.sum(1 + breaks)).first()[0] or 0
-    posts = cut(band_posts(docs, text, cooccur.ranges_for(size * BANDS)))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    posts = cut(band_posts(docs, text, cooccur.ranges_for(size // LINE_BYTES * BANDS)))
     if posts.isEmpty():
         return posts.select(F.lit(b"").alias("node"), F.lit(b"").alias("label")).limit(0)
     lines = line_texts(docs, text, cooccur.bitmap(posts, "ref"))
@@ -193,7 +194,7 @@ def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) ->
     named = attach(posts, lines.groupBy("ref").agg(F.collect_list("no").alias("nodes")), ["ref"], "inner")
     named = recut(named.select("key", F.explode("nodes").alias("gid")), posts)
     members = lines.select(F.col("no").alias("gid"), F.col("no").alias("node"), "n").join(named.select("gid").distinct(), "gid", "left_semi")
-    found = resolve(named, members, lines.select(F.col("no").alias("node"), "data"), LineSets(percent))
+    found = resolve(named, members, lines.select(F.col("no").alias("node"), "data"), LineSets(percent), few_keys=True)
     names = lines.select("no", "node")
     out = found.join(names.toDF("node", "__line"), "node").select(F.col("__line").alias("node"), "label")
     out = attach(out, names.toDF("label", "__line"), ["label"], "inner").select("node", F.col("__line").alias("label"))
@@ -201,7 +202,7 @@ def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) ->
 
 
 def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with __n_lines (all lines), __kept (their positions that stay, from 0) as columns.
+    """docs with __n_lines (lines that are not blank) and __kept (the positions that stay of them, from 0, among all).
 
     Of the lines of a component, the first stays: smallest ident (null last),
     then a hash of the text, then the position. Blank lines always stay.
@@ -219,7 +220,9 @@ def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", pe
     stay = stay.groupBy(*keys).agg(F.collect_list("pos").alias("__kept"))
     named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__text": content})
     out = named.join(stay, keys, "left").drop(*keys)
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), BREAK)))
+    # Without white space at its ends, cut at breaks and what is blank after them.
+    inner = F.btrim(F.col(text), F.lit(BREAK + BLANK))
+    n = F.when(F.length(inner) > 0, F.size(F.split(inner, rf"{BREAK}[{BREAK}{BLANK}]*"))).otherwise(0)
     return out.withColumns({"__kept": F.coalesce("__kept", F.array().cast("array<int>")), "__n_lines": n})
 
 
@@ -250,9 +253,7 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", p
     kept; n_lines and n_kept of docs, if any, are replaced.
     """
     rows = kept_lines(docs.drop("n_lines", "n_kept"), ident=ident, text=text, percent=percent)
-    blank = F.coalesce(F.size(F.filter(F.split(F.col(text), BREAK), lambda x: F.btrim(x, F.lit(BLANK)) == "")), F.lit(0))
-    blank = F.when(F.col(text).isNull(), 0).otherwise(blank)
-    rows = rows.withColumns({"n_lines": (F.col("__n_lines") - blank).cast("long"), "n_kept": F.size("__kept").cast("long")})
+    rows = rows.withColumns({"n_lines": F.col("__n_lines").cast("long"), "n_kept": F.size("__kept").cast("long")})
     # Only texts that lose lines travel to Python.
     changed = F.col("n_kept") < F.col("n_lines")
     cut = cut_lines(F.when(changed, F.col(text)), F.when(changed, F.col("__kept")))

@@ -33,7 +33,7 @@ BLOCK, WEIGHT = 64, 1 << 20
 PARTNERS = 256
 #: Rounds go on while the last one has united one in GOES_ON nodes with others; a round after the first looks
 #: at one in SHARE keys.
-ROUNDS, GOES_ON, SHARE = 12, 400, 4
+ROUNDS, GOES_ON, SHARE = 12, 100, 4
 #: Longs of a parity sketch.
 SKETCH = 16
 
@@ -151,13 +151,15 @@ def relabel(known: DataFrame, found: DataFrame) -> DataFrame:
     return recut(rows, known)
 
 
-def resolve(posts: DataFrame, members: DataFrame, payload: DataFrame, test: Test, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def resolve(posts: DataFrame, members: DataFrame, payload: DataFrame, test: Test, near: Callable[[str, str], Column] | None = None, few_keys: bool = False) -> DataFrame:
     """(node, label) of the nodes whose component has a smaller node; label is the smallest one.
 
     posts(key, gid, ...): groups of nodes by key, once each; members(gid, node,
     n): the nodes of each group, which are candidates of each other and share all
     its keys, with the size of their sets; payload(node, data): what test loads. near(l, r) may rule out a pair of
     groups at a key, over the aliases of two rows of posts with their n.
+    few_keys: groups have a bounded number of keys, so that each row can hold
+    them all and a pair is met at its first common key alone.
     """
     known = cut(members.select("gid", "node", "n", F.col("node").alias("label")))
     nodes = known.count()
@@ -186,7 +188,7 @@ def resolve(posts: DataFrame, members: DataFrame, payload: DataFrame, test: Test
             break
     mixed = cut(_mixed(posts, known))
     if not mixed.isEmpty():
-        pairs = _remaining(mixed, known, payload, test, near)
+        pairs = _remaining(mixed, known, payload, test, near, few_keys)
         found = cut(_verified(pairs, payload, test))
         drop(pairs)
         if not found.isEmpty():
@@ -206,19 +208,23 @@ def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
     return attach(entries, keys.where("labels > 1").drop("labels"), ["key"], "inner")
 
 
-def _remaining(mixed: DataFrame, known: DataFrame, payload: DataFrame, test: Test, near) -> DataFrame:
+def _remaining(mixed: DataFrame, known: DataFrame, payload: DataFrame, test: Test, near, few_keys: bool) -> DataFrame:
     """Pairs (a, b, la, lb) of nodes of different components that may link, cut."""
     percent = test.percent
     # Groups that have a partner at some key are expanded; a pair passes only if its own sketches allow it.
     each = known.join(mixed.select("gid").distinct(), "gid", "left_semi")
     each = cut(each.join(sketches(payload.join(each.select("node"), "node", "left_semi"), test), "node"))
     rows = mixed.join(each.select("gid", "label", "node", "bits"), ["gid", "label"])
+    if few_keys:  # those that are mixed: two labels that share a key make it so
+        rows = rows.join(mixed.groupBy("gid").agg(F.sort_array(F.collect_set("key")).alias("keys")), "gid")
     l, r = rows.where("label != major").alias("l"), rows.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
     on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label"))) & fits("l.n", "r.n", percent)
     if near:
         on = on & near("l", "r")
     on = on & overlap("l.bits", "r.bits", "l.n", "r.n", percent)
+    if few_keys:
+        on = on & (F.get(F.array_intersect("l.keys", "r.keys"), F.lit(0)) == F.col("l.key"))
     swap = F.col("l.node") > F.col("r.node")
     ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("l.node", "r.node", "a"), ("r.node", "l.node", "b"), ("l.label", "r.label", "la"), ("r.label", "l.label", "lb"))]
     return recut(l.join(r, on).select(*ends).distinct(), each)
