@@ -220,9 +220,13 @@ def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", pe
     stay = stay.groupBy(*keys).agg(F.collect_list("pos").alias("__kept"))
     named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__text": content})
     out = named.join(stay, keys, "left").drop(*keys)
-    # Without white space at its ends, cut at breaks and what is blank after them.
-    inner = F.btrim(F.col(text), F.lit(BREAK + BLANK))
-    n = F.when(F.length(inner) > 0, F.size(F.split(inner, rf"{BREAK}[{BREAK}{BLANK}]*"))).otherwise(0)
+    lines = F.split(F.col(text), BREAK)
+    # Only a text with white space at the start of a line can hold lines of white space alone.
+    some = F.substring(F.col(text), 1, 1).isin(*BLANK)
+    for c in BLANK:
+        some = some | F.contains(F.col(text), F.lit(BREAK + c))
+    worded = F.when(some, F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != ""))).otherwise(F.size(F.array_remove(lines, "")))
+    n = F.when(F.col(text).isNull(), 0).otherwise(worded)
     return out.withColumns({"__kept": F.coalesce("__kept", F.array().cast("array<int>")), "__n_lines": n})
 
 
