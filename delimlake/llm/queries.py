@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import jaccard, langid, licenses, linededup, mixing, packing, secrets, spotsigs, topk, warc
+from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, secrets, spotsigs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), topk.quantize(F.col("embedding"), 256).alias("vector"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan,
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_spotsigs_fingerprints,
         op10_line_dedup,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
@@ -213,6 +221,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 10
 """
 
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rn, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.label <> c.label OR a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS no FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.rn, p.no ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.rn = p.rn AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.no <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 OP8_SQL = r"""
 WITH q AS (
   SELECT doc_id, avg(CASE WHEN quality = 1 THEN 2.0 WHEN quality = 0 THEN 0.5 ELSE 1.0 END) AS weight
@@ -254,4 +282,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL, "op13_hard_negatives": OP13_SQL}
