@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, secrets, spotsigs, topk, warc
+from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, secrets, spelling, spotsigs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), spelling.slip)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_spotsigs_fingerprints,
         op10_line_dedup,
+        op12_spelling_variants,
         op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
@@ -221,6 +227,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 10
 """
 
+# The CRC-32 of a word comes byte by byte from its table; near words agree once a character of one of them is masked or left out.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+), d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS head,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), c AS (
+  SELECT head, run, count(*) AS n FROM d GROUP BY ALL
+), b AS (
+  SELECT run, n, flatten(list_transform(string_split(head || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + ord(x) // 64 AS BIGINT), CAST(128 + ord(x) % 64 AS BIGINT)] END)) AS bytes FROM c
+), h AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda s, x: xor(s // 256, t[CAST(xor(s % 256, x) AS INTEGER) + 1]), 4294967295), 4294967295) AS h FROM b, crc
+), s AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), i AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), v AS (
+  SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS masked, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM i
+), p AS (
+  SELECT DISTINCT v.word, w.word AS other FROM v JOIN w ON w.word = v.shorter
+), e AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.masked = b.masked AND a.word <> b.word
+  UNION ALL SELECT p.word, other, n FROM p JOIN w ON w.word = other UNION ALL SELECT other, p.word, n FROM p JOIN w ON w.word = p.word
+), f AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM e GROUP BY word
+), g AS (
+  SELECT e.word, min(other) AS form FROM e JOIN f ON f.word = e.word AND e.other_n = f.form_n GROUP BY e.word
+), o AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN g.form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN f USING (word) LEFT JOIN g USING (word)
+), r(word, root, form) AS (
+  SELECT word, word, form FROM o UNION ALL SELECT r.word, o.word, o.form FROM r JOIN o ON o.word = r.form
+)
+SELECT o.word, o.form, r.root, o.n, o.n_near, o.form_n FROM o JOIN r ON r.word = o.word AND r.form IS NULL
+"""
+
 OP13_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -282,4 +327,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
