@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, secrets, spelling, spotsigs, topk, warc
+from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, repeats, secrets, spelling, spotsigs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"), spelling.slip)
     return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_spotsigs_fingerprints,
         op10_line_dedup,
+        op11_suffix_repeats,
         op12_spelling_variants,
         op13_hard_negatives,
     )
@@ -227,6 +233,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 10
 """
 
+# Bytes as pairs of hexadecimal digits; of equal strings all but the first mark what they cover.
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rn, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), o AS (
+  SELECT rn, o, substr(h, CAST(2 * o + 1 AS BIGINT), 598) AS h FROM (SELECT rn, h, unnest(range(0, len(h) // 2 - 99, 200)) AS o FROM d)
+), s AS (
+  SELECT rn, o + a AS a, md5_number(substr(h, CAST(2 * a + 1 AS BIGINT), 200)) AS s FROM (SELECT rn, o, h, unnest(range(len(h) // 2 - 99)) AS a FROM o)
+), m AS (
+  SELECT s, min((rn, a)) AS first FROM s GROUP BY s HAVING count(*) > 1
+), l AS (
+  SELECT rn, a, lag(a) OVER (PARTITION BY rn ORDER BY a) AS p FROM s JOIN m USING (s) WHERE (rn, a) <> first
+), g AS (
+  SELECT rn, a, sum(CASE WHEN p IS NULL OR a > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY rn ORDER BY a) AS g FROM l
+), r AS (
+  SELECT rn, g, min(a) AS b, max(a) + 100 AS e FROM g GROUP BY rn, g
+), k AS (
+  SELECT rn, e AS b, lead(b) OVER (PARTITION BY rn ORDER BY b) AS e FROM r UNION ALL SELECT rn, 0, min(b) FROM r GROUP BY rn
+), t AS (
+  SELECT rn, string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (coalesce(e, len(h) // 2) - b) AS BIGINT)), '' ORDER BY b) AS kept FROM k JOIN d USING (rn) GROUP BY rn
+), n AS (
+  SELECT rn, count(*) AS n_spans, CAST(sum(e - b) AS BIGINT) AS n_removed FROM r GROUP BY rn
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (rn) LEFT JOIN t USING (rn)
+"""
+
 # The CRC-32 of a word comes byte by byte from its table; near words agree once a character of one of them is masked or left out.
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (
@@ -327,4 +360,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op9_spotsigs_fingerprints": _op9_sql(), "op3_warc_archives": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_source_mixing": OP8_SQL, "op11_suffix_repeats": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
