@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delimlake.llm import cooccur
-from delimlake.llm.common import attach, cut, recut
+from delimlake.llm.common import attach, cut, drop, recut
 from delimlake.llm.cooccur import mix64
 
 #: Bytes of a string that counts as a repeat.
 LENGTH = 100
 #: Bytes of a text that are hashed at a time, and of a block's passages, about.
-SPAN, BLOCK = 1 << 20, 1 << 20
+SPAN, BLOCK = 1 << 18, 1 << 20
 #: Different passages that a key may bring to a block.
 MOST = 2048
 #: Ends a passage within a block; UTF-8 has no such byte, and strings that hold it are not looked at.
@@ -70,17 +70,16 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:count], m[width - n : width - n + count])
 
 
-def passages(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+def passages(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, whole: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, at, n, gram, content, lead) of the passages of texts that lie end to end in data: the text's
     number, the place of the first string in data, how many strings, hashes of the leading gram and of the
-    passage, and how many bytes after its first string the gram starts."""
+    passage, and how many bytes after its first string the gram starts; without whole, the last two are left out."""
     size = gram_size(length)
-    width, further = length - size + 1, 1 << (length.bit_length() - 1)
+    width, further = length - size + 1, 1 << (length.bit_length() - 1) if whole else size
     for begin in range(0, len(data) - length + 1, SPAN):
         part = data[begin : begin + SPAN + length - 1]
         count = len(part) - length + 1
         h, wide = gram_hashes(part, size, further)
-        string = mix64(wide[:count] * np.uint64(_FACTOR) + wide[length - further : length - further + count])
         least = least_of(h, width)
         new = np.ones(count, bool)
         # Another least gram, or the leading one has dropped out.
@@ -95,8 +94,13 @@ def passages(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterat
         at, last, text = at[good], last[good], text[good]
         if not len(at):
             continue
+        if not whole:
+            yield text, begin + at, last - at + 1, least[at]
+            continue
+        # A string is told by the hashes of its two ends, a passage by its first and last string.
+        first, final = (mix64(wide[x] * np.uint64(_FACTOR) + wide[x + length - further]) for x in (at, last))
         lead = last + np.lib.stride_tricks.sliding_window_view(h, width)[last].argmin(axis=1) - at
-        content = mix64(string[at] * np.uint64(_FACTOR) + string[last] + (last - at).astype(np.uint64))
+        content = mix64(first * np.uint64(_FACTOR) + final + (last - at).astype(np.uint64))
         yield text, begin + at, last - at + 1, least[at], content, lead
 
 
@@ -124,7 +128,7 @@ def shared_grams(docs: DataFrame, ranges: int, length: int = LENGTH) -> DataFram
         for b in batches:
             rows = b.column(0).to_numpy().astype(np.uint64)
             data, ends = _texts(b.column(1))
-            for text, at, _, gram, _, _ in passages(data, ends, length):
+            for text, at, _, gram in passages(data, ends, length, whole=False):
                 place = mix64(rows[text] * np.uint64(_FACTOR) + mix64((at - (ends[text] - ends[0])).astype(np.uint64)))
                 yield gram, (place | np.uint64(1)).astype(np.int64)
 
@@ -299,7 +303,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     # A passage has half of the strings that a gram can lead.
     ranges = cooccur.ranges_for(2 * size // (length - gram_size(length)) if length > gram_size(length) else size)
-    grams = cooccur.bitmap(shared_grams(docs, ranges, length), "key")
+    keys = cut(shared_grams(docs, ranges, length))
+    grams = cooccur.bitmap(keys, "key")
+    drop(keys)
     rows = cut(shared_passages(docs, grams, ranges, length))
     firsts, again = collapse(rows, ["gram", "content"])
     found = [again]
