@@ -1,4 +1,4 @@
-"""Delimited text to records: lines(doc_id, block, line_no, line) -> records(doc_id, record_no, cells).
+"""Delimited text to records: lines(doc_id, block, line_no, line) -> records(doc_id, block, blocks, record_no, cells).
 
 The state that runs across lines is the parity of quotes and a flag about the
 next quoted line break, so it is a matter of running sums and maxima:
@@ -10,14 +10,16 @@ next quoted line break, so it is a matter of running sums and maxima:
   line break clears);
 * any other line break ends the record.
 
-Two forms give the same result. ``stitch`` runs windows over documents;
-``stitch_blocks`` runs them over the blocks of a document and carries the state
-from block to block by a few rows a document, for documents too large for a task.
+A document comes in blocks (all of a short one, parts of a long one), and no
+task needs more than a block. What a block does to that state is worked out for
+both parities with which it may be entered, in one pass; running sums over a row
+a block tell how each is entered; a second pass numbers the records, and a record
+that crosses from block to block goes to the block in which it starts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Marks that stand for special characters while a record is cut (noncharacters, refused in input).
@@ -39,87 +41,109 @@ def detect_delimiter(first_line: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(","))
 
 
-def _facts(lines: DataFrame) -> DataFrame:
-    """With nq (quotes that count) and esc (the line break is escaped)."""
+KEYS = ["doc_id", "block"]
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """With nq (quotes that count), esc (the line break is escaped) and upto (the block's quotes up to the line)."""
     bare = F.regexp_replace("line", r"(?s)\\.", "")
-    rows = lines.withColumn("bare", bare)
-    return rows.withColumns({"nq": F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit(""))), "esc": F.endswith("bare", F.lit("\\"))}).drop("bare")
+    rows = lines.select(*KEYS, "line_no", "line").withColumn("bare", bare)
+    rows = rows.withColumns({"nq": F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit(""))), "esc": F.endswith("bare", F.lit("\\"))}).drop("bare")
+    return rows.withColumn("upto", F.sum("nq").over(_so_far()))
 
 
-def _opens(before: Column) -> Column:
-    """A quote opens at the start of this line, not the first of the text."""
-    return (F.col("line_no") > 0) & F.startswith(F.col("line"), F.lit('"')) & (before % 2 == 0)
+def _block() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("line_no")
 
 
-def _joint(keep: Column) -> Column:
-    """What follows the line within its record; null where the record ends."""
-    return F.when(F.col("esc") & ~F.col("last"), F.lit("\n")).when(F.col("q"), F.when(keep, F.lit("\n")).otherwise(F.lit(" ")))
+def _so_far() -> WindowSpec:
+    return _block().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _assemble(rows: DataFrame) -> DataFrame:
-    """(doc_id, record_no, delim, text) of rows with record_no and joint."""
-    piece = F.struct("line_no", F.concat("line", F.coalesce("joint", F.lit(""))).alias("piece"))
-    parts = rows.groupBy("doc_id", "record_no").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.first("delim").alias("delim"))
-    return parts.select("doc_id", "record_no", "delim", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+def _earlier() -> WindowSpec:
+    return _block().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _opens(parity: Column) -> Column:
+    """A quote opens at the start of this line, not the first of the text; parity: of the quotes before the block."""
+    return (F.col("line_no") > 0) & F.startswith(F.col("line"), F.lit('"')) & ((parity + F.col("upto") - F.col("nq")) % 2 == 0)
+
 
+def _folds(parity: Column) -> Column:
+    """The line break after this line, if any, stands in quotes."""
+    return ((parity + F.col("upto")) % 2 == 1) & ~F.col("esc")
 
-def _delim(delimiter: str | None) -> Column | None:
+
+def block_states(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """A row a block: how it is entered.
+
+    (doc_id, block, no, blocks, delim, parity, opened, folded, ended, home, end):
+    its number in the document and how many there are, the parity of the quotes
+    before it, the last line before it that opens with a quote and the last whose
+    break is quoted, the records ended before it, the number of the block where
+    the record starts in which it is entered (its own if a record starts with it),
+    and its last line if that is the document's.
+    """
+    found = []
+    for e in (0, 1):  # for either parity
+        opens, folds = _opens(F.lit(e)), _folds(F.lit(e))
+        ends = ~F.col("esc") & ~folds
+        found += [
+            F.max(F.when(opens, F.col("line_no"))).alias(f"opened{e}"),
+            F.max(F.when(folds, F.col("line_no"))).alias(f"folded{e}"),
+            F.count(F.when(ends, True)).alias(f"n{e}"),
+            F.max_by(~ends, "line_no").alias(f"open{e}"),
+        ]
+    head = F.max(F.when(F.col("line_no") == 0, detect_delimiter(F.col("line")))) if not delimiter else F.lit(None).cast("string")
+    per = _counted(lines).groupBy(*KEYS).agg(F.sum("nq").alias("quotes"), F.max("line_no").alias("top"), head.alias("head"), *found)
+    doc = Window.partitionBy("doc_id").orderBy("block")
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({
+        "parity": F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2,
+        "final": F.lead("block").over(doc).isNull(),
+        "delim": F.lit(delimiter) if delimiter else F.max("head").over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    per = per.select(*KEYS, "delim", "parity", "final", "top", *[F.when(F.col("parity") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c) for c in ("opened", "folded", "n", "open")])
+    per = per.withColumns({"no": (F.row_number().over(doc) - 1).cast("long"), "middle": F.coalesce(F.lag("open").over(doc), F.lit(False))})
+    # The record at a block's end starts in it where another ended before, or where the block starts with it.
+    started = F.max(F.when((F.col("n") > 0) | ~F.col("middle"), F.col("no"))).over(before)
+    return per.select(
+        *KEYS, "no", F.count("*").over(Window.partitionBy("doc_id")).alias("blocks"), "delim", "parity",
+        F.max("opened").over(before).alias("opened"),
+        F.max("folded").over(before).alias("folded"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ended"),
+        F.when(F.col("middle"), started).otherwise(F.col("no")).alias("home"),
+        F.when(F.col("final"), F.col("top")).alias("end"),
+    )
+
+
+def _numbered(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """(doc_id, home, blocks, line_no, line, delim, record_no, joint): joint follows the line within its record, null
+    where the record ends; home: the number of the block where it starts."""
+    rows = rows.join(states, KEYS)
+    last = F.coalesce(F.col("line_no") == F.col("end"), F.lit(False))
+    rows = rows.withColumns({"a": _opens(F.col("parity")), "q": _folds(F.col("parity")) & ~last, "e": F.col("esc") & ~last})
+    opened = F.greatest("opened", F.max(F.when(F.col("a"), F.col("line_no"))).over(_so_far()))
+    folded = F.greatest("folded", F.max(F.when(F.col("q"), F.col("line_no"))).over(_earlier()))
+    joint = F.when(F.col("e"), F.lit("\n")).when(F.col("q"), F.when(opened > F.coalesce(folded, F.lit(-1)), F.lit("\n")).otherwise(F.lit(" ")))
+    within = F.coalesce(F.sum((~F.col("e") & ~F.col("q")).cast("long")).over(_earlier()), F.lit(0))
+    home = F.when(within == 0, F.col("home")).otherwise(F.col("no"))
+    return rows.select("doc_id", home.alias("home"), "blocks", "line_no", "line", "delim", (F.col("ended") + within).alias("record_no"), joint.alias("joint"))
+
+
+def stitch(lines: DataFrame, delimiter: str | None = None, states: DataFrame | None = None) -> DataFrame:
+    """(doc_id, block, blocks, record_no, delim, text): the records of lines, uncut.
+
+    block: the number of the block where the record starts, of so many of its
+    document. states: those of the blocks that are wanted, where they are known.
+    """
     if delimiter == "\n":
         raise ValueError("a line break can't be the delimiter")
-    return F.lit(delimiter) if delimiter else None
-
-
-def stitch(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """(doc_id, record_no, delim, text), by windows over documents."""
-    doc = Window.partitionBy("doc_id").orderBy("line_no")
-    so_far = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = doc.rowsBetween(Window.unboundedPreceding, -1)
-    delim = _delim(delimiter)
-    rows = _facts(lines)
-    rows = rows.withColumns({
-        "after": F.sum("nq").over(so_far),
-        "last": F.lead("line_no").over(doc).isNull(),
-        "delim": delim if delim is not None else F.first(detect_delimiter(F.col("line"))).over(so_far),
-    })
-    rows = rows.withColumns({"a": _opens(F.col("after") - F.col("nq")), "q": (F.col("after") % 2 == 1) & ~F.col("esc") & ~F.col("last")})
-    opened = F.max(F.when(F.col("a"), F.col("line_no"))).over(so_far)
-    folded = F.max(F.when(F.col("q"), F.col("line_no"))).over(earlier)
-    rows = rows.withColumn("joint", _joint(opened > F.coalesce(folded, F.lit(-1))))
-    ends = F.col("joint").isNull().cast("long")
-    rows = rows.withColumn("record_no", F.coalesce(F.sum(ends).over(earlier), F.lit(0)))
-    return _assemble(rows)
-
-
-def stitch_blocks(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """As stitch, but no window spans more than a block; what a block hands on is one row."""
-    keys = ["doc_id", "block"]
-    doc = Window.partitionBy("doc_id").orderBy("block")
-    blocks_before = doc.rowsBetween(Window.unboundedPreceding, -1)
-    block = Window.partitionBy(*keys).orderBy("line_no")
-    so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = block.rowsBetween(Window.unboundedPreceding, -1)
-    delim = _delim(delimiter)
-    facts = _facts(lines)
-
-    # Quote parity before each block, the document's last line and its delimiter.
-    whole = Window.partitionBy("doc_id")
-    first = F.min_by("line", "line_no")
-    per = facts.groupBy(*keys).agg(F.sum("nq").alias("quotes"), F.max("line_no").alias("top"), F.min("line_no").alias("low"), first.alias("first"))
-    found = delim if delim is not None else detect_delimiter(F.first("first").over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    per = per.select(*keys, F.coalesce(F.sum("quotes").over(blocks_before), F.lit(0)).alias("quotes"), F.max("top").over(whole).alias("end"), found.alias("delim"))
-    rows = facts.join(per, keys)
-    rows = rows.withColumns({"after": F.col("quotes") + F.sum("nq").over(so_far), "last": F.col("line_no") == F.col("end")})
-    rows = rows.withColumns({"a": _opens(F.col("after") - F.col("nq")), "q": (F.col("after") % 2 == 1) & ~F.col("esc") & ~F.col("last")})
-
-    # Last opening quote, last quoted line break and record ends before each block.
-    ends = ~(F.col("esc") & ~F.col("last")) & ~F.col("q")
-    opened, folded = F.when(F.col("a"), F.col("line_no")), F.when(F.col("q"), F.col("line_no"))
-    state = rows.groupBy(*keys).agg(F.max(opened).alias("o"), F.max(folded).alias("f"), F.sum(ends.cast("long")).alias("e"))
-    state = state.select(*keys, F.max("o").over(blocks_before).alias("opened"), F.max("f").over(blocks_before).alias("folded"), F.coalesce(F.sum("e").over(blocks_before), F.lit(0)).alias("ended"))
-    rows = rows.join(state, keys)
-    keep = F.greatest("opened", F.max(opened).over(so_far)) > F.coalesce(F.greatest("folded", F.max(folded).over(earlier)), F.lit(-1))
-    rows = rows.withColumns({"joint": _joint(keep), "record_no": F.col("ended") + F.coalesce(F.sum(ends.cast("long")).over(earlier), F.lit(0))})
-    return _assemble(rows)
+    rows = _numbered(_counted(lines), block_states(lines, delimiter) if states is None else states)
+    piece = F.struct("line_no", F.concat("line", F.coalesce("joint", F.lit(""))).alias("piece"))
+    same = [F.first(c).alias(c) for c in ("blocks", "delim")]
+    parts = rows.groupBy("doc_id", "home", "record_no").agg(F.array_sort(F.collect_list(piece)).alias("p"), *same)
+    return parts.select("doc_id", F.col("home").alias("block"), "blocks", "record_no", "delim", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
 
 def split_cells(text: Column, delim: Column) -> Column:
@@ -138,14 +162,18 @@ def split_cells(text: Column, delim: Column) -> Column:
     return F.transform(cells, lambda c: trim(F.replace(F.replace(c, F.lit(QUOTE), F.lit('"')), F.lit(DELIM), delim)))
 
 
-def parse_records(lines: DataFrame, delimiter: str | None = None, *, large: bool = False) -> DataFrame:
-    """records(doc_id, record_no, cells) in the order of record_no; records of blank cells alone are left out.
+def cut_records(texts: DataFrame) -> DataFrame:
+    """records(doc_id, block, blocks, record_no, cells) of stitched texts; records of blank cells alone are left out."""
+    # A generator, which filters on the cells don't cross: each record is split once.
+    once = F.explode(F.array(split_cells(F.col("text"), F.col("delim"))))
+    return texts.select(*KEYS, "blocks", "record_no", once.alias("cells")).where(F.exists("cells", lambda c: c != ""))
+
+
+def parse_records(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """records(doc_id, block, blocks, record_no, cells) in the order of record_no; records of blank cells alone are left out.
 
     delimiter: one character; None or '' detects it from each document's first
-    line. large: documents may be too large for one task.
+    line. Documents may be of any size: a task holds a block, or one record.
+    block and blocks: see stitch.
     """
-    text = (stitch_blocks if large else stitch)(lines, delimiter)
-    # A generator, which filters on the cells don't cross: each record is split once.
-    once = F.explode(F.array(split_cells(F.col("text"), F.col("delim"))))
-    rows = text.select("doc_id", "record_no", once.alias("cells"))
-    return rows.where(F.exists("cells", lambda c: c != ""))
+    return cut_records(stitch(lines, delimiter))

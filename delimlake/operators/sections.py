@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from delimlake.operators.records import parse_records, trim
+from delimlake.operators.records import block_states, cut_records, parse_records, stitch, trim
 
 #: Row types, by their lower-case names; a row of any other type is quarantined.
 TYPES = ("header", "data", "total", "subtotal", "notes")
@@ -32,7 +32,7 @@ class Report:
 
 
 def route_rows(records: DataFrame, section_col: int = 0, type_col: int = 1) -> DataFrame:
-    """(doc_id, record_no, cells, section, kind, payload); kind is a row type, 'other' or 'unkeyed'.
+    """(doc_id, block, blocks, record_no, cells, section, kind, payload); kind is a row type, 'other' or 'unkeyed'.
 
     Records of fewer than two cells are left out. The columns count from 0; the
     payload is what follows the later of the two.
@@ -46,7 +46,7 @@ def route_rows(records: DataFrame, section_col: int = 0, type_col: int = 1) -> D
     name = F.lower("type")
     kind = F.when(blank, "unkeyed").when(name.isin(*TYPES), name).otherwise("other")
     payload = F.slice("cells", F.lit(at), F.greatest(F.size("cells") - at + 1, F.lit(0)))
-    return rows.select("doc_id", "record_no", "cells", "section", kind.alias("kind"), payload.alias("payload"))
+    return rows.select("doc_id", "block", "blocks", "record_no", "cells", "section", kind.alias("kind"), payload.alias("payload"))
 
 
 def section_index(routed: DataFrame) -> DataFrame:
@@ -61,29 +61,23 @@ def section_headers(routed: DataFrame) -> DataFrame:
     return got.withColumn("headers", F.coalesce("headers", F.array().cast("array<string>")))
 
 
-def bind_headers(routed: DataFrame, block: int | None = None) -> DataFrame:
-    """Data, total and subtotal rows with names: the payload of the latest header above them (null if none).
+def bind_headers(routed: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """routed with names: for data, total and subtotal rows the payload of the latest header above them (null if none).
 
-    block: bind within ranges of so many record numbers and carry the latest
-    header from range to range, for sections too large for one task.
+    Rows look for it in their block; each block is handed the latest header of
+    the blocks before it, a row a section. heads: the routed header rows, where
+    they are known more cheaply than from routed.
     """
+    heads = (routed if heads is None else heads).where("kind = 'header'")
+    last = heads.groupBy("doc_id", "section", "block").agg(F.max_by("payload", "record_no").alias("carried"), F.first("blocks").alias("blocks"))
+    until = F.coalesce(F.lead("block").over(Window.partitionBy("doc_id", "section").orderBy("block")), F.col("blocks") - 1)
+    last = last.select("doc_id", "section", "carried", F.col("block").alias("since"), until.alias("until")).where("until > since")
+    last = last.select("doc_id", "section", "carried", F.explode(F.sequence(F.col("since") + 1, F.col("until"))).alias("block"))
+    keys = ["doc_id", "block", "section"]
     named = F.when(F.col("kind") == "header", F.col("payload"))
-    rows = routed.where(F.col("kind").isin("header", *ROWS))
-    keys = ["doc_id", "section"]
-    if block is None:
-        w = Window.partitionBy(*keys).orderBy("record_no").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("names", F.last(named, ignorenulls=True).over(w))
-    else:
-        rows = rows.withColumn("range", F.floor(F.col("record_no") / block))
-        last = rows.where("kind = 'header'").groupBy(*keys, "range").agg(F.max_by("payload", "record_no").alias("names"))
-        # Ranges with rows but no header take the one before.
-        ranges = rows.select(*keys, "range").distinct().join(last, [*keys, "range"], "left")
-        before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.select(*keys, "range", F.last("names", ignorenulls=True).over(before).alias("carried"))
-        w = Window.partitionBy(*keys, "range").orderBy("record_no").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("names", F.last(named, ignorenulls=True).over(w)).join(ranges, [*keys, "range"])
-        rows = rows.withColumn("names", F.coalesce("names", "carried")).drop("carried", "range")
-    return rows.where(F.col("kind").isin(*ROWS))
+    above = Window.partitionBy(*keys).orderBy("record_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = routed.withColumn("names", F.last(named, ignorenulls=True).over(above)).join(last, keys, "left")
+    return rows.withColumn("names", F.when(F.col("kind").isin(*ROWS), F.coalesce("names", "carried"))).drop("carried")
 
 
 def row_map(names: Column, values: Column, raw: bool = False) -> Column:
@@ -96,13 +90,17 @@ def row_map(names: Column, values: Column, raw: bool = False) -> Column:
     vs = F.transform(places, lambda i: F.coalesce(F.get(values, i), F.lit("")))
     if raw:
         ks, vs = F.concat(ks, F.array(F.lit(RAW))), F.concat(vs, F.array(F.to_json(values)))
-    once = F.array_distinct(ks)
-    return F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(F.reverse(vs), F.array_position(F.reverse(ks), k).cast("int"))))
+    # Of each name the last place: the sorted places, each beside the next.
+    sorted_ = F.array_sort(F.transform(F.arrays_zip(ks.alias("k"), vs.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    pairs = F.arrays_zip(sorted_.alias("x"), F.slice(sorted_, F.lit(2), F.greatest(F.size(ks), F.lit(1))).alias("next"))
+    kept = F.filter(pairs, lambda p: p["next"].isNull() | (p["next"]["k"] != p["x"]["k"]))
+    unique = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["x"]["k"], p["x"]["v"])))
+    return F.when(F.size(F.array_distinct(ks)) == F.size(ks), F.map_from_arrays(ks, vs)).otherwise(unique)
 
 
-def section_rows(routed: DataFrame, raw: bool = False, block: int | None = None) -> DataFrame:
-    """(doc_id, section, record_no, kind, row, raw): data, total and subtotal rows as maps."""
-    rows = bind_headers(routed, block)
+def section_rows(bound: DataFrame, raw: bool = False) -> DataFrame:
+    """(doc_id, section, record_no, kind, row, raw): data, total and subtotal rows, with names, as maps."""
+    rows = bound.where(F.col("kind").isin(*ROWS))
     return rows.select("doc_id", "section", "record_no", "kind", row_map(F.col("names"), F.col("payload"), raw).alias("row"), F.to_json("payload").alias("raw"))
 
 
@@ -117,10 +115,70 @@ def unparsed(routed: DataFrame) -> DataFrame:
     return routed.where(F.col("kind").isin("unkeyed", "other")).select("doc_id", "record_no", "cells")
 
 
-def parse_report(lines: DataFrame, section_col: int = 0, type_col: int = 1, raw: bool = False, *, large: bool = False, block: int | None = None) -> Report:
-    """All tables of comma-delimited reports, lazily."""
-    routed = route_rows(parse_records(lines, ",", large=large), section_col, type_col)
-    return Report(section_index(routed), section_headers(routed), section_rows(routed, raw, block), section_notes(routed), unparsed(routed))
+def _may_be_header(text: Column) -> Column:
+    """Whether a record's text can have a cell 'header', before it is cut: quotes and backslashes are not part of cells."""
+    return F.contains(F.lower(F.translate(text, '"\\', "")), F.lit("header"))
+
+
+def bound_records(lines: DataFrame, section_col: int = 0, type_col: int = 1) -> DataFrame:
+    """The routed records of comma-delimited reports, with the names of their rows (see route_rows and bind_headers)."""
+    states = block_states(lines, ",")
+    routed = route_rows(cut_records(stitch(lines, ",", states)), section_col, type_col)
+    # Headers that other blocks may need: of all blocks but the last, and the parts of records that go on.
+    earlier = stitch(lines, ",", states.where("no < blocks - 1 or home < no"))
+    heads = route_rows(cut_records(earlier.where(_may_be_header(F.col("text")))), section_col, type_col)
+    # Both sides of a join come from the same lines: one has columns of its own.
+    return bind_headers(routed, heads.select(*[F.col(c).alias(c) for c in heads.columns]))
+
+
+def tables_of(bound: DataFrame, raw: bool = False) -> Report:
+    """The tables of bound records."""
+    return Report(section_index(bound), section_headers(bound), section_rows(bound, raw), section_notes(bound), unparsed(bound))
+
+
+def parse_report(lines: DataFrame, section_col: int = 0, type_col: int = 1, raw: bool = False) -> Report:
+    """All tables of comma-delimited reports of any size, lazily. Several of them are written at one go by write_report.
+
+    Tables other than section_rows don't bind headers.
+    """
+    routed = route_rows(parse_records(lines, ","), section_col, type_col)
+    bound = bound_records(lines, section_col, type_col)
+    return Report(section_index(routed), section_headers(routed), section_rows(bound, raw), section_notes(routed), unparsed(routed))
+
+
+def folder_of(section: Column) -> Column:
+    """A folder name for a section: its plain characters, and a digest that tells it from all others."""
+    plain = F.substring(F.regexp_replace(section, "[^A-Za-z0-9]+", "-"), 1, 40)
+    return F.concat(F.lit("s-"), plain, F.lit("-"), F.substring(F.md5(section), 1, 12))
+
+
+#: What a written report holds; its folders are kind and folder.
+WRITTEN = "doc_id string, record_no long, section string, cells array<string>, payload array<string>, names array<string>, kind string, folder string"
+
+
+def write_report(lines: DataFrame, path: str, section_col: int = 0, type_col: int = 1, mode: str = "error") -> None:
+    """Parse comma-delimited reports and write all their tables at one go, as Parquet by kind and section.
+
+    A large section is split over several files and small ones share a task:
+    partitions are balanced as they are written. Quarantined records keep all
+    their cells, and stand in one folder a kind; the others keep what their
+    tables need.
+    """
+    rows = bound_records(lines, section_col, type_col)
+    astray = F.col("kind").isin("unkeyed", "other")
+    rows = rows.select(
+        "doc_id", "record_no", "section",
+        F.when(astray, F.col("cells")).alias("cells"),
+        F.when(~astray, F.col("payload")).alias("payload"),
+        "names", "kind",
+        F.when(astray, F.lit("s-")).otherwise(folder_of(F.col("section"))).alias("folder"),
+    )
+    rows.hint("rebalance", "kind", "folder").write.mode(mode).partitionBy("kind", "folder").parquet(path)
+
+
+def read_report(spark: SparkSession, path: str, raw: bool = False) -> Report:
+    """The tables that write_report has written; each reads the kinds it needs."""
+    return tables_of(spark.read.schema(WRITTEN).parquet(path), raw)
 
 
 def get_section(table: DataFrame, name: str) -> DataFrame:
@@ -140,5 +198,14 @@ def has_section(index: DataFrame, name: str) -> DataFrame:
 
 
 def write_sections(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Write a section table as Parquet, a folder a section."""
-    rows.write.mode(mode).partitionBy("section").parquet(path)
+    """Write a section table as Parquet, a folder a section (see folder_of); large sections are split, small ones share a task."""
+    rows = rows.withColumn("folder", folder_of(F.col("section")))
+    rows.hint("rebalance", "folder").write.mode(mode).partitionBy("folder").parquet(path)
+
+
+def read_sections(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """A section table that write_sections has written, or one section of it, of which alone the files are read."""
+    rows = spark.read.parquet(path)
+    if name is not None:
+        rows = rows.where((F.col("folder") == folder_of(F.lit(name))) & (F.col("section") == name))
+    return rows.drop("folder")

@@ -3,7 +3,10 @@ and compared with plain SQL on the same tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from delimlake.functions import columns
 from delimlake.operators import records, sections
 from delimlake.plans.render import cents, line, number, quoted
 from delimlake.sources import document_lines, scan_lines
+from delimlake.sources.lines import LINES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,12 +129,12 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As split_documents, in the form for documents too large for a task."""
-    return _split(_table(spark, sf_dir, "documents"), large=True)
+    """As split_documents, every document in blocks of a few lines, which records and quotes cross."""
+    return _split(_table(spark, sf_dir, "documents"), lines=4)
 
 
-def _split(docs: DataFrame, large: bool = False) -> DataFrame:
-    rows = records.parse_records(document_lines(docs), large=large)
+def _split(docs: DataFrame, lines: int = LINES) -> DataFrame:
+    rows = records.parse_records(document_lines(docs, lines=lines))
     return rows.select("doc_id", "record_no", F.posexplode("cells").alias("cell_no", "cell"))
 
 
@@ -155,7 +159,7 @@ def one_large_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = F.array(F.concat(F.lit("Orders,Data,"), F.col("key"), F.lit(',"'), F.col("status")), F.concat(F.col("cents"), F.lit('",'), F.col("day")))
     lines = orders.select(F.lit("all").alias("doc_id"), "o_orderkey", F.posexplode(halves).alias("no", "line"))
     lines = lines.select("doc_id", F.floor(F.col("o_orderkey") / 5000).alias("block"), (F.col("o_orderkey") * 2 + F.col("no")).alias("line_no"), "line")
-    rows = sections.parse_report(lines, large=True, block=10_000).section_rows
+    rows = sections.parse_report(lines).section_rows
     return rows.select("doc_id", *[F.col("row")[f"col_{i}"].alias(c) for i, c in enumerate(("key", "told", "day"))])
 
 
@@ -208,7 +212,32 @@ def write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _new_folder(spark, "sections")
     rows = _status_sections(spark, sf_dir).section_rows
     sections.write_sections(rows.select("doc_id", "section", F.col("row")["col_0"].alias("key")), path)
-    return spark.read.parquet(path).select("doc_id", "section", "key")
+    return sections.read_sections(spark, path).select("doc_id", "section", "key")
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all kinds of rows written at one go, and all five tables as they are read back."""
+    rule = F.col("o_orderkey") % 5
+    text = (
+        F.when(rule == 0, line("Orders", "Data", F.col("key"), F.col("status")))
+        .when(rule == 1, line("Orders", "Notes", F.col("key")))
+        .when(rule == 2, line(F.col("status"), "Total", F.col("key")))
+        .when(rule == 3, line("Orders", "Odd", F.col("key")))
+        .otherwise(line("Orders", "SubTotal", F.col("key")))
+    )
+    path = _new_folder(spark, "report")
+    sections.write_report(_customer_report(_orders(spark, sf_dir), text, (0, "Orders,Header,key,status")), path)
+    report = sections.read_report(spark, path)
+    none = F.lit(None)
+    tables = (
+        ("index", report.section_index, "section", "first_record_no", F.lit("")),
+        ("headers", report.section_headers, "section", none, F.array_join("headers", "|")),
+        ("rows", report.section_rows, "section", "record_no", F.concat("kind", F.lit(":"), F.coalesce(F.col("row")["key"], F.col("row")["col_0"]))),
+        ("notes", report.section_notes, "section", "record_no", F.col("note")),
+        ("unparsed", report.unparsed, none, "record_no", F.array_join("cells", "|")),
+    )
+    parts = [df.select(F.lit(name).alias("name"), "doc_id", (F.col(section) if isinstance(section, str) else section.cast("string")).alias("section"), (F.col(no) if isinstance(no, str) else no).cast("long").alias("record_no"), text.alias("text")) for name, df, section, no, text in tables]
+    return reduce(DataFrame.union, parts)
 
 
 def written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +246,14 @@ def written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession, kind: str) -> str:
-    """A folder that executors share: beside the checkpoints, or in the warehouse where that is unset."""
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/{kind}-{uuid.uuid4().hex}"
+    """A folder beside the checkpoints, which executors share; one of our own where that is unset and the session runs in one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +302,7 @@ EVERY = (
     error_message,
     write_sections,
     written_sections,
+    written_report,
     scan_files,
     swapped_columns,
 )
@@ -364,6 +397,12 @@ SELECT id, CASE rule WHEN 0 THEN 'empty' WHEN 1 THEN 'raw' ELSE 'json' END AS pa
     "error_message": f"WITH {_R} SELECT id, CASE rule WHEN 2 THEN 'no ' || id WHEN 5 THEN '0' ELSE 'Status 500' END AS error_message FROM r WHERE status = 500",
     "write_sections": f"WITH {_O} SELECT doc_id, status AS section, key FROM o",
     "written_sections": f"WITH {_O} SELECT doc_id, status AS section, count(*) AS n, min(key) AS least FROM o GROUP BY ALL",
+    "written_report": f"""WITH {_O}, s AS (SELECT doc_id, status, min(no) AS no FROM o WHERE o_orderkey % 5 = 2 GROUP BY ALL)
+SELECT DISTINCT 'index' AS name, doc_id, 'Orders' AS section, CAST(0 AS BIGINT) AS record_no, '' AS text FROM o UNION ALL SELECT 'index', doc_id, status, no, '' FROM s
+UNION ALL SELECT DISTINCT 'headers', doc_id, 'Orders', NULL, 'key|status' FROM o UNION ALL SELECT 'headers', doc_id, status, NULL, '' FROM s
+UNION ALL SELECT 'rows', doc_id, CASE o_orderkey % 5 WHEN 2 THEN status ELSE 'Orders' END, no, CASE o_orderkey % 5 WHEN 0 THEN 'data:' WHEN 2 THEN 'total:' ELSE 'subtotal:' END || key FROM o WHERE o_orderkey % 5 IN (0, 2, 4)
+UNION ALL SELECT 'notes', doc_id, 'Orders', no, key FROM o WHERE o_orderkey % 5 = 1
+UNION ALL SELECT 'unparsed', doc_id, NULL, no, 'Orders|Odd|' || key FROM o WHERE o_orderkey % 5 = 3""",
     "scan_files": f"WITH {_O} SELECT status, key, cents || ',' || day AS told, true AS numbered FROM o",
     "swapped_columns": f"WITH {_O} SELECT doc_id, status AS section, key, cents, status = 'F' AS named FROM o",
 }

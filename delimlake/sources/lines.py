@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 LINES = 10_000
 
 
-def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines of texts held in rows, in blocks of LINES. Null and empty texts have none."""
-    lines = F.posexplode(F.split(text, "\n")).alias("line_no", "line")
-    rows = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("string").alias("doc_id"), lines)
-    return rows.select("doc_id", F.floor(F.col("line_no") / LINES).alias("block"), F.col("line_no").cast("long"), "line")
+def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
+    """Lines of texts held in rows, in blocks of so many lines. Null and empty texts have none."""
+    each = F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+    rows = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("string").alias("doc_id"), each)
+    return rows.select("doc_id", F.floor(F.col("line_no") / lines).alias("block"), F.col("line_no").cast("long"), "line")
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -27,18 +27,39 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
+#: File blocks whose numbers are sent to every task: five numbers each, some 64 MB.
+BLOCKS = 1 << 20
+
+
+def _blocks_at_most(files: DataFrame) -> int:
+    """A bound for the blocks in which Spark reads files."""
+    spark = files.sparkSession
+    conf = spark._jsparkSession.sessionState().conf()
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_core = size // max(1, spark.sparkContext.defaultParallelism)
+    block = max(1, min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), per_core)))
+    return len(files.inputFiles()) + -(-size // block)
+
+
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files; doc_id is the file's path, block the start of the file block that a task reads.
 
-    Lines are numbered within their blocks and the blocks' counts added up, so
-    a large file is read and numbered in parallel.
+    A task reads a block in order and its rows' ids rise by one, so a line's
+    number is its id, less the least of the block, plus the lines of earlier
+    blocks. Only a row a block is exchanged, and sent to all tasks; beyond BLOCKS
+    of them (a bound is worked out from the files' sizes) lines are joined to
+    those rows instead.
     """
-    raw = spark.read.format("text").option("lineSep", "\n").load(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    inside = Window.partitionBy("doc_id", "block").orderBy("at")
-    raw = raw.withColumn("no", F.row_number().over(inside) - 1)
-    counts = raw.groupBy("doc_id", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("doc_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = raw.join(counts, ["doc_id", "block"])
-    return rows.select("doc_id", "block", (F.col("first") + F.col("no")).alias("line_no"), "line")
+    files = spark.read.format("text").option("lineSep", "\n").load(path)
+    at = F.monotonically_increasing_id()
+    raw = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), F.col("value").alias("line"))
+    keys = [F.shiftright("at", 33).alias("task"), F.xxhash64("doc_id").alias("file"), F.col("block").alias("from")]
+    counts = raw.groupBy("doc_id", *keys).agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("task", "file", "from", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    if _blocks_at_most(files) <= BLOCKS:
+        counts = F.broadcast(counts)
+    rows = raw.join(counts, (F.shiftright("at", 33) == F.col("task")) & (F.xxhash64("doc_id") == F.col("file")) & (F.col("block") == F.col("from")), "left")
+    # Every block was counted: a line without a number is never passed on.
+    shift = F.coalesce("shift", F.raise_error(F.lit("a file has changed while it was read")).cast("long"))
+    return rows.select("doc_id", "block", (F.col("at") + shift).alias("line_no"), "line")

@@ -1,4 +1,4 @@
-"""Records: the listed edge cases, random texts against a character scan, and both forms."""
+"""Records: the listed edge cases, and random texts in blocks of any size against a character scan."""
 
 import random
 
@@ -60,13 +60,13 @@ def scan(text, delim=","):
     return [r for r in rows if any(r)]
 
 
-def parsed(spark, texts, delim=",", large=False, cut=None):
+def parsed(spark, texts, delim=",", cut=None):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lines = document_lines(docs)
     if cut:
         lines = lines.withColumn("block", F.floor(F.col("line_no") / cut))
     got = {i: [] for i in range(len(texts))}
-    for r in records.parse_records(lines, delim, large=large).orderBy("doc_id", "record_no").collect():
+    for r in records.parse_records(lines, delim).orderBy("doc_id", "record_no").collect():
         got[int(r["doc_id"])].append(r["cells"])
     return [got[i] for i in range(len(texts))]
 
@@ -75,13 +75,13 @@ def test_edge_cases(spark):
     assert parsed(spark, [t for t, _ in CASES]) == [want for _, want in CASES]
 
 
-def test_random_texts_in_both_forms(spark):
+def test_random_texts_in_any_blocks(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice('ab,"\n\\ \r') for _ in range(rng.randrange(1, 24))) for _ in range(1500)]
     want = [scan(t) for t in texts]
     assert parsed(spark, texts) == want
     for cut in (1, 2, 3):
-        assert parsed(spark, texts, large=True, cut=cut) == want
+        assert parsed(spark, texts, cut=cut) == want
 
 
 def test_delimiters(spark):
@@ -89,7 +89,7 @@ def test_delimiters(spark):
     got = spark.createDataFrame([(x,) for x in lines], "t string").select(records.detect_delimiter(F.col("t"))).collect()
     assert [r[0] for r in got] == ["\t", ",", "|", "|", ",", ","]
     assert parsed(spark, ["a|b,c\nd|e", "x\ty"], None) == [[["a", "b,c"], ["d", "e"]], [["x", "y"]]]
-    assert parsed(spark, ["a|b,c\nd|e", "x\ty"], None, large=True, cut=1) == [[["a", "b,c"], ["d", "e"]], [["x", "y"]]]
+    assert parsed(spark, ["a|b,c\nd|e", "x\ty"], None, cut=1) == [[["a", "b,c"], ["d", "e"]], [["x", "y"]]]
     assert parsed(spark, ["a;;b"], ";;") == [[["a;;b"]]]
     with pytest.raises(ValueError):
         records.parse_records(None, "\n")
@@ -109,9 +109,8 @@ def test_files(spark, tmp_path):
     try:
         lines = scan_lines(spark, f"file://{tmp_path}")
         assert lines.select("block").distinct().count() > 3
-        for large in (False, True):
-            got = records.parse_records(lines, large=large).where("doc_id like '%a.csv'").orderBy("record_no").collect()
-            assert [r["cells"] for r in got] == [[str(i), f"v {i}"] for i in range(500)]
+        got = records.parse_records(lines).where("doc_id like '%a.csv'").orderBy("record_no").collect()
+        assert [r["cells"] for r in got] == [[str(i), f"v {i}"] for i in range(500)]
         other = records.parse_records(lines).where("doc_id like '%b.csv'").orderBy("record_no").collect()
         assert [r["cells"] for r in other] == [["x", "y"], ["1", "2"]]
     finally:
@@ -119,6 +118,38 @@ def test_files(spark, tmp_path):
     assert scan_documents(spark, f"file://{tmp_path}").count() == 2
 
 
+def test_lines_are_numbered_without_an_exchange(spark, tmp_path):
+    """Several small files in one task, one large one in many blocks; lines cross the cluster in neither case."""
+    texts = {"a.txt": "".join(f"line {i}\n" for i in range(900)), "b.txt": "\n\nx", "c.txt": "", "d.txt": "one line", "e.txt": "1\n2\n3\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted((name, i, x) for name, t in texts.items() for i, x in enumerate(t.removesuffix("\n").split("\n") if t else []))
+    for size in ("700b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = scan_lines(spark, f"file://{tmp_path}")
+            if size == "128m":
+                assert lines.rdd.getNumPartitions() < len(texts)
+            got = lines.select(F.regexp_extract("doc_id", "[^/]*$", 0), "line_no", "line")
+            assert sorted(tuple(r) for r in got.collect()) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        exchanged = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert exchanged and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        # Nothing below an exchange reads the text.
+        assert all("value" not in x.split("ReadSchema")[-1] for x in plan.splitlines() if "FileScan" in x and "struct<>" in x)
+
+
+def test_beyond_the_block_limit_lines_are_joined(spark, tmp_path, monkeypatch):
+    from delimlake.sources import lines as module
+
+    (tmp_path / "a.txt").write_text("x\ny\nz")
+    monkeypatch.setattr(module, "BLOCKS", 0)
+    assert sorted((r["line_no"], r["line"]) for r in scan_lines(spark, f"file://{tmp_path}").collect()) == [(0, "x"), (1, "y"), (2, "z")]
+
+
 def test_split_whole_documents(spark, tmp_path):
     """Every document counts, whatever its quotes: the query and its SQL against the character scan."""
     import duckdb

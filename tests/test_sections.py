@@ -1,6 +1,9 @@
-"""Reports: the sample, the edge cases, and both forms of header binding."""
+"""Reports: the sample, the edge cases, blocks of any size, and written reports."""
+
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from delimlake.operators import sections
 from delimlake.sources import document_lines
@@ -16,9 +19,9 @@ Crew,Notes,hours, per week
 """
 
 
-def report(spark, text, **options):
+def report(spark, text, lines=10_000, **options):
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
-    return sections.parse_report(document_lines(docs), **options)
+    return sections.parse_report(document_lines(docs, lines=lines), **options)
 
 
 def rows(r):
@@ -54,7 +57,7 @@ def test_sample(spark):
 )
 def test_row_objects(spark, text, want):
     assert [m for _, m in rows(report(spark, text))] == want
-    assert [m for _, m in rows(report(spark, text, large=True, block=1))] == want
+    assert [m for _, m in rows(report(spark, text, lines=1))] == want
 
 
 def test_routes(spark):
@@ -75,7 +78,64 @@ def test_raw_and_columns(spark):
 def test_written_sections(spark, tmp_path):
     r = report(spark, SAMPLE)
     sections.write_sections(r.section_rows, f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out").where("section = 'Crew'").count() == 3
+    assert sections.read_sections(spark, f"file://{tmp_path}/out", "Crew").count() == 3
+    assert sections.read_sections(spark, f"file://{tmp_path}/out").count() == 5
+
+
+def all_rows(r):
+    return {name: sorted(map(str, getattr(r, name).collect())) for name in ("section_index", "section_headers", "section_rows", "section_notes", "unparsed")}
+
+
+def test_blocks_do_not_matter(spark):
+    """Headers, quotes and records that cross blocks, in blocks of one line up to the whole text."""
+    text = 'X\nA,Header,"p\nq",r\nA,Data,1,"2\n\n3"\nB,Data,4\n"A",da"t"a,5\nB,HEAD\\ER,s\nA,Total,6\nB,Data,7\n,Data,8\nA,Header,t\nC,Odd\nB,SubTotal,9\nA,Data,"10\n'
+    want = all_rows(report(spark, text))
+    assert len(want["section_rows"]) == 7 and "p q" in str(want["section_headers"]) and "'s': '7'" in " ".join(want["section_rows"])
+    for lines in (1, 2, 5):
+        assert all_rows(report(spark, text, lines=lines)) == want
+
+
+def test_written_report(spark, tmp_path):
+    names = ["007", "a/b", "a b", "A B", "é", "__HIVE_DEFAULT_PARTITION__", "x" * 300, "2024-01-01"]
+    text = SAMPLE + "".join(f"{n},Header,h\n{n},Data,{i}\n{n},Notes,of {i}\n" for i, n in enumerate(names)) + "Crew,Odd,1\n,Data,2\nCrew,\n"
+    docs = spark.createDataFrame([("d", text), ("e", SAMPLE), ("f", ""), (None, None)], "doc_id string, text string")
+    lines = document_lines(docs, lines=3)
+    for raw in (False, True):
+        path = f"file://{tmp_path}/{raw}"
+        sections.write_report(lines, path)
+        assert all_rows(sections.read_report(spark, path, raw)) == all_rows(sections.parse_report(lines, raw=raw))
+    sections.write_report(document_lines(docs.limit(0)), f"file://{tmp_path}/none")
+    assert not any(all_rows(sections.read_report(spark, f"file://{tmp_path}/none")).values())
+
+
+def test_large_sections_are_split_and_small_ones_share_tasks(spark, tmp_path):
+    rows = spark.range(0, 200_000, numPartitions=8).selectExpr("cast(id as string) as doc_id", "if(id % 3 > 0, 'hot', concat('s', id % 40)) as section", "repeat(md5(string(id)), 4) as v")
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sections.write_sections(rows, f"file://{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    hot = next(n for name, n in files.items() if name.startswith("folder=s-hot-"))
+    assert len(files) == 41 and hot > 3 and sum(files.values()) - hot < 120  # not one a task and section
+    one = sections.read_sections(spark, f"file://{tmp_path}/out", "s7")
+    assert one.columns == ["doc_id", "section", "v"] and {r["section"] for r in one.collect()} == {"s7"}
+    assert "PartitionFilters: [isnotnull(folder" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_rows(spark):
+    """Thousands of columns, distinct and repeated, in linear time."""
+    n = 4000
+    for names in ([f"c{i}" for i in range(n)], [f"c{i % 1500}" for i in range(n)]):
+        df = spark.createDataFrame([(names, [str(i) for i in range(n + 2)])] * 20, "names array<string>, vals array<string>")
+        want = dict(zip(names, map(str, range(n)))) | {f"col_{n}": str(n), f"col_{n + 1}": str(n + 1)}
+        start = time.perf_counter()
+        got = df.select(sections.row_map(F.col("names"), F.col("vals")).alias("m")).collect()
+        assert all(r["m"] == want for r in got) and time.perf_counter() - start < 20
 
 
 def test_no_documents(spark):
