@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from delimlake.llm import jaccard, langid, licenses, linededup, mixing, negatives, packing, repeats, secrets, spelling, spotsigs, topk, warc
 
+from delimlake.llm.common import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,7 +58,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("words"))
-    docs = mixing.with_quality(docs, table(spark, sf_dir, "labels"))
+    # Cut: texts are read once, to count their words.
+    docs = cut(mixing.with_quality(docs, table(spark, sf_dir, "labels")))
     mixed = mixing.mix(docs, F.col("words"), F.col("__weight"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 

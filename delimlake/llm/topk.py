@@ -51,6 +51,11 @@ def scores(queries, candidates) -> np.ndarray:
     return out
 
 
+def block_of(n: int) -> Column:
+    """The block of a row by the hash of its number, which spreads rows of few and of many partitions alike."""
+    return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+
+
 def top_k(vectors: DataFrame, is_query: Column, *, ident: str = "vec_id", vector: str = "vector", k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row the k best other rows.
 
@@ -65,10 +70,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, ident: str = "vec_id", vector
     rows = rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)).alias("q")).first()
     nq, nc = max(1, -(-sizes["q"] // QUERY_BLOCK)), max(1, -(-sizes["n"] // BLOCK))
-    # Blocks by the rows' numbers: repeated rows spread like others.
+    # Blocks by the rows' numbers, hashed: repeated rows spread like others.
     no = F.monotonically_increasing_id()
-    left = rows.where("q").select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nq).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    right = rows.select(no.alias("row"), "id", "v").select("*", F.pmod("row", F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+    left = rows.where("q").select(no.alias("row"), "id", "v").select("*", block_of(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
+    right = rows.select(no.alias("row"), "id", "v").select("*", block_of(nc).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def cell(a, b):
         import pyarrow as pa

@@ -27,6 +27,13 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(table.limit(0).select("vec_id", topk.quantize(F.col("embedding")).alias("vector")), F.lit(True)).count() == 0
 
 
+def test_blocks_are_even_over_many_partitions(spark):
+    """65,536 rows of 400 partitions fill 1,024 blocks of about 64."""
+    rows = spark.range(0, 65_536, numPartitions=400).select(F.monotonically_increasing_id().alias("row"))
+    sizes = [r["count"] for r in rows.groupBy(topk.block_of(1024)).count().collect()]
+    assert len(sizes) == 1024 and max(sizes) < 128
+
+
 def test_few_candidates(spark):
     table = spark.createDataFrame([(0, [1]), (1, [2])], "vec_id long, vector array<long>")
     assert [tuple(r) for r in topk.top_k(table, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2)]
