@@ -161,15 +161,15 @@ WITH d AS (
 ), u AS (
   SELECT rn, edited, unnest(string_split(trim(words), ' ')) AS word, unnest(range(len(string_split(trim(words), ' ')))) AS pos FROM w
 ), c AS (
-  SELECT *, word IN ({anchors}) AS anchor, CASE WHEN word IN ({anchors}) THEN NULL ELSE pos END AS spot, CASE WHEN word IN ({anchors}) THEN NULL ELSE word END AS content FROM u
+  SELECT *, word IN ({anchors}) AS anchor, CASE WHEN word IN ({anchors}) THEN NULL ELSE word END AS content FROM u
 ), l AS (
-  SELECT *, lead(content, 1 IGNORE NULLS) OVER o AS c1, lead(spot, 1 IGNORE NULLS) OVER o AS p1, lead(content, 2 IGNORE NULLS) OVER o AS c2, lead(spot, 2 IGNORE NULLS) OVER o AS p2
+  SELECT *, lead(content, 1 IGNORE NULLS) OVER o AS c1, lead(content, 2 IGNORE NULLS) OVER o AS c2
   FROM c WINDOW o AS (PARTITION BY rn, edited ORDER BY pos)
 ), s AS (
-  SELECT DISTINCT rn, edited, substr(md5(concat(word, ' ', c1, ' ', c2, ' ')), 1, 8) AS h
-  FROM l WHERE anchor AND p2 IS NOT NULL AND p1 - pos - 1 <= {spotsigs.SKIP} AND p2 - p1 - 1 <= {spotsigs.SKIP}
+  SELECT DISTINCT rn, edited, substr(md5(concat(word, ' ', c1, ' ', c2, ' ')), 1, 16) AS h
+  FROM l WHERE anchor AND c2 IS NOT NULL
 ), g AS (
-  SELECT w.rn, w.edited, coalesce(any_value(x.hs), [substr(md5(any_value(w.words)), 1, 8)]) AS hs
+  SELECT w.rn, w.edited, coalesce(any_value(x.hs), [substr(md5(any_value(w.words)), 1, 16)]) AS hs
   FROM w LEFT JOIN (SELECT rn, edited, list(h ORDER BY h) AS hs FROM s GROUP BY ALL) x USING (rn, edited) GROUP BY w.rn, w.edited
 ), j AS (
   SELECT e.rn, e.doc_id, e.n, sha256(t.text) AS sha, a.hs AS fa, b.hs AS fb, coalesce(nx.hs, f.hs) AS fn

@@ -23,43 +23,52 @@ ANCHORS = (
     "le la les de des et en un une du que est pour dans au sur pas "
     "el los y una del se las por con para su no"
 ).split()
-#: Content words of a spot, and common words that may stand before each of them.
-CHAIN, SKIP = 2, 8
+#: Content words of a spot.
+CHAIN = 2
 #: Characters between words: ASCII other than digits and letters (after lower-casing).
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Hexadecimal digits of a hash: 64 bits.
+DIGITS = 16
 #: Likeness of near duplicates.
 THRESHOLD = 0.75
+#: Parts of the rows that agree in a null or frequent doc_id and in their text, where these are many.
+COPIES, MANY = 16, 1024
 
 
+def _hash(c: Column) -> Column:
+    return F.substring(F.md5(c.cast("binary")), 1, DIGITS)
 
-def _any_of(words) -> str:
-    """A pattern of the words that shares their beginnings, so that few alternatives are tried."""
-    by: dict[str, list[str]] = {}
-    for w in sorted(set(words) - {""}):
-        by.setdefault(w[0], []).append(w[1:])
-    parts = [first + (_any_of(rest) if any(rest) else "") for first, rest in by.items()]
-    return "(?:" + "|".join(parts) + ")" + ("?" if "" in words else "")
 
+def _last_word(segments: str, i: Column) -> Column:
+    return F.substring_index(F.get(segments, i), " ", -1)
 
-_ANY = _any_of(ANCHORS)
-_SPOT = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + f"(?=({_ANY}{GAPS}" + f"(?:{_ANY}{GAPS}){{0,{SKIP}}}+(?!{_ANY}{GAPS})[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+{GAPS}" * CHAIN + "))"
 
+def _spots(segments: str) -> Column:
+    """Hashes of the spots of segments: common words and the content word they lead to, parted by spaces.
+    The last segment holds the common words that lead to none."""
 
-def spot_hashes(text: Column) -> Column:
-    """Hashes (8 hex digits) of a text's spots; common words between the others, and what parts words, don't count."""
-    found = F.regexp_extract_all(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), F.lit(_SPOT), F.lit(1))
-    return F.transform(found, lambda s: F.substring(F.md5(F.regexp_replace(s, f"{GAPS}(?:{_ANY}{GAPS})*", " ").cast("binary")), 1, 8))
+    def of_segment(s: Column, i: Column) -> Column:
+        own = F.substring_index(s, " ", -1)
+        chain = F.concat(F.lit(" "), *[y for k in range(CHAIN) for y in (_last_word(segments, i + k), F.lit(" "))])
+        complete = i + CHAIN < F.size(segments)
+        return F.transform(F.array_distinct(F.split(s, " ")), lambda w: F.when(complete & (w != own), _hash(F.concat(w, chain))))
+
+    return F.array_compact(F.flatten(F.transform(segments, of_segment)))
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     """rows with the fingerprint of a text column: length of the signature set, a colon and the set
-    (sorted distinct hashes). Of a text without spots the set is the hash of its words."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), GAPS, " ")), F.lit(" "))
-    whole = F.array(F.substring(F.md5(words.cast("binary")), 1, 8))
+    (sorted distinct hashes of spots, of 16 hex digits). A spot's common word and content words may have
+    any number of common words between them. Of a text without spots the set is the hash of its words.
+    Time is linear in the text."""
     # One step each, so that no step is computed twice.
-    rows = rows.withColumn("__spots", spot_hashes(F.col(text)))
-    rows = rows.withColumn("__set", F.when(F.size("__spots") > 0, F.sort_array(F.array_distinct("__spots"))).otherwise(whole))
-    return rows.withColumn(name, F.concat_ws(":", F.size("__set"), F.array_join("__set", ","))).drop("__spots", "__set")
+    rows = rows.withColumn("__words", F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), GAPS, " ")))
+    marked = F.transform(F.split("__words", " "), lambda w: F.concat(w, F.when(w.isin(ANCHORS), F.lit(" ")).otherwise(F.lit("\n"))))
+    rows = rows.withColumn("__segments", F.split(F.array_join(marked, ""), "\n"))
+    rows = rows.withColumn("__set", F.sort_array(F.array_distinct(_spots("__segments"))))
+    whole = F.array(_hash(F.concat(F.lit(" "), "__words", F.lit(" "))))
+    rows = rows.withColumn("__set", F.when(F.size("__set") > 0, F.col("__set")).otherwise(whole))
+    return rows.withColumn(name, F.concat_ws(":", F.size("__set"), F.array_join("__set", ","))).drop("__words", "__segments", "__set")
 
 
 def members(fp: Column) -> Column:
@@ -73,42 +82,57 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(a == b, 1.0).when(F.least(na, nb) < least * F.greatest(na, nb), 0.0).otherwise(inter / (na + nb - inter))
 
 
+def _at(bounds: list, value: Column) -> Column:
+    """How many of the sorted bounds are at most value, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.array(*[F.lit(x) for x in bounds]), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(table, acc + s - 1) <= value), acc + s).otherwise(acc))
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(doc_id, text, fp) with next_text and next_fp: those of the next row in
-    the order of descending doc_id (null last; ties by the text's MD5), of the
+    """docs(doc_id, text) with their fingerprint fp, and next_text and next_fp: those of the next
+    row in the order of descending doc_id (null last; ties by the text's MD5), of the
     first row for the last.
 
     Rows are cut into ranges of doc_id, those of one frequent doc_id (or none)
-    further by their MD5; each range gets the first row of the one after it as a
-    guest, so that no task sees more than its range.
+    further by their MD5, and copies of one text among them, where these are
+    many, by their rows. Each range gets the first row of the one after it as a
+    guest, so that no task sees more than its range. A text travels once;
+    fingerprints are made where it arrives.
     """
     fractions = [i / buckets for i in range(1, buckets)] or [0.5]
-    found = docs.agg(F.percentile_approx("doc_id", fractions, 100 * buckets).alias("b")).first()["b"] or []
+    facts = docs.agg(F.percentile_approx("doc_id", fractions, 100 * buckets).alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("held")).first()
+    found = facts["b"] or []
     bounds = sorted(set(found))
     often = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    if bounds:
-        table = F.array(*[F.lit(x) for x in bounds])
-        at = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(table, acc + s - 1) <= F.col("doc_id")), acc + s).otherwise(acc))
-    else:
-        at = F.lit(0)
     rows = docs.withColumn("md5", F.md5(F.col("text").cast("binary")))
     split = F.col("doc_id").isNull() | (F.col("doc_id").isin(*often) if often else F.lit(False))
-    part = F.when(split, 1 + F.conv(F.substring("md5", 1, 2), 16, 10).cast("int")).otherwise(0)
+    copies: list[str] = []
+    if often or facts["held"] < facts["n"]:
+        same = rows.where(split).groupBy("doc_id", "md5").count().where(F.col("count") >= max(MANY, facts["n"] // buckets))
+        copies = sorted({r["md5"] for r in same.collect()})  # one a bucket at most
+    below = _at(copies, F.col("md5"))
+    one = F.col("md5").isin(*copies) if copies else F.lit(False)
+    part = F.floor(F.conv(F.substring("md5", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long")
+    part = (part * (2 * len(copies) + 1) + 2 * below - F.when(one, 1).otherwise(0)) * COPIES
+    part = part + F.when(one, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(COPIES))).otherwise(0)
     # Ranges in the order of their numbers: a frequent doc_id is the least of its range, so its parts come last.
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - at) * 512 + part)
+    width = buckets * (2 * len(copies) + 1) * COPIES + 1
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - _at(bounds, F.col("doc_id")))
+    rows = rows.withColumn("bucket", place * F.lit(width).cast("long") + F.when(split, 1 + part).otherwise(F.lit(0)))
     # One row a range: where its first row is found, and the range that it is a guest of.
     order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("least"), F.col("md5").alias("h"))
     tops = rows.groupBy("bucket").agg(F.min(order).alias("top")).orderBy("bucket").select("bucket", (-F.col("top.least")).alias("top"), "top.h").collect()
     if not tops:
-        return docs.withColumns({"next_text": F.col("text"), "next_fp": F.col("fp")})
+        rows = with_fingerprint(docs, "text", "fp")
+        return rows.withColumns({"next_text": F.col("text"), "next_fp": F.col("fp")})
     guests_of = [(t["bucket"], t["top"], t["h"], tops[i - 1]["bucket"]) for i, t in enumerate(tops)]
-    small = docs.sparkSession.createDataFrame(guests_of, "bucket int, top long, h string, host int")
+    small = docs.sparkSession.createDataFrame(guests_of, "bucket long, top long, h string, host long")
     first = rows.join(F.broadcast(small), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("md5") == F.col("h")))
     first = first.groupBy("host").agg(F.min("text").alias("text"))
     guests = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("").alias("md5"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    guests = with_fingerprint(guests, "text", "fp")
-    every = rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    every = with_fingerprint(rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition("bucket"), "text", "fp")
     w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "md5", "text")
     return every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("guest", "bucket", "md5")
 
@@ -126,7 +150,7 @@ def fingerprint_documents(docs: DataFrame, *, ident: str = "doc_id", text: str =
     """
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "fp"), n)
+    rows = with_next(rows, n)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
@@ -143,29 +167,32 @@ def fingerprint_documents(docs: DataFrame, *, ident: str = "doc_id", text: str =
 
 
 def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """prints(doc_id, fingerprint) -> (classes: fingerprint, doc_id of the smallest member, members),
-    (pairs of classes: a < b by doc_id, likeness >= threshold).
-
-    Equal fingerprints are one class. Classes are partitioned by set length, in
-    steps of 1 / threshold; within a partition, and between it and the next, a
-    pair must share one of the rarest n - ceil(threshold n) + 1 hashes of each.
-    Empty input gives empty results; a class of null doc_ids alone takes no part.
+    """prints(doc_id, fingerprint) -> (classes: class_id, fingerprint, doc_id of the smallest member, members),
+    (pairs of classes: class ids a < b, their doc_ids doc_a and doc_b, likeness >= threshold).
+
+    Equal fingerprints are one class; class_id is the MD5 of the fingerprint. Classes
+    are partitioned by set length, in steps of 1 / threshold; within a partition, and
+    between it and the next, a pair must share one of the rarest
+    n - ceil(threshold n) + 1 hashes of each. Null fingerprints take no part. Repeated
+    doc_ids may stand for several classes; a class without doc_ids has a null one and
+    takes part. Empty input gives empty results.
     """
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")))
-    rows = classes.where("doc_id is not null").select("doc_id", F.substring_index("fingerprint", ":", 1).cast("int").alias("n"), members(F.col("fingerprint")).alias("set"))
-    each = rows.select("doc_id", "n", F.explode("set").alias("h"))
+    classes = prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"))
+    classes = cut(classes.select(F.md5(F.col("fingerprint").cast("binary")).alias("class_id"), "fingerprint", "doc_id", "members"))
+    rows = classes.select("class_id", "doc_id", F.substring_index("fingerprint", ":", 1).cast("int").alias("n"), members(F.col("fingerprint")).alias("set"))
+    each = rows.select("class_id", "n", F.explode("set").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = attach(each, df, ["h"], "inner").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    ranked = attach(each, df, ["h"], "inner").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int") if threshold < 1 else F.col("n")
     hashes = F.explode(F.transform(prefix, lambda x: x["h"])).alias("h")
-    posts = ranked.select("doc_id", "n", part.alias("part"), hashes)
-    left = posts.select("doc_id", "n", "h", F.explode(F.array("part", F.col("part") + 1)).alias("part")).alias("l")
+    posts = ranked.select("class_id", "n", part.alias("part"), hashes)
+    left = posts.select("class_id", "n", "h", F.explode(F.array("part", F.col("part") + 1)).alias("part")).alias("l")
     right = posts.alias("r")
-    ok = (F.col("l.h") == F.col("r.h")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n")) & (F.col("l.doc_id") != F.col("r.doc_id"))
-    pairs = left.join(right, ok).select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
-    sets = rows.select("doc_id", "set")
-    got = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    ok = (F.col("l.h") == F.col("r.h")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n")) & (F.col("l.class_id") != F.col("r.class_id"))
+    pairs = left.join(right, ok).select(F.least("l.class_id", "r.class_id").alias("a"), F.greatest("l.class_id", "r.class_id").alias("b")).distinct()
+    sets = rows.select("class_id", "doc_id", "set")
+    got = pairs.join(sets.toDF("a", "doc_a", "sa"), "a").join(sets.toDF("b", "doc_b", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     got = got.withColumn("likeness", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("likeness") >= threshold)
-    return classes, got.select("a", "b", "likeness")
+    return classes, got.select("a", "b", "doc_a", "doc_b", "likeness")

@@ -259,24 +259,28 @@ def spot_set(text):
     any_ = set(spotsigs.ANCHORS)
     out = set()
     for i, x in enumerate(w):
-        if x in any_:
-            chain, at, skipped = [], i + 1, 0
-            while at < len(w) and len(chain) < spotsigs.CHAIN and skipped <= spotsigs.SKIP:
-                if w[at] in any_:
-                    skipped += 1
-                else:
-                    chain.append(w[at])
-                    skipped = 0
-                at += 1
-            if len(chain) == spotsigs.CHAIN:
-                out.add(hashlib.md5(f"{x} {' '.join(chain)} ".encode()).hexdigest()[:8])
-    return out or {hashlib.md5(f" {' '.join(w)} ".encode()).hexdigest()[:8]}
+        chain = [y for y in w[i + 1 :] if y not in any_][: spotsigs.CHAIN]
+        if x in any_ and len(chain) == spotsigs.CHAIN:
+            out.add(hashlib.md5(f"{x} {' '.join(chain)} ".encode()).hexdigest()[:16])
+    return out or {hashlib.md5(f" {' '.join(w)} ".encode()).hexdigest()[:16]}
+
+
+def test_spots_pass_over_any_number_of_common_words(spark):
+    """All common words of a long run have spots; a long run costs linear time."""
+    texts = ["the " + "of " * 9 + "alpha beta gamma", "of " * 50 + "a1 " + "the " * 200_000 + "a2 and", "the " * 500_000 + "u v " * 100_000, "the of", "the a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fp"] for r in spotsigs.with_fingerprint(docs, "text", "fp").collect()}
+    assert len(spot_set(texts[0])) == 2
+    for i in (0, 3, 4):
+        assert got[i] == f"{len(spot_set(texts[i]))}:{','.join(sorted(spot_set(texts[i])))}"
+    assert got[1] == "1:" + hashlib.md5(b"of a1 a2 ").hexdigest()[:16]
+    assert got[2] == "1:" + hashlib.md5(b"the u v ").hexdigest()[:16]
 
 
 def test_fingerprints(spark):
     rng = random.Random(11)
     vocab = ["the", "of", "der", "la", "alpha", "beta", "Gamma", "été", "x1", "the", "and"]
-    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + [None, "", "the " * 40 + "a b", "𝒳é" * 3, "same of all things", "same of all things"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + [None, "", "the " * 40 + "a b", "𝒳é" * 3, "the " + "of " * 20 + "alpha " + "and " * 30 + "beta x", "same of all things", "same of all things"]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     rows = list(zip(ids, texts, ["c"] * len(ids), strict=True))
@@ -314,6 +318,19 @@ def test_next_of_ties(spark):
         assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
 
 
+def test_next_of_copies(spark):
+    """Many copies of texts without a doc_id, or of one, are dealt over parts; each copy but the last is followed by a copy."""
+    rows = [(None, "all of one text")] * 3000 + [(None, ""), (None, "b c"), (None, None)] + [(5, "the five of them")] * 2500 + [(i, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.md5(x[1].encode()).hexdigest()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        edited = t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = spotsigs.fingerprint_documents(docs, buckets=20).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_spot_pairs(spark):
     rng = random.Random(12)
     sets = [{f"{rng.randrange(90):08x}" for _ in range(rng.randrange(1, 30))} for _ in range(40)]
@@ -330,4 +347,19 @@ def test_spot_pairs(spark):
         first.setdefault(frozenset(s), i)
     assert found.count() == len(first)
     want = {(min(a, b), max(a, b)) for (s, a), (t, b) in combinations(first.items(), 2) if len(s & t) / len(s | t) >= 0.75}
-    assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
+    got = pairs.collect()
+    assert want and {(min(r["doc_a"], r["doc_b"]), max(r["doc_a"], r["doc_b"])) for r in got} == want
+    assert len(got) == len(want) and all(r["a"] < r["b"] for r in got)
+
+
+def test_spot_pairs_of_repeated_and_null_doc_ids(spark):
+    """Classes are told by fingerprint: different texts of one doc_id stay apart."""
+    a = [f"{i:016x}" for i in range(20)]
+    b = [f"{i:016x}" for i in range(100, 120)]
+    rows = [(1, a), (1, b), (2, a[:19]), (None, b[:19]), (4, a)]
+    prints = spark.createDataFrame([(i, f"{len(s)}:{','.join(s)}") for i, s in rows] + [(9, None)], "doc_id long, fingerprint string")
+    found, pairs = spotsigs.near_duplicates(prints)
+    assert sorted((r["doc_id"] or 0, r["members"]) for r in found.collect()) == [(0, 1), (1, 1), (1, 2), (2, 1)]
+    assert sorted((sorted((r["doc_a"] or 0, r["doc_b"] or 0)), r["likeness"]) for r in pairs.collect()) == [([0, 1], 0.95), ([1, 2], 0.95)]
+    classes, none = spotsigs.near_duplicates(prints.limit(0))
+    assert classes.count() == 0 and none.count() == 0
