@@ -6,9 +6,11 @@ document; a lot keeps its open bins ordered by their residual room and gives a
 piece to the tightest bin that is compatible with it, by successor search over
 a bitmap of the residuals in use.
 
-Every bin carries two bitmaps. The source bitmap has ``slots`` bits a source and
-so bounds the pieces of one source in a bin (unless the lot has one source
-alone); the cluster bitmap has one bit for each duplicate cluster that has
+Every bin carries two bitmaps. The source bitmap has the sources that hold their
+share of the bin's words, told by counters: a source may hold as much of a bin as
+of its lot and ``slack`` percent of the bin more, and gets no further piece there
+once it does. A lone source so fills whole bins, and bins mix sources the more the
+lot does. The cluster bitmap has one bit for each duplicate cluster that has
 several pieces in the lot, and no two pieces of a cluster share a bin. Pieces
 come in the order of decreasing size. The search goes on to the next residual
 until a bin fits both; only if none does is a bin opened.
@@ -27,8 +29,8 @@ from delimlake.llm.common import WORD, attach, lower_ascii
 
 #: Words a bin holds.
 CAPACITY = 2048
-#: Pieces of one source that a bin may hold beside those of others.
-SLOTS = 8
+#: Percent of a bin that a source may hold beyond its share of the lot.
+SLACK = 50
 #: Documents a packing lot has, about; the number of lots grows with the input.
 LOT = 20_000
 
@@ -36,12 +38,12 @@ LOT = 20_000
 class Bins:
     """Open bins of one lot, ordered by residual room."""
 
-    def __init__(self, capacity: int, slots: int | None):
-        self.capacity, self.slots = capacity, slots
+    def __init__(self, capacity: int, bounds: list[int]):
+        self.capacity, self.bounds = capacity, bounds
         self.room: list[int] = []  # by bin
-        self.sources: list[int] = []  # bitmap: `slots` bits a source
+        self.held: list[Counter] = []  # words by source
         self.clusters: list[int] = []  # bitmap
-        self.full: list[int] = []  # bitmap of the sources without a free slot
+        self.full: list[int] = []  # bitmap of the sources that hold their bound
         self.used = 0  # bitmap of the residuals that have bins
         self.at: dict[int, dict[int, list[int]]] = defaultdict(dict)  # residual -> full -> bins
         # source or cluster -> bitmap of residuals whose bins are all closed to it, and the other way round
@@ -68,11 +70,11 @@ class Bins:
             r = need + (above & -above).bit_length() - 1
             closed = held = True
             for full, bins in self.at[r].items():
-                closed &= (no_slot := full >> source & 1)
+                closed &= (at_bound := full >> source & 1)
                 for i, b in enumerate(bins):
                     if cluster < 0 or not self.clusters[b] >> cluster & 1:
                         held = False
-                        if no_slot:
+                        if at_bound:
                             break
                         bins.pop(i)
                         if not bins:
@@ -89,32 +91,40 @@ class Bins:
 
     def open(self) -> int:
         self.room.append(self.capacity)
-        for x in (self.sources, self.clusters, self.full):
+        self.held.append(Counter())
+        for x in (self.clusters, self.full):
             x.append(0)
         return len(self.room) - 1
 
     def add(self, b: int, size: int, source: int, cluster: int) -> None:
         self.room[b] -= size
-        if self.slots:
-            first = source * self.slots
-            held = (self.sources[b] >> first & ((1 << self.slots) - 1)).bit_count()
-            self.sources[b] |= 1 << (first + held)
-            if held + 1 == self.slots:
-                self.full[b] |= 1 << source
+        self.held[b][source] += size
+        if self.held[b][source] >= self.bounds[source]:
+            self.full[b] |= 1 << source
         if cluster >= 0:
             self.clusters[b] |= 1 << cluster
         self.put(b)
 
 
-def pack(sizes: list[int], sources: list, clusters: list, capacity: int, slots: int) -> list[int]:
+def source_bounds(sizes: list[int], sources: list, capacity: int, slack: int) -> dict:
+    """source -> words of a bin at which it gets no further piece: its share of all words and slack percent of the bin."""
+    words: Counter = Counter()
+    for size, source in zip(sizes, sources, strict=True):
+        words[source] += size
+    total = 100 * max(1, words.total())
+    return {s: min(capacity, -(-capacity * (100 * n + slack * (total // 100)) // total)) for s, n in words.items()}
+
+
+def pack(sizes: list[int], sources: list, clusters: list, capacity: int, slack: int) -> list[int]:
     """The bin of each piece, in the order in which they are packed."""
-    source_no: dict = {}
+    bounds = source_bounds(sizes, sources, capacity, slack)
+    source_no = {s: i for i, s in enumerate(bounds)}
     cluster_no: dict = {}
     many = {c for c, n in Counter(c for c in clusters if c is not None).items() if n > 1}
-    bins = Bins(capacity, slots if len(set(sources)) > 1 else None)
+    bins = Bins(capacity, list(bounds.values()))
     out = []
     for size, s, c in zip(sizes, sources, clusters, strict=True):
-        source = source_no.setdefault(s, len(source_no))
+        source = source_no[s]
         cluster = cluster_no.setdefault(c, len(cluster_no)) if c in many else -1
         b = bins.successor(size, source, cluster)
         if b is None:
@@ -138,7 +148,7 @@ def pack_documents(
     ident: str = "doc_id",
     source: str = "source",
     capacity: int = CAPACITY,
-    slots: int = SLOTS,
+    slack: int = SLACK,
     lot: int = LOT,
 ) -> DataFrame:
     """One row a piece: ident, source, cluster, piece (from 0), start and size (in
@@ -148,11 +158,11 @@ def pack_documents(
     null). Null idents and sources are values like others; a null cluster
     conflicts with nothing. Repeated rows are packed one by one. Texts do not
     travel: join the pieces to the documents to cut them. An empty table gives
-    an empty result. A lot of one source alone has no bound on its pieces in a
-    bin. Columns beyond ident and source are read by size and cluster alone.
+    an empty result. A source's words in a bin, its last piece there aside, stay
+    below its share of its lot's words and slack percent of the bin. Columns beyond ident and source are read by size and cluster alone.
     """
-    if capacity < 1 or slots < 1:
-        raise ValueError("capacity and slots must be positive")
+    if capacity < 1 or slack < 1:
+        raise ValueError("capacity and slack must be positive")
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), cluster.cast("long").alias("cluster"), size.cast("long").alias("words"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     lots = max(1, -(-docs.count() // lot))
@@ -183,7 +193,7 @@ def pack_documents(
             return (-int(length[i]), bool(none[r]), int(cl[r]), str(src[r]), str(ident[r]))
 
         todo = sorted(rest, key=decreasing)
-        got = pack([int(length[i]) for i in todo], [src[row[i]] for i in todo], [None if none[row[i]] else int(cl[row[i]]) for i in todo], capacity, slots)
+        got = pack([int(length[i]) for i in todo], [src[row[i]] for i in todo], [None if none[row[i]] else int(cl[row[i]]) for i in todo], capacity, slack)
         where = np.full(len(row), -1, dtype=np.int64)
         where[todo] = got
         whole = np.flatnonzero(length == capacity)

@@ -19,11 +19,15 @@ def test_successor_search_is_tightest():
         sizes = [rng.randrange(1, 20) for _ in range(n)]
         if turn % 2:
             sizes.sort(reverse=True)
-        got = packing.pack(sizes, sources, clusters, 20, 2)
-        slots = 2 if len(set(sources)) > 1 else n
+        slack = rng.choice([5, 20, 40])
+        got = packing.pack(sizes, sources, clusters, 20, slack)
+        words = Counter()
+        for size, source in zip(sizes, sources, strict=True):
+            words[source] += size
+        most = {s: 20 * (words[s] / words.total() + slack / 100) - 1e-9 for s in words}
         bins: dict = {}
         for size, source, cluster, b in zip(sizes, sources, clusters, got, strict=True):
-            fit = {k for k, x in bins.items() if x["room"] >= size and x["sources"][source] < slots}
+            fit = {k for k, x in bins.items() if x["room"] >= size and x["sources"][source] < most[source]}
             ok = {k for k in fit if cluster is None or cluster not in bins[k]["clusters"]}
             conflicts += bool(fit) and min(bins[k]["room"] for k in fit) < min((bins[k]["room"] for k in ok), default=99)
             if ok:
@@ -32,27 +36,42 @@ def test_successor_search_is_tightest():
                 assert b not in bins
                 bins[b] = {"room": 20, "sources": Counter(), "clusters": set()}
             bins[b]["room"] -= size
-            bins[b]["sources"][source] += 1
+            bins[b]["sources"][source] += size
             bins[b]["clusters"].add(cluster)
     assert conflicts > 50  # the cluster bitmap decides
 
 
-def test_lone_source_fills_bins():
+def test_bins_are_full():
+    """Over 90 % for any number of sources, evenly and unevenly drawn, short and long pieces, also where sources differ in length."""
     rng = random.Random(1)
-    sizes = sorted((rng.randrange(20, 300) for _ in range(3000)), reverse=True)
-    got = packing.pack(sizes, ["a"] * 3000, [None] * 3000, 2048, packing.SLOTS)
-    assert sum(sizes) > 0.95 * 2048 * len(set(got))
-    copies = packing.pack([7] * 4000, ["a"] * 2000 + ["b"] * 2000, ["c"] * 4000, 2048, packing.SLOTS)
+    for k in (1, 2, 3, 5, 8):
+        for low, high in ((5, 60), (20, 300)):
+            for draw in (lambda: rng.randrange(k), lambda: min(rng.randrange(k), rng.randrange(k))):
+                rows = sorted(((rng.randrange(low, high), draw()) for _ in range(4000)), reverse=True)
+                apart = sorted(((low + (high - low) * s // k + rng.randrange(1 + (high - low) // k), s) for _, s in rows), reverse=True)
+                for x in (rows, apart):
+                    sizes, sources = [n for n, _ in x], [s for _, s in x]
+                    got = packing.pack(sizes, sources, [None] * len(x), 2048, packing.SLACK)
+                    assert sum(sizes) > (0.92 if x is apart else 0.95) * 2048 * len(set(got))
+    copies = packing.pack([7] * 4000, ["a"] * 2000 + ["b"] * 2000, ["c"] * 4000, 2048, packing.SLACK)
     assert len(set(copies)) == 4000
 
 
+def test_one_document_of_another_source_changes_little():
+    """The bound moves with the shares; there is no switch."""
+    rng = random.Random(2)
+    sizes = sorted((rng.randrange(5, 60) for _ in range(3000)), reverse=True)
+    lone, one_other = (len(set(packing.pack(sizes, ["a"] * 2999 + [last], [None] * 3000, 2048, packing.SLACK))) for last in "ab")
+    assert abs(lone - one_other) <= 1
+
+
 DOCS = [(i, " ".join(["w"] * (i * 7 % 45)), "src0" if i % 3 else f"src{i % 5}", "x") for i in range(120)]
 DOCS += [(200 + i, "same words here", "src9", "y") for i in range(30)] + [(None, "a b", None, None), (7, None, "s", "z"), (8, DOCS[8][1], DOCS[8][2], "again"), (300, "w " * 95, "src1", "long")]
 
 
 def test_pack_documents(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string, bin string")
-    kept = packing.pack_documents(docs, packing.size_of(F.col("text")), packing.text_cluster(F.col("text")), capacity=40, slots=2, lot=50)
+    kept = packing.pack_documents(docs, packing.size_of(F.col("text")), packing.text_cluster(F.col("text")), capacity=40, slack=20, lot=50)
     rows = kept.collect()
     want = Counter()
     for i, t, _, _ in DOCS:
@@ -67,9 +86,18 @@ def test_pack_documents(spark):
     for r in rows:
         if r["bin"] is not None:
             bins[r["lot"], r["bin"]].append(r)
-    for items in bins.values():
+    shares: dict = {}
+    for lot in {r["lot"] for r in rows}:
+        pieces = [r for r in rows if r["lot"] == lot and 0 < r["size"] < 40]
+        words = Counter()
+        for r in pieces:
+            words[r["source"]] += r["size"]
+        shares |= {(lot, s): n / words.total() for s, n in words.items()}
+    for (lot, _), items in bins.items():
         assert sum(r["size"] for r in items) <= 40
-        assert max(Counter(r["source"] for r in items).values()) <= 2
+        for s in {r["source"] for r in items if r["size"] < 40}:
+            own = [r["size"] for r in sorted(items, key=lambda r: r["place"]) if r["source"] == s]
+            assert sum(own[:-1]) < 40 * (shares[lot, s] + 0.2) + 1e-9
         cl = [r["cluster"] for r in items if r["cluster"] is not None]
         assert len(cl) == len(set(cl))
         assert sorted(r["place"] for r in items) == list(range(len(items)))

@@ -176,7 +176,10 @@ def expect_best_fit_packing(spark, docs, rows, folder, got):
     for lot in {r["lot"] for r in got}:
         bins: dict = {}
         pieces = [r for r in got if r["lot"] == lot and 0 < r["size"] < packing.CAPACITY]
-        slots = packing.SLOTS if len({r["source"] for r in pieces}) > 1 else math.inf
+        words = Counter()
+        for r in pieces:
+            words[r["source"]] += r["size"]
+        most = {s: packing.CAPACITY * (n / words.total() + packing.SLACK / 100) - 1e-9 for s, n in words.items()}
         copies = Counter(r["cluster"] for r in pieces)
         order = lambda r: (-r["size"], r["cluster"] is None, r["cluster"] or 0, str(r["source"]), str(r["doc_id"]))
         for _, equal in groupby(sorted(pieces, key=order), key=order):
@@ -184,13 +187,13 @@ def expect_best_fit_packing(spark, docs, rows, folder, got):
             while todo:
                 r = todo[0]
                 c = r["cluster"] if copies[r["cluster"]] > 1 else None
-                ok = [k for k, x in bins.items() if x[0] >= r["size"] and x[1][r["source"]] < slots and (c is None or c not in x[2])]
+                ok = [k for k, x in bins.items() if x[0] >= r["size"] and x[1][r["source"]] < most[r["source"]] and (c is None or c not in x[2])]
                 least = min((bins[k][0] for k in ok), default=None)
                 fit = [r for r in todo if (r["bin"] in ok and bins[r["bin"]][0] == least if ok else r["bin"] not in bins)]
                 assert fit
                 room, sources, clusters = bins.setdefault(fit[0]["bin"], [packing.CAPACITY, Counter(), set()])
                 bins[fit[0]["bin"]][0] = room - r["size"]
-                sources[r["source"]] += 1
+                sources[r["source"]] += r["size"]
                 clusters.add(c)
                 todo.remove(fit[0])
 
