@@ -7,9 +7,9 @@ replacement. A source's word budget buys whole epochs of the source first; the
 rest buys the documents with the smallest keys, by their prefix sum.
 
 No source is sorted in one task: keys are cut into buckets of equal probability
-and prefix sums run over the buckets' totals. Only the documents of the one
-bucket in which a source's budget ends are sorted; they give the last key that
-the budget buys, and every document is then compared with its source's last key
+and prefix sums run over the buckets' totals. The bucket in which a source's
+budget ends is cut again, by its own least and largest key, until it is small;
+its documents are then sorted and give the last key that the budget buys, and every document is then compared with its source's last key
 where it stands. Texts take no part: mix a table of ids and sizes.
 """
 
@@ -18,14 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delimlake.llm.common import WORD, attach, cut
+from delimlake.llm.common import WORD, attach, cut, recut
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 CAP = 3
-#: Key buckets a source. A bucket of a hot source is what one task sorts.
+#: Key buckets a source, and those into which the bucket where a budget ends is cut again.
 BUCKETS = 1024
+#: Documents of a bucket that is sorted in one task, beside those of one key.
+SORTED = 1 << 17
 #: Sources up to which facts about them, one row each, are broadcast.
 BROADCAST_SOURCES = 10_000
 #: Quality weights of documents by their label; documents without one weigh 1.
@@ -87,6 +89,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
     buckets: int = BUCKETS,
+    most: int = SORTED,
 ) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes of the document).
 
@@ -110,20 +113,22 @@ def mix(
     rows = rows.withColumns({"__source": F.coalesce(F.col(source), F.lit("")), "__named": F.col(source).isNotNull()})
     keys = ["__named", "__source"]
 
-    parts = rows.groupBy(*keys, "__bucket").agg(F.sum("__size").alias("__words"))
+    parts = _bucket_sums(rows, keys)
     named = F.when(F.col("__named"), F.col("__source")).alias("source")
     per = targets(parts.groupBy(*keys).agg(F.sum("__words").alias("source_size")).select(named, "source_size"), weights, cap)
     per = per.withColumns({"__source": F.coalesce("source", F.lit("")), "__named": F.col("source").isNotNull()}).drop("source", "weight")
     per = per.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    w = Window.partitionBy(*keys).orderBy("__bucket")
-    parts = parts.withColumn("__before", F.sum("__words").over(w) - F.col("__words"))
-    # The last bucket that begins within the budget; those before it are bought whole.
-    ends = parts.join(per, keys).where("__before <= __rest").groupBy(*keys).agg(F.max_by(F.struct("__bucket", "__before", "__rest"), "__bucket").alias("e"))
-    ends = cut(ends.select(*keys, F.col("e.__bucket").alias("__end"), F.col("e.__before").alias("__before"), F.col("e.__rest").alias("__rest")))
+    ends = cut(_last_begun(parts.join(per.select(*keys, "__rest").withColumn("__before", F.lit(0).cast("long")), keys), keys))
+    while not (wide := ends.where((F.col("__n") > most) & (F.col("__lo") < F.col("__hi")))).isEmpty():
+        inner = _by_source(rows.select(*keys, "__key", "__size"), wide, keys, "inner").where("__key between __lo and __hi")
+        at = F.floor((F.col("__key") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets).cast("int")
+        parts = _bucket_sums(inner.withColumn("__bucket", at), keys)
+        parts = parts.join(wide.select(*keys, "__before", "__rest"), keys)
+        ends = recut(_last_begun(parts, keys).unionByName(ends.join(wide.select(*keys), keys, "left_anti")), ends)
 
     order = F.struct("__key", F.col(ident).isNull().alias("none"), F.col(ident).cast("string").alias("id"), "__size").alias("__at")
-    inside = _by_source(rows.select(*keys, "__bucket", "__size", order), ends, keys, "inner").where("__bucket = __end")
+    inside = _by_source(rows.select(*keys, "__key", "__size", order), ends, keys, "inner").where("__key between __lo and __hi")
     inside = inside.groupBy(*keys, "__at").agg(F.sum("__size").alias("__words"), F.count("*").alias("__n"), F.first("__before").alias("__before"), F.first("__rest").alias("__rest"))
     upto = F.sum("__words").over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("__left", F.col("__rest") - F.col("__before") - (upto - F.col("__words")))
@@ -131,11 +136,11 @@ def mix(
     inside = inside.withColumn("__share", bought)
     # Shares fall with the key: whole up to a last key, perhaps a part of the next, nothing after.
     lasts = inside.groupBy(*keys).agg(F.max(F.when(F.col("__share") == 1, F.col("__at"))).alias("__last"), F.max(F.when((F.col("__share") > 0) & (F.col("__share") < 1), F.struct("__at", "__share"))).alias("__part"))
-    facts = cut(per.drop("__rest").join(ends.drop("__before", "__rest"), keys, "left").join(lasts, keys, "left"))
+    facts = cut(per.drop("__rest").join(ends.select(*keys, "__lo", "__hi"), keys, "left").join(lasts, keys, "left"))
 
     share = (
-        F.when(F.col("__bucket") < F.col("__end"), 1.0)
-        .when((F.col("__bucket") > F.col("__end")) | F.col("__end").isNull(), 0.0)
+        F.when(F.col("__key") < F.col("__lo"), 1.0)
+        .when((F.col("__key") > F.col("__hi")) | F.col("__hi").isNull(), 0.0)
         .when(F.col("__at") <= F.col("__last"), 1.0)
         .when(F.col("__at") == F.col("__part.__at"), F.col("__part.__share"))
         .otherwise(0.0)
@@ -146,6 +151,20 @@ def mix(
     return out.select(*names, F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
+def _bucket_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Words, documents, least and largest key of each bucket."""
+    return rows.groupBy(*keys, "__bucket").agg(F.sum("__size").alias("__words"), F.count("*").alias("__n"), F.min("__key").alias("__lo"), F.max("__key").alias("__hi"))
+
+
+def _last_begun(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The last bucket of each source that begins within the budget __rest, __before words having been bought before
+    the first one; the buckets before it are bought whole. Their count is bounded by that of buckets."""
+    w = Window.partitionBy(*keys).orderBy("__bucket")
+    parts = parts.withColumn("__before", F.col("__before") + F.sum("__words").over(w) - F.col("__words"))
+    last = F.max_by(F.struct("__lo", "__hi", "__n", "__before", "__rest"), "__bucket").alias("e")
+    return parts.where("__before <= __rest").groupBy(*keys).agg(last).select(*keys, "e.*")
+
+
 def _by_source(rows: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
     """rows joined to facts, one row a source: in place while sources are few, else by a shuffle that splits hot ones."""
     if facts.count() <= BROADCAST_SOURCES:

@@ -145,6 +145,17 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), F.col("words"), F.col("q")).count() == 0
 
 
+def test_ending_bucket_is_cut_again(spark):
+    """However many cuts find the last key, the mix is the same: nearly all keys of a source in one bucket, ties, null ids."""
+    rows = [(i, "low", 1 + i % 7, 1e-4) for i in range(1500)] + [(None, "low", 3, 1e-4)] * 200 + [(i, "high", 5, 50.0) for i in range(400)] + [(9, "none", 0, 1.0), (10, None, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long, q double")
+    want = sorted(map(str, mixing.mix(docs, F.col("words"), F.col("q"), most=10**6).collect()))
+    assert len(want) == len(rows)
+    for buckets, most in ((16, 20), (2, 1), (1024, 1)):
+        got = mixing.mix(docs.repartition(5), F.col("words"), F.col("q"), buckets=buckets, most=most)
+        assert sorted(map(str, got.collect())) == want
+
+
 def test_copies_and_ties(spark):
     """Rows of one key are taken together; where the budget ends among them, each gives the same share."""
     rows = [(None, "a b c d", "hot", i) for i in range(300)] + [(i, "x " * (1 + i % 9), "hot", 0) for i in range(100)] + [(1, "x x", "cold", 0), (2, None, "cold", 0), (3, "", None, 0), (3, "y z", None, 0), (3, "y z", None, 0)]
