@@ -9,17 +9,20 @@ pairs a node, in many tasks, and data travel once a node and round.
 
 When rounds stop helping, a last step verifies what is left: pairs of different
 components that share a key and that size, position and a parity sketch of
-their sets allow. No candidate is dropped: each is verified, ruled out by a
-bound, or connected already.
+their sets allow. Where many nodes of a key are apart, pairs are met at parts of
+their sets instead of at the key (see parts), so that nodes that share just that
+key do not meet at all. No candidate is dropped: each is verified, ruled out by
+a bound, or connected already.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delimlake.llm.common import Forest, attach, components, cut, drop, edge_batches, recut
@@ -36,6 +39,10 @@ PARTNERS = 256
 ROUNDS, GOES_ON, SHARE = 12, 100, 4
 #: Longs of a parity sketch.
 SKETCH = 16
+#: Nodes of a key outside its largest label from which pairs are met at parts. Both ways find the same links.
+HOT = 2048
+#: Tokens of parts that travel together.
+BATCH = 1 << 16
 
 
 class Test:
@@ -94,6 +101,58 @@ def sketches(payload: DataFrame, test: Test) -> DataFrame:
     return payload.select("node", "data").mapInArrow(run, f"node {kind}, bits array<bigint>")
 
 
+def parts(s: np.ndarray, percent: int) -> Iterator[tuple[bool, int, int, np.ndarray]]:
+    """(own, size class, least, tokens): a set cut into parts by hash, for its own class of sizes and its neighbours.
+
+    Sets that link have sizes of one class or of neighbouring ones, and if the
+    second one is of this class, fewer than least elements differ. Each spoils
+    one part, so that at most least - 1 of the parts (hence of their tokens) do
+    not agree. In whatever order tokens are put, the same for all sets, two
+    such sets thus share one of their first least ones.
+    """
+    if not len(s):
+        return
+    base = 1.001 * 100 / percent  # a bit wider than the ratio of linked sizes
+    mine = int(math.log(len(s)) / math.log(base))
+    slots, values = mix64(s), mix64(s ^ np.uint64(0x9E3779B97F4A7C15))
+    for c in range(max(mine - 1, 0), mine + 2):
+        least = int(base ** (c + 1) * (100 - percent) / percent) + 1
+        count = least + least // 2 + 2  # spare parts: the empty ones and those of frequent elements alone come last
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, (slots % np.uint64(count)).astype(np.int64), values)
+        places = np.arange(count, dtype=np.uint64) + np.uint64(c << 40)
+        yield c == mine, c, least, mix64(sums ^ mix64(places)).view(np.int64)
+
+
+def _parted(payload: DataFrame, test: Test) -> DataFrame:
+    """(node, own, c, least, token): the tokens of the parts of payload(node, data)."""
+    kind = payload.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        def batch(held):
+            times = [len(t) for *_, t in held]
+            columns = [np.repeat(np.array(x), times) for x in list(zip(*held, strict=True))[1:4]]
+            nodes = pa.array([h[0] for h in held]).take(pa.array(np.repeat(np.arange(len(held)), times)))
+            arrays = [nodes, pa.array(columns[0]), *(pa.array(x.astype(np.int32)) for x in columns[1:]), pa.array(np.concatenate([h[4] for h in held]))]
+            return pa.RecordBatch.from_arrays(arrays, names=["node", "own", "c", "least", "token"])
+
+        held, size = [], 0
+        for b in batches:
+            for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for row in parts(test.load(data), test.percent):
+                    held.append((node, *row))
+                    size += len(row[3])
+                    if size >= BATCH:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
+
+    return payload.select("node", "data").mapInArrow(run, f"node {kind}, own boolean, c int, least int, token bigint")
+
+
 def _runs(batches, names: tuple[str, ...]) -> Iterator[list[tuple]]:
     """Rows (of names, then the others) in runs of equal values of names; batches are sorted by them."""
     run, now = [], None
@@ -200,11 +259,11 @@ def resolve(posts: DataFrame, members: DataFrame, payload: DataFrame, test: Test
 
 def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
     """posts by label (with n, and held: the group's nodes of that label), of the keys whose nodes have several; with
-    the key's total and weight and its major label."""
+    the key's total and weight, its major label and how many nodes have that (most)."""
     groups = known.groupBy("gid", "label").agg(F.first("n").alias("n"), F.count("*").alias("held"))
     entries = posts.join(groups, "gid")
     sums = entries.groupBy("key", "label").agg(F.sum("held").alias("held"), F.sum(F.col("held") * F.col("n")).alias("weight"))
-    keys = sums.groupBy("key").agg(F.max_by("label", "held").alias("major"), F.sum("held").alias("total"), F.sum("weight").alias("weight"), F.count("*").alias("labels"))
+    keys = sums.groupBy("key").agg(F.max_by("label", "held").alias("major"), F.max("held").alias("most"), F.sum("held").alias("total"), F.sum("weight").alias("weight"), F.count("*").alias("labels"))
     return attach(entries, keys.where("labels > 1").drop("labels"), ["key"], "inner")
 
 
@@ -214,9 +273,11 @@ def _remaining(mixed: DataFrame, known: DataFrame, payload: DataFrame, test: Tes
     # Groups that have a partner at some key are expanded; a pair passes only if its own sketches allow it.
     each = known.join(mixed.select("gid").distinct(), "gid", "left_semi")
     each = cut(each.join(sketches(payload.join(each.select("node"), "node", "left_semi"), test), "node"))
-    rows = mixed.join(each.select("gid", "label", "node", "bits"), ["gid", "label"])
+    hot = F.col("total") - F.col("most") > HOT
+    rows = mixed.where(~hot).join(each.select("gid", "label", "node", "bits"), ["gid", "label"])
     if few_keys:  # those that are mixed: two labels that share a key make it so
-        rows = rows.join(mixed.groupBy("gid").agg(F.sort_array(F.collect_set("key")).alias("keys")), "gid")
+        keys = mixed.groupBy("gid").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        rows = rows.join(keys, "gid")
     l, r = rows.where("label != major").alias("l"), rows.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
     on = on & ((F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label"))) & fits("l.n", "r.n", percent)
@@ -227,7 +288,34 @@ def _remaining(mixed: DataFrame, known: DataFrame, payload: DataFrame, test: Tes
         on = on & (F.get(F.array_intersect("l.keys", "r.keys"), F.lit(0)) == F.col("l.key"))
     swap = F.col("l.node") > F.col("r.node")
     ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("l.node", "r.node", "a"), ("r.node", "l.node", "b"), ("l.label", "r.label", "la"), ("r.label", "l.label", "lb"))]
-    return recut(l.join(r, on).select(*ends).distinct(), each)
+    pairs = l.join(r, on).select(*ends)
+    apart = mixed.where(hot).select("gid", "label").distinct()
+    if apart.isEmpty():
+        return recut(pairs.distinct(), each)
+    some = each.join(apart, ["gid", "label"], "left_semi")
+    if few_keys:
+        some = some.join(keys, "gid")
+    tokens = cut(_parted(payload.join(some.select("node"), "node", "left_semi"), test))
+    met = _met(tokens, some, percent)
+    if few_keys:  # candidates share a key
+        met = met.where(F.arrays_overlap("l.keys", "r.keys"))
+    return recut(pairs.union(met.select(*ends)).distinct(), each, tokens)
+
+
+def _met(tokens: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Pairs l, r of rows of some, of different labels, that share one of their first tokens, rarest first, and whose
+    sketches allow a link. Tokens travel with label and size alone."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node", "c").orderBy("often", "token")
+    first = attach(tokens, often.where("often > 1"), ["token"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = first.withColumn("rank", F.row_number().over(order)).where("rank <= least and often > 1")
+    first = first.join(some.select("node", "label", "n"), "node").select("token", "own", "node", "label", "n")
+    x, y = first.alias("x"), first.where("own").alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & fits("x.n", "y.n", percent)
+    pairs = x.join(y, on).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+    l, r = some.alias("l"), some.alias("r")
+    pairs = pairs.join(l, F.col("x") == F.col("l.node")).join(r, F.col("y") == F.col("r.node"))
+    return pairs.where(overlap("l.bits", "r.bits", "l.n", "r.n", percent))
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, test: Test) -> DataFrame:

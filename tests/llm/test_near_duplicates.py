@@ -78,6 +78,7 @@ def test_jaccard_components(spark, seed, monkeypatch):
     if seed == 2:  # rounds, small blocks and small chunks of text give the same
         monkeypatch.setattr(links, "GOES_ON", 10**9)
         monkeypatch.setattr(links, "BLOCK", 3)
+        monkeypatch.setattr(links, "HOT", 0)
         monkeypatch.setattr(jaccard, "BLOCK", 300)
     got = jaccard.jaccard_components(docs.repartition(3)).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
@@ -115,8 +116,13 @@ def test_screen_bound(percent):
                 assert common >= asked, (m, n, i)
 
 
-def test_resolve_hot_key(spark):
+@pytest.mark.parametrize(("hot", "few_keys"), [(links.HOT, False), (0, False), (5, True)])
+def test_resolve_hot_key(spark, monkeypatch, hot, few_keys):
     """Chains of sets under one key that all nodes share, in small blocks, by brute force."""
+    monkeypatch.setattr(links, "HOT", hot)
+    monkeypatch.setattr(links, "ROUNDS", 1)  # the last step finds what one round of small blocks left
+    monkeypatch.setattr(links, "BLOCK", 3)
+    monkeypatch.setattr(links, "BATCH", 500)
     rng = random.Random(8)
     sets, base = [], 0
     for _ in range(40):
@@ -131,11 +137,44 @@ def test_resolve_hot_key(spark):
     payload = spark.createDataFrame(rows, "node long, data binary, n long")
     members = payload.select(F.col("node").alias("gid"), "node", "n")
     posts = members.select(F.lit(1).cast("long").alias("key"), "gid").union(members.select(F.col("gid") % 7 + 2, "gid"))
-    got = {r["node"]: r["label"] for r in links.resolve(posts, members, payload, jaccard.TokenSets(75)).collect()}
+    got = {r["node"]: r["label"] for r in links.resolve(posts, members, payload, jaccard.TokenSets(75), few_keys=few_keys).collect()}
     assert [got.get(i, i) for i in range(len(sets))] == want
     assert len(set(want)) < len(sets)
 
 
+@pytest.mark.parametrize("percent", [40, 50, 75, 90, 100])
+def test_parts_meet(percent):
+    """Two sets that just link share one of their first tokens, in whatever order tokens are put."""
+    rng = np.random.default_rng(percent)
+    for m in [*range(1, 40), 97, 300, 1777]:
+        for n in {m, m * 100 // percent, (m + m * 100 // percent) // 2}:
+            i = -(-percent * (m + n) // (100 + percent))
+            if i > m:
+                continue
+            pool = rng.integers(0, 2**63, m + n - i, dtype=np.uint64)
+            s, t = np.sort(pool[:m]), np.sort(np.concatenate([pool[:i], pool[m:]]))
+            assert jaccard.TokenSets(percent)(s, t)
+            salt = rng.integers(0, 2**62)
+            for x, y in ((s, t), (t, s)):
+                guest = {c: sorted(tokens.tolist(), key=lambda v: v ^ int(salt))[:least] for _, c, least, tokens in links.parts(x, percent)}
+                ((c, own),) = [(c, sorted(tokens.tolist(), key=lambda v: v ^ int(salt))[:least]) for mine, c, least, tokens in links.parts(y, percent) if mine]
+                assert set(guest[c]) & set(own)
+    assert list(links.parts(np.zeros(0, np.uint64), percent)) == []
+
+
+def test_hot_key_candidates(spark, monkeypatch):
+    """Nodes that share one element and no more do not meet, however many; those alike in part are few pairs."""
+    rng = np.random.default_rng(9)
+    met = []
+    for n in (1000, 4000):
+        sets = [np.sort(np.append(rng.integers(10, 2**63, 19, dtype=np.uint64), np.uint64(7))) for _ in range(n)]
+        payload = spark.createDataFrame([(i, bytearray(s.tobytes()), 20) for i, s in enumerate(sets)], "node long, data binary, n long")
+        bits = payload.sparkSession.createDataFrame([(i, i, 20, links.sketch(s).tolist()) for i, s in enumerate(sets)], "node long, label long, n long, bits array<bigint>")
+        monkeypatch.setattr(links, "overlap", lambda *a: F.lit(True))
+        met.append(links._met(links._parted(payload, jaccard.TokenSets(75)), bits, 75).count())
+    assert met[0] <= 1000 and met[1] <= 4000
+
+
 def test_sketches_bound():
     rng = np.random.default_rng(4)
     for n in (1, 30, 400, 5000):
