@@ -245,7 +245,12 @@ def lines_corpus(rng):
     return [*docs, (500, None, 1), (501, "", 2), (502, "\n\n", 3), docs[5], (7, docs[8][1], 4)]
 
 
-def test_line_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [links.HOT, 0])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(links, "HOT", hot)
+    if not hot:  # what one round of small blocks leaves is met at parts
+        monkeypatch.setattr(links, "ROUNDS", 1)
+        monkeypatch.setattr(links, "BLOCK", 2)
     rows = lines_corpus(random.Random(4))
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_kept int")
     lines = sorted({x for _, t, _ in rows for x in linededup.text_lines(t)})
