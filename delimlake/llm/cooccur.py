@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 #: Bits of the postings that a key range holds: the first while ranges are at most 2^MANY, for then a map task's
 #: chunks stay long; beyond that the second, which is what a task can hold.
 FINE, COARSE, LEAST, MANY = 19, 22, 8, 16
-#: Postings that a map task gathers before it cuts them into chunks.
-FLUSH = 1 << 21
+#: Postings that a map task gathers before it cuts them into chunks: some 100 MB of a worker while it does.
+FLUSH = 1 << 20
+#: Postings that a map task makes at once, about.
+PIECE = 1 << 17
 CHUNK = "range long, known boolean, keys binary, nodes binary"
 POSTS = "key long, node long"
 COUNTS = "node long, n long"
@@ -39,10 +41,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((nodes, keys)) if len(keys) else np.zeros(0, np.intp)
+    """Without repeats, by key and then node. Most keys are alone: nodes are sorted in runs of equal keys only."""
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
+    same = keys[1:] == keys[:-1]
+    if not same.any():
+        return keys, nodes
+    several = np.zeros(len(keys), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    at = np.flatnonzero(several)
+    held = nodes[at]
+    nodes[at] = held[np.lexsort((held, keys[at]))]
     keep = np.ones(len(keys), bool)
-    keep[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keep[1:] = ~same | (nodes[1:] != nodes[:-1])
     return keys[keep], nodes[keep]
 
 
@@ -88,13 +100,14 @@ def chunk_batches(postings, ranges: int):
         arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=["range", "known", "keys", "nodes"])
 
-    held, turn = [], 0
+    held, size, turn = [], 0, 0
     for keys, nodes in postings:
         held.append((keys, nodes))
-        if sum(len(k) for k, _ in held) >= FLUSH:
+        size += len(keys)
+        if size >= FLUSH:
             yield cut(turn, held)
-            held, turn = [], turn + 1
-    if any(len(k) for k, _ in held):
+            held, size, turn = [], 0, turn + 1
+    if size:
         yield cut(turn, held)
 
 

@@ -30,6 +30,8 @@ from delimlake.llm.links import Test, resolve
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are hashed at once (or one longer text).
 BLOCK = 1 << 18
+#: Hashes of whole sets that a task holds at once, about: 8 MB.
+HELD = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -160,22 +162,36 @@ def document_classes(docs: DataFrame, ident: str, text: str, words: int = WORDS)
     return rows.mapInArrow(run, f"doc_id {kind}, content long, n long, sig binary, node long")
 
 
+def posted_pieces(shingler: Shingler, offsets: np.ndarray, data: np.ndarray, percent: int = PERCENT):
+    """(keys, nodes): what the different sets of the texts post, at most PIECE postings and one set's at a time."""
+
+    def piece(keys, nodes):
+        # The smallest hashes crowd at the low end: spread them anew.
+        return cooccur.mix64(np.concatenate(keys)), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+
+    keys, nodes, held, seen = [], [], 0, set()
+    for _, s in shingler.sets(offsets, data):
+        if not len(s) or (sig := signature(s)) in seen:
+            continue
+        seen.add(sig)
+        # A copy: a view would hold the whole set until the piece is made.
+        keys.append(s[: posted(len(s), percent)].copy())
+        nodes.append(node_of(sig))
+        held += len(keys[-1])
+        if held >= cooccur.PIECE:
+            yield piece(keys, nodes)
+            keys, nodes, held = [], [], 0
+    if held:
+        yield piece(keys, nodes)
+
+
 def screen(docs: DataFrame, text: str, ranges: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, n): of the posted hashes of each set, how many other sets post too, at least."""
 
     def postings(batches):
         shingler = Shingler(words)
         for b in batches:
-            keys, nodes, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
-            for _, s in shingler.sets(*_texts(b.column(0))):
-                if not len(s) or (sig := signature(s)) in seen:
-                    continue
-                seen.add(sig)
-                part = s[: posted(len(s), percent)]
-                keys.append(part)
-                nodes.append(np.full(len(part), node_of(sig), np.int64))
-            # The smallest hashes crowd at the low end: spread them anew.
-            yield cooccur.mix64(np.concatenate(keys)), np.concatenate(nodes)
+            yield from posted_pieces(shingler, *_texts(b.column(0)), percent)
 
     def run(batches):
         yield from cooccur.chunk_batches(postings(batches), ranges)
@@ -194,18 +210,28 @@ def class_sets(docs: DataFrame, text: str, table: np.ndarray, words: int = WORDS
 
         shingler, names = Shingler(words), ["node", "n", "data"]
         kinds = [pa.int64(), pa.int64(), pa.binary()]
-        for b in batches:
-            out: dict[int, np.ndarray] = {}
-            for _, s in shingler.sets(*_texts(b.column(0))):
-                if len(s):
-                    out.setdefault(node_of(signature(s)), s)
+        def batch(out):
             refs = np.array(list(out), np.int64)
-            keep = refs[cooccur.in_bitmap(refs, shared.value)].tolist() if out else []
+            keep = refs[cooccur.in_bitmap(refs, shared.value)].tolist()
             rows = [(x, len(out[x]), out[x].astype("<u8").tobytes()) for x in keep]
             for a in range(0, len(rows), 1000):
                 arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+        for b in batches:
+            out: dict[int, np.ndarray] = {}
+            held, seen = 0, set()
+            for _, s in shingler.sets(*_texts(b.column(0))):
+                if len(s) and (node := node_of(signature(s))) not in seen:
+                    seen.add(node)
+                    out[node] = s
+                    held += len(s)
+                if held >= HELD:
+                    yield from batch(out)
+                    out, held = {}, 0
+            if out:
+                yield from batch(out)
+
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "node long, n long, data binary").dropDuplicates(["node"])
 
 

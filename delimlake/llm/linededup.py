@@ -146,14 +146,20 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
 
 
+def band_pieces(lines: list[str]):
+    """(keys, refs): the bands of lines, at most PIECE at a time."""
+    for i in range(0, len(lines), cooccur.PIECE // BANDS):
+        part = lines[i : i + cooccur.PIECE // BANDS]
+        yield band_keys(part).ravel(), np.repeat(refs_of([line_id(x) for x in part]), BANDS)
+
+
 def band_posts(docs: DataFrame, text: str, ranges: int) -> DataFrame:
     """(key, ref): bands that several different lines share."""
 
     def postings(batches):
         for b in batches:
             lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
-            if lines:
-                yield band_keys(lines).ravel(), np.repeat(refs_of([line_id(x) for x in lines]), BANDS)
+            yield from band_pieces(lines)
 
     def run(batches):
         yield from cooccur.chunk_batches(postings(batches), ranges)

@@ -407,3 +407,25 @@ def test_spot_pairs_of_repeated_and_null_doc_ids(spark):
     assert sorted((sorted((r["doc_a"] or 0, r["doc_b"] or 0)), r["likeness"]) for r in pairs.collect()) == [([0, 1], 0.95), ([1, 2], 0.95)]
     classes, none = spotsigs.near_duplicates(prints.limit(0))
     assert classes.count() == 0 and none.count() == 0
+
+
+def test_postings_come_in_bounded_pieces():
+    """However many texts or lines a batch has, a task holds few postings at once, and none is lost."""
+    texts = [" ".join(f"w{d}x{i}" for i in range(3000)).encode() for d in range(300)]
+    offsets, data = np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
+    pieces = list(jaccard.posted_pieces(jaccard.Shingler(), offsets, data))
+    most = jaccard.posted(2996)
+    assert sum(len(k) for k, _ in pieces) == 300 * most
+    assert max(len(k) for k, _ in pieces) < cooccur.PIECE + most
+    lines = [f"line {i} of some more words" for i in range(20_000)]
+    pieces = list(linededup.band_pieces(lines))
+    assert max(len(k) for k, _ in pieces) <= cooccur.PIECE
+    assert (np.concatenate([k for k, _ in pieces]) == linededup.band_keys(lines).ravel()).all()
+
+
+@pytest.mark.parametrize("share", [2**62, 500, 1])
+def test_distinct_postings(share):
+    rng = np.random.default_rng(3)
+    keys, nodes = rng.integers(0, share, 5000).astype(np.uint64), rng.integers(-50, 50, 5000)
+    got = list(zip(*(x.tolist() for x in cooccur._distinct(keys, nodes)), strict=True))
+    assert got == sorted(set(zip(keys.tolist(), nodes.tolist(), strict=True)))
