@@ -1,4 +1,4 @@
-"""Delimited text to records: lines(doc_id, block, line_no, line) -> records(doc_id, block, blocks, record_no, cells).
+"""Delimited text to records: lines(doc_id, block, line_no, line), or blocks(doc_id, block, of, text) -> records(doc_id, block, blocks, record_no, cells).
 
 The state that runs across lines is the parity of quotes and a flag about the
 next quoted line break, so it is a matter of running sums and maxima:
@@ -15,6 +15,10 @@ task needs more than a block. What a block does to that state is worked out for
 both parities with which it may be entered, in one pass; running sums over a row
 a block tell how each is entered; a second pass numbers the records, and a record
 that crosses from block to block goes to the block in which it starts.
+
+Texts held in rows come as blocks with their lines as one text. They are cut at
+their quotes, so that a line break's parity is that of its piece, and no line
+travels by itself; a document of one block is cut where it stands.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from pyspark.sql import functions as F
 # Marks that stand for special characters while a record is cut (noncharacters, refused in input).
 QUOTE, DELIM, CUT, ESC = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 # White space that trimming removes.
-SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 DELIMITERS = "\t,|"
 
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def detect_delimiter(first_line: Column) -> Column:
@@ -146,34 +150,164 @@ def stitch(lines: DataFrame, delimiter: str | None = None, states: DataFrame | N
     return parts.select("doc_id", F.col("home").alias("block"), "blocks", "record_no", "delim", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
 
-def split_cells(text: Column, delim: Column) -> Column:
-    """The trimmed cells of one record's text."""
+def _marked(text: Column) -> Column:
+    """text with line breaks marked: CUT and QUOTE after an even and an odd number of quotes, DELIM and ESC for escaped
+    ones (with their backslash)."""
+    s = F.regexp_replace(text, r"(?s)\\(.)", f"{ESC}$1")
+    s = F.replace(F.replace(s, F.lit(f'{ESC}"'), F.lit(QUOTE)), F.lit(f"{ESC}\n"), F.lit(DELIM))
+    s = F.when(F.contains(text, F.lit("\\")), F.replace(s, F.lit(ESC), F.lit("\\"))).otherwise(text)
+
+    def piece(x: Column, i: Column) -> Column:
+        x = F.replace(x, F.lit(QUOTE), F.lit('\\"'))
+        even = F.replace(x, F.lit("\n"), F.lit(CUT))
+        return F.when(i % 2 == 0, even).otherwise(F.replace(F.replace(x, F.lit("\n"), F.lit(QUOTE)), F.lit(DELIM), F.lit(ESC)))
+
+    several = F.array_join(F.transform(F.split(s, '"'), piece), '"')
+    refused = F.raise_error(F.lit("the text holds U+FDD0 to U+FDD3, which are reserved")).cast("string")
+    marks = F.regexp_like(text, F.lit(f"[{QUOTE}{DELIM}{CUT}{ESC}]"))
+    return F.when(marks, refused).when(F.contains(text, F.lit('"')), several).otherwise(F.replace(s, F.lit("\n"), F.lit(CUT)))
+
+
+def _ends(parity: int) -> tuple[str, str, str, str]:
+    """Marks of line breaks where so many quotes come first: those outside quotes, those in them; the same of escaped ones."""
+    return (CUT, QUOTE, DELIM, ESC) if parity == 0 else (QUOTE, CUT, ESC, DELIM)
+
+
+def _joined(m: Column, parity: int, opened: Column) -> Column:
+    """A marked block with CUT where records end alone. opened: whether its first quoted line break stays one."""
+    end, fold, escaped, within = _ends(parity)
+    broken = F.lit("\\\n")
+    s = F.replace(m, F.lit(within), broken)
+    # From here, within marks a quote that opens at the start of a line. The last one before a quoted break counts.
+    for c in (end, escaped):
+        s = F.replace(s, F.lit(f'{c}"'), F.lit(f'{c}{within}"'))
+    s = F.concat(F.when(opened, F.lit(within)).otherwise(F.lit("")), s)
+    s = F.regexp_replace(s, f"{within}([^{within}{fold}]*+){fold}", "$1\n")
+    s = F.replace(F.replace(s, F.lit(within), F.lit("")), F.lit(fold), F.lit(" "))
+    s = F.when(F.contains(m, F.lit(fold)), s).otherwise(F.replace(m, F.lit(within), broken))
+    s = F.replace(s, F.lit(escaped), broken)
+    return s if parity == 0 else F.replace(s, F.lit(end), F.lit(CUT))
+
+
+def _starts_open(parity: Column) -> Column:
+    """A quote opens at the start of the block, which is not the first; parity: of the quotes before it."""
+    return (F.col("block") > 0) & (parity == 0) & F.startswith("text", F.lit('"'))
+
+
+def text_states(blocks: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """A row a block, of documents with several: how it is entered.
+
+    (id, at, no, blocks, delim, parity, opened, ended, middle, home, final,
+    open): document and first line, its number in the document and how many
+    there are, the parity of the quotes before it, whether a quote has opened at
+    the start of a line since the last quoted line break, the records ended
+    before it, whether it is entered within a record, the number of the block
+    where that record starts (its own if a record starts with it), whether it is
+    the last one, and whether it ends within a record.
+    """
+    head = detect_delimiter(F.substring_index("text", "\n", 1)) if not delimiter else F.lit(None).cast("string")
+    bare = F.when(F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")).otherwise(F.col("text"))
+    per = blocks.where("of > 1")
+    per = per.withColumns({"head": F.when(F.col("block") == 0, head), "bare": bare, "m": _marked(F.concat("text", F.lit("\n")))})
+    m, found = F.col("m"), []
+    for e in (0, 1):  # for either parity
+        end, fold, escaped, _ = _ends(e)
+        tail, folds = F.substring_index(m, fold, -1), F.contains(m, F.lit(fold))
+        sets = F.contains(tail, F.lit(f'{end}"')) | F.contains(tail, F.lit(f'{escaped}"')) | (~folds & _starts_open(F.lit(e)))
+        found += [
+            (F.length(m) - F.length(F.replace(m, F.lit(end), F.lit("")))).cast("long").alias(f"n{e}"),
+            (~F.endswith(m, F.lit(end))).alias(f"open{e}"),
+            F.when(folds | sets, sets).alias(f"flag{e}"),
+        ]
+    quotes = F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))
+    per = per.select(*KEYS, "head", quotes.alias("quotes"), *found)
+    doc = Window.partitionBy("doc_id").orderBy("block")
+    every = Window.partitionBy("doc_id")
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({
+        "parity": F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2,
+        "no": (F.row_number().over(doc) - 1).cast("long"),
+        "blocks": F.count("*").over(every),
+        "delim": F.lit(delimiter) if delimiter else F.max("head").over(every),
+    }).where("blocks > 1")
+    per = per.select(*KEYS, "delim", "parity", "no", "blocks", *[F.when(F.col("parity") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c) for c in ("n", "open", "flag")])
+    per = per.withColumn("middle", F.coalesce(F.lag("open").over(doc), F.lit(False)))
+    # The record at a block's end starts in it where another ended before, or where the block starts with it.
+    started = F.max(F.when((F.col("n") > 0) | ~F.col("middle"), F.col("no"))).over(before)
+    return per.select(
+        F.col("doc_id").alias("id"), F.col("block").alias("at"), "no", "blocks", "delim", "parity",
+        F.coalesce(F.last("flag", ignorenulls=True).over(before), F.lit(False)).alias("opened"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ended"),
+        "middle",
+        F.when(F.col("middle"), started).otherwise(F.col("no")).alias("home"),
+        (F.col("no") == F.col("blocks") - 1).alias("final"),
+        "open",
+    )
+
+
+def _pieces(entered: DataFrame) -> DataFrame:
+    """(..., record_no, k, j, piece): the parts of records that blocks hold, with j from 0 to k - 1 in a block."""
+    rows = entered.withColumn("m", _marked(F.when(F.col("final"), F.col("text")).otherwise(F.concat("text", F.lit("\n")))))
+    opened = F.col("opened") | _starts_open(F.col("parity"))
+    cut = F.split(F.when(F.col("parity") == 0, _joined(F.col("m"), 0, opened)).otherwise(_joined(F.col("m"), 1, opened)), CUT)
+    keep = [c for c in entered.columns if c not in ("text", "of")]
+    # A generator, which no later step moves into itself: each block is cut once.
+    rows = rows.select(*keep, F.explode(F.array(cut)).alias("ps"))
+    rows = rows.select(*keep, F.size("ps").alias("k"), F.posexplode("ps").alias("j", "piece"))
+    return rows.withColumn("record_no", F.col("ended") + F.col("j"))
+
+
+def stitch_texts(blocks: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """As stitch, of blocks(doc_id, block, of, text) with their lines as one text, block being the number of the first.
+
+    Documents of one block are cut where they stand; of others, the parts of each record are brought together.
+    """
+    if delimiter == "\n":
+        raise ValueError("a line break can't be the delimiter")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("block") == F.col("at"))
+    last = (F.col("j") == F.col("k") - 1) & ~F.col("final")
+    # After a record's end at the end of the block, nothing follows.
+    parts = _pieces(blocks.where("of > 1").join(text_states(blocks, delimiter), same)).where(~(last & ~F.col("open")))
+    first = F.when(F.col("j") == 0, F.col("home")).otherwise(F.col("no"))
+    parts = parts.groupBy("doc_id", first.alias("block"), "record_no").agg(F.array_sort(F.collect_list(F.struct("no", "piece"))).alias("p"), *[F.first(c).alias(c) for c in ("blocks", "delim")])
+    found = parts.select("doc_id", "block", "blocks", "record_no", "delim", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+    one = blocks.where("of = 1")
+    entry = {"no": 0, "blocks": 1, "parity": 0, "opened": False, "ended": 0, "final": True}
+    head = F.lit(delimiter) if delimiter else F.when(F.col("block") == 0, detect_delimiter(F.substring_index("text", "\n", 1)))
+    one = one.withColumns({c: F.lit(x) if isinstance(x, bool) else F.lit(x).cast("long") for c, x in entry.items()} | {"delim": head})
+    return _pieces(one).select("doc_id", F.col("no").alias("block"), "blocks", "record_no", "delim", F.col("piece").alias("text")).union(found)
+
+
+def split_cells(text: Column, delim: Column, checked: bool = False) -> Column:
+    """The trimmed cells of one record's text. checked: reserved characters have been refused before."""
     marks = F.regexp_like(text, F.lit(f"[{QUOTE}{DELIM}{CUT}{ESC}]"))
-    text = F.when(marks, F.raise_error(F.lit("the text holds U+FDD0 to U+FDD3, which are reserved"))).otherwise(text)
+    refused = F.raise_error(F.lit("the text holds U+FDD0 to U+FDD3, which are reserved")).cast("array<string>")
     s = F.regexp_replace(text, r"(?s)\\(.)", f"{ESC}$1")
     s = F.regexp_replace(s, rf"(?<!{ESC})\\\z", "")
     s = F.replace(s, F.lit(f'{ESC}"'), F.lit(QUOTE))
     s = F.replace(s, F.concat(F.lit(ESC), delim), F.lit(DELIM))
-    s = F.replace(s, F.lit(ESC), F.lit(""))
+    s = F.when(F.contains(text, F.lit("\\")), F.replace(s, F.lit(ESC), F.lit(""))).otherwise(text)
     # A longer delimiter, and one that is itself a quote or backslash, cuts nothing.
     cuts = (F.length(delim) == 1) & ~delim.isin('"', "\\")
     pieces = F.transform(F.split(s, '"'), lambda x, i: F.when((i % 2 == 0) & cuts, F.replace(x, delim, F.lit(CUT))).otherwise(x))
     cells = F.split(F.array_join(pieces, ""), CUT)
-    return F.transform(cells, lambda c: trim(F.replace(F.replace(c, F.lit(QUOTE), F.lit('"')), F.lit(DELIM), delim)))
+    cells = F.transform(cells, lambda c: trim(F.replace(F.replace(c, F.lit(QUOTE), F.lit('"')), F.lit(DELIM), delim)))
+    return cells if checked else F.when(marks, refused).otherwise(cells)
 
 
-def cut_records(texts: DataFrame) -> DataFrame:
+def cut_records(texts: DataFrame, checked: bool = False) -> DataFrame:
     """records(doc_id, block, blocks, record_no, cells) of stitched texts; records of blank cells alone are left out."""
     # A generator, which filters on the cells don't cross: each record is split once.
-    once = F.explode(F.array(split_cells(F.col("text"), F.col("delim"))))
+    once = F.explode(F.array(split_cells(F.col("text"), F.col("delim"), checked)))
     return texts.select(*KEYS, "blocks", "record_no", once.alias("cells")).where(F.exists("cells", lambda c: c != ""))
 
 
-def parse_records(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+def parse_records(rows: DataFrame, delimiter: str | None = None) -> DataFrame:
     """records(doc_id, block, blocks, record_no, cells) in the order of record_no; records of blank cells alone are left out.
 
     delimiter: one character; None or '' detects it from each document's first
     line. Documents may be of any size: a task holds a block, or one record.
     block and blocks: see stitch.
     """
-    return cut_records(stitch(lines, delimiter))
+    whole = "text" in rows.columns
+    return cut_records(stitch_texts(rows, delimiter) if whole else stitch(rows, delimiter), checked=whole)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from delimlake.functions import columns
 from delimlake.operators import records, sections
 from delimlake.plans.render import cents, line, number, quoted
-from delimlake.sources import document_lines, scan_lines
+from delimlake.sources import document_blocks, scan_lines
 from delimlake.sources.lines import LINES
 
 
@@ -134,14 +134,14 @@ def split_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    rows = records.parse_records(document_lines(docs, lines=lines))
+    rows = records.parse_records(document_blocks(docs, lines=lines))
     return rows.select("doc_id", "record_no", F.posexplode("cells").alias("cell_no", "cell"))
 
 
 def split_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.concat(line("first", quoted(F.col("text")), "end"), F.lit("\n"), line(quoted(F.col("text")), "second"))
-    rows = records.parse_records(document_lines(docs.select("doc_id", text.alias("text"))), ",")
+    rows = records.parse_records(document_blocks(docs.select("doc_id", text.alias("text"))), ",")
     return rows.select("doc_id", "record_no", F.posexplode("cells").alias("cell_no", "cell"))
 
 

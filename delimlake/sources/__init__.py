@@ -1,5 +1,5 @@
 """Readers: files or tables of texts to lines."""
 
-from delimlake.sources.lines import document_lines, scan_documents, scan_lines
+from delimlake.sources.lines import document_blocks, document_lines, scan_documents, scan_lines
 
-__all__ = ["document_lines", "scan_documents", "scan_lines"]
+__all__ = ["document_blocks", "document_lines", "scan_documents", "scan_lines"]

@@ -1,7 +1,8 @@
 """Texts to physical lines: lines(doc_id, block, line_no, line).
 
 line_no orders the lines of a document, from 0. block cuts a document into
-consecutive parts, so that a large one need not meet in one task.
+consecutive parts, so that a large one need not meet in one task. Or to blocks of
+lines, as one text each: blocks(doc_id, block, of, text).
 """
 
 from __future__ import annotations
@@ -21,6 +22,19 @@ def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select("doc_id", F.floor(F.col("line_no") / lines).alias("block"), F.col("line_no").cast("long"), "line")
 
 
+def document_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
+    """blocks(doc_id, block, of, text) of so many lines of texts held in rows: the number of the block's first line, how
+    many blocks the document has, and its lines. Null and empty texts have none. Nothing is exchanged."""
+    of = F.ceil((F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1) / lines)
+    # Generators: a text is made once, and split into lines once, not once a block.
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.explode(F.array(text)).alias("text")).where(F.length("text") > 0)
+    rows = rows.select("doc_id", of.alias("of"), "text")
+    rows = rows.select("doc_id", "of", F.explode(F.array(F.when(F.col("of") > 1, F.split("text", "\n")).otherwise(F.array("text")))).alias("all"))
+    part = lambda b: F.struct((b * lines).alias("block"), F.array_join(F.slice("all", b.cast("int") * lines + 1, F.lit(lines)), "\n").alias("text"))
+    rows = rows.select("doc_id", "of", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), part)).alias("b"))
+    return rows.select("doc_id", "b.block", "of", "b.text")
+
+
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """documents(doc_id, text): whole files, for many small ones."""
     files = spark.read.format("text").option("wholetext", "true").load(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delimlake.operators import records
-from delimlake.sources import document_lines, scan_documents, scan_lines
+from delimlake.sources import document_blocks, document_lines, scan_documents, scan_lines
 
 CASES = [
     ("a,b\n1,2\n", [["a", "b"], ["1", "2"]]),
@@ -170,3 +170,17 @@ def test_split_whole_documents(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.sql(queries.oracle_sql()["split_whole_documents"]).fetchall()) == got
+
+
+def test_whole_documents_are_cut_where_they_stand(spark):
+    """Documents of one block need no shuffle of their text; blocks and lines give the same records, null ids included."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice('ab",\\\n') for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for lines in (1, 3, 10_000):
+        got = {(r["doc_id"], r["record_no"], *r["cells"]) for r in records.parse_records(document_blocks(docs, lines=lines), ",").collect()}
+        assert sorted({x[0] for x in got}) == sorted(str(i) for i, t in enumerate(texts) if scan(t))
+        for i, t in enumerate(texts):
+            assert [list(x[2:]) for x in sorted((x for x in got if x[0] == str(i)), key=lambda x: x[1])] == scan(t)
+    none = spark.createDataFrame([(None, "a,b"), (None, "c")], "doc_id string, text string")
+    assert sorted(r["cells"] for r in records.parse_records(document_blocks(none), ",").collect()) == [["a", "b"], ["c"]]
