@@ -50,7 +50,7 @@ KEYS = ["doc_id", "block"]
 
 def _counted(lines: DataFrame) -> DataFrame:
     """With nq (quotes that count), esc (the line break is escaped) and upto (the block's quotes up to the line)."""
-    bare = F.regexp_replace("line", r"(?s)\\.", "")
+    bare = F.when(F.contains("line", F.lit("\\")), F.regexp_replace("line", r"(?s)\\.", "")).otherwise(F.col("line"))
     rows = lines.select(*KEYS, "line_no", "line").withColumn("bare", bare)
     rows = rows.withColumns({"nq": F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit(""))), "esc": F.endswith("bare", F.lit("\\"))}).drop("bare")
     return rows.withColumn("upto", F.sum("nq").over(_so_far()))
@@ -121,10 +121,28 @@ def block_states(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
     )
 
 
-def _numbered(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """(doc_id, home, blocks, line_no, line, delim, record_no, joint): joint follows the line within its record, null
-    where the record ends; home: the number of the block where it starts."""
-    rows = rows.join(states, KEYS)
+def several_blocks(lines: DataFrame) -> DataFrame:
+    """(doc_id, block) of the documents that come in several blocks.
+
+    They are exchanged by themselves: where there are none, adaptive execution
+    sees that before it reads lines again, and leaves out what is done for them.
+    """
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    return lines.select(*KEYS).distinct().withColumn("n", n).where("n > 1").select(*KEYS).repartition(*KEYS)
+
+
+def _entered(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """Counted lines of documents of one block, with the columns of block_states."""
+    every = _block().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.lit(delimiter) if delimiter else F.max(F.when(F.col("line_no") == 0, detect_delimiter(F.col("line")))).over(every)
+    number, none = (lambda n: F.lit(n).cast("long")), F.lit(None).cast("long")
+    entry = {"no": number(0), "blocks": number(1), "delim": head, "parity": number(0), "opened": none, "folded": none, "ended": number(0), "home": number(0), "end": F.max("line_no").over(every)}
+    return _counted(lines).withColumns(entry)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(doc_id, home, blocks, line_no, line, delim, record_no, joint) of counted lines with their block's state: joint
+    follows the line within its record, null where the record ends; home: the number of the block where it starts."""
     last = F.coalesce(F.col("line_no") == F.col("end"), F.lit(False))
     rows = rows.withColumns({"a": _opens(F.col("parity")), "q": _folds(F.col("parity")) & ~last, "e": F.col("esc") & ~last})
     opened = F.greatest("opened", F.max(F.when(F.col("a"), F.col("line_no"))).over(_so_far()))
@@ -135,19 +153,31 @@ def _numbered(rows: DataFrame, states: DataFrame) -> DataFrame:
     return rows.select("doc_id", home.alias("home"), "blocks", "line_no", "line", "delim", (F.col("ended") + within).alias("record_no"), joint.alias("joint"))
 
 
-def stitch(lines: DataFrame, delimiter: str | None = None, states: DataFrame | None = None) -> DataFrame:
+def _stitched(rows: DataFrame) -> DataFrame:
+    """The records of counted lines with their block's state (see stitch)."""
+    piece = F.struct("line_no", F.concat("line", F.coalesce("joint", F.lit(""))).alias("piece"))
+    same = [F.first(c).alias(c) for c in ("blocks", "delim")]
+    parts = _numbered(rows).groupBy("doc_id", "home", "record_no").agg(F.sort_array(F.collect_list(piece)).alias("p"), *same)
+    return parts.select("doc_id", F.col("home").alias("block"), "blocks", "record_no", "delim", F.concat_ws("", F.col("p.piece")).alias("text"))
+
+
+def stitch_blocks(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """As stitch, of the blocks that have a row of block_states."""
+    return _stitched(_counted(lines).join(states, KEYS))
+
+
+def stitch(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
     """(doc_id, block, blocks, record_no, delim, text): the records of lines, uncut.
 
     block: the number of the block where the record starts, of so many of its
-    document. states: those of the blocks that are wanted, where they are known.
+    document. A document of one block is numbered where it stands.
     """
     if delimiter == "\n":
         raise ValueError("a line break can't be the delimiter")
-    rows = _numbered(_counted(lines), block_states(lines, delimiter) if states is None else states)
-    piece = F.struct("line_no", F.concat("line", F.coalesce("joint", F.lit(""))).alias("piece"))
-    same = [F.first(c).alias(c) for c in ("blocks", "delim")]
-    parts = rows.groupBy("doc_id", "home", "record_no").agg(F.array_sort(F.collect_list(piece)).alias("p"), *same)
-    return parts.select("doc_id", F.col("home").alias("block"), "blocks", "record_no", "delim", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+    lines = lines.where("doc_id is not null and block is not null")
+    many = several_blocks(lines)
+    rows = lines.join(many, KEYS, "left_semi")
+    return _stitched(_entered(lines.join(many, KEYS, "left_anti"), delimiter)).union(stitch_blocks(rows, block_states(rows, delimiter)))
 
 
 def _marked(text: Column) -> Column:
@@ -290,7 +320,8 @@ def split_cells(text: Column, delim: Column, checked: bool = False) -> Column:
     # A longer delimiter, and one that is itself a quote or backslash, cuts nothing.
     cuts = (F.length(delim) == 1) & ~delim.isin('"', "\\")
     pieces = F.transform(F.split(s, '"'), lambda x, i: F.when((i % 2 == 0) & cuts, F.replace(x, delim, F.lit(CUT))).otherwise(x))
-    cells = F.split(F.array_join(pieces, ""), CUT)
+    plain = F.when(cuts, F.replace(s, delim, F.lit(CUT))).otherwise(s)
+    cells = F.split(F.when(F.contains(text, F.lit('"')), F.array_join(pieces, "")).otherwise(plain), CUT)
     cells = F.transform(cells, lambda c: trim(F.replace(F.replace(c, F.lit(QUOTE), F.lit('"')), F.lit(DELIM), delim)))
     return cells if checked else F.when(marks, refused).otherwise(cells)
 

@@ -7,12 +7,13 @@ above it in its section.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from delimlake.operators.records import block_states, cut_records, parse_records, stitch, trim
+from delimlake.operators.records import KEYS, block_states, cut_records, parse_records, several_blocks, stitch, stitch_blocks, trim
 
 #: Row types, by their lower-case names; a row of any other type is quarantined.
 TYPES = ("header", "data", "total", "subtotal", "notes")
@@ -43,7 +44,8 @@ def route_rows(records: DataFrame, section_col: int = 0, type_col: int = 1) -> D
     rows = records.where(F.size("cells") >= 2)
     rows = rows.withColumns({"section": F.get("cells", F.lit(section_col)), "type": F.get("cells", F.lit(type_col))})
     blank = (F.coalesce("section", F.lit("")) == "") | (F.coalesce("type", F.lit("")) == "")
-    name = F.lower("type")
+    # The names of TYPES have no other upper case than that of A-Z.
+    name = F.translate("type", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     kind = F.when(blank, "unkeyed").when(name.isin(*TYPES), name).otherwise("other")
     payload = F.slice("cells", F.lit(at), F.greatest(F.size("cells") - at + 1, F.lit(0)))
     return rows.select("doc_id", "block", "blocks", "record_no", "cells", "section", kind.alias("kind"), payload.alias("payload"))
@@ -80,28 +82,35 @@ def bind_headers(routed: DataFrame, heads: DataFrame | None = None) -> DataFrame
     return rows.withColumn("names", F.when(F.col("kind").isin(*ROWS), F.coalesce("names", "carried"))).drop("carried")
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is worked out once however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def row_map(names: Column, values: Column, raw: bool = False) -> Column:
     """Names to values, to the longer length: col_i for a missing or blank name, '' for a missing
     value; of a repeated name the last value stays. raw adds the values as JSON under _raw."""
-    names = F.coalesce(names, F.array().cast("array<string>"))
-    n = F.greatest(F.size(names), F.size(values))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    ks = F.transform(places, lambda i: F.coalesce(F.nullif(F.get(names, i), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
-    vs = F.transform(places, lambda i: F.coalesce(F.get(values, i), F.lit("")))
+    names, values_ = (F.coalesce(c, F.array().cast("array<string>")) for c in (names, values))
+    pairs = F.arrays_zip(names.alias("k"), values_.alias("v"))  # as long as the longer one
+    named = lambda k, i, v: F.struct(k.alias("k"), i.alias("i"), v.alias("v"))
+    cell = lambda p, i: named(F.when(p["k"] != "", p["k"]).otherwise(F.concat(F.lit("col_"), i.cast("string"))), i, F.coalesce(p["v"], F.lit("")))
+    cells = F.transform(pairs, cell)
     if raw:
-        ks, vs = F.concat(ks, F.array(F.lit(RAW))), F.concat(vs, F.array(F.to_json(values)))
-    # Of each name the last place: the sorted places, each beside the next.
-    sorted_ = F.array_sort(F.transform(F.arrays_zip(ks.alias("k"), vs.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
-    pairs = F.arrays_zip(sorted_.alias("x"), F.slice(sorted_, F.lit(2), F.greatest(F.size(ks), F.lit(1))).alias("next"))
-    kept = F.filter(pairs, lambda p: p["next"].isNull() | (p["next"]["k"] != p["x"]["k"]))
-    unique = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["x"]["k"], p["x"]["v"])))
-    return F.when(F.size(F.array_distinct(ks)) == F.size(ks), F.map_from_arrays(ks, vs)).otherwise(unique)
+        cells = F.concat(cells, F.array(named(F.lit(RAW), F.size(pairs), F.to_json(values))))
+    ks = lambda cs: F.transform(cs, lambda c: c["k"])
+    pick = lambda cs: F.map_from_arrays(ks(cs), F.transform(cs, lambda c: c["v"]))
+    # Of each name the last place: the cells by name and place, where the next has another name.
+    last = lambda cs: F.filter(cs, lambda c, i: F.coalesce(F.get(cs, i + 1)["k"] != c["k"], F.lit(True)))
+    unique = lambda cs: _once(_once(F.sort_array(cs), last), pick)
+    return _once(cells, lambda cs: F.when(F.size(F.array_distinct(ks(cs))) == F.size(cs), pick(cs)).otherwise(unique(cs)))
 
 
 def section_rows(bound: DataFrame, raw: bool = False) -> DataFrame:
     """(doc_id, section, record_no, kind, row, raw): data, total and subtotal rows, with names, as maps."""
     rows = bound.where(F.col("kind").isin(*ROWS))
-    return rows.select("doc_id", "section", "record_no", "kind", row_map(F.col("names"), F.col("payload"), raw).alias("row"), F.to_json("payload").alias("raw"))
+    # A generator: what later steps ask of a row (and the filters Spark adds to theirs) doesn't make its map again.
+    row = F.explode(F.array(row_map(F.col("names"), F.col("payload"), raw)))
+    return rows.select("doc_id", "section", "record_no", "kind", row.alias("row"), F.to_json("payload").alias("raw"))
 
 
 def section_notes(routed: DataFrame) -> DataFrame:
@@ -122,10 +131,11 @@ def _may_be_header(text: Column) -> Column:
 
 def bound_records(lines: DataFrame, section_col: int = 0, type_col: int = 1) -> DataFrame:
     """The routed records of comma-delimited reports, with the names of their rows (see route_rows and bind_headers)."""
-    states = block_states(lines, ",")
-    routed = route_rows(cut_records(stitch(lines, ",", states)), section_col, type_col)
+    routed = route_rows(cut_records(stitch(lines, ",")), section_col, type_col)
     # Headers that other blocks may need: of all blocks but the last, and the parts of records that go on.
-    earlier = stitch(lines, ",", states.where("no < blocks - 1 or home < no"))
+    lines = lines.where("doc_id is not null and block is not null")
+    lines = lines.join(several_blocks(lines), KEYS, "left_semi")
+    earlier = stitch_blocks(lines, block_states(lines, ",").where("no < blocks - 1 or home < no"))
     heads = route_rows(cut_records(earlier.where(_may_be_header(F.col("text")))), section_col, type_col)
     # Both sides of a join come from the same lines: one has columns of its own.
     return bind_headers(routed, heads.select(*[F.col(c).alias(c) for c in heads.columns]))

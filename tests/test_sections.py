@@ -153,3 +153,14 @@ def test_written_sections_are_all_read_back(spark, tmp_path):
     got = queries.write_sections(spark, f"file://{tmp_path}")
     assert sorted(tuple(r) for r in got.select("doc_id", "section", "key").collect()) == sorted((str(c), s, str(k)) for c, k, s in rows)
     assert {(r["doc_id"], r["section"]): r["n"] for r in queries.written_sections(spark, f"file://{tmp_path}").collect()} == {("1", "F"): 1, ("1", "O"): 1, ("2", "P"): 1, ("2", "F"): 1}
+
+
+def test_documents_of_one_block_are_parsed_where_they_stand(spark):
+    """No join is left for them in the plan that ran, and what Spark asks of a row's map doesn't make it again."""
+    texts = [("d", "X,Header,a,a,b\nX,Data,1,2,3"), ("e", 'X,Data,"1\n2",3')]
+    lines = document_lines(spark.createDataFrame(texts, "doc_id string, text string"))
+    found = sections.parse_report(lines).section_rows.select("doc_id", F.explode("row"))
+    assert sorted(map(tuple, found.collect())) == [("d", "a", "2"), ("d", "b", "3"), ("e", "col_0", "1 2"), ("e", "col_1", "3")]
+    ran = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in ran
+    assert sum("map_from_arrays" in x for x in ran.split("\n")) == 1
