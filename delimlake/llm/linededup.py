@@ -24,8 +24,8 @@ CHARS, PERCENT = 8, 75
 #: At the threshold a band of 4 matches with 0.32, one of 16 bands with 0.998.
 BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
-#: Characters that are hashed at once (or one longer line).
-BLOCK = 1 << 19
+#: Characters that are hashed at once (or one longer line): what stays in a core's cache.
+BLOCK = 1 << 17
 #: Bytes of a line, about: only for the number of key ranges.
 LINE_BYTES = 128
 #: Line break, and white space that does not count at the ends of a line.
@@ -129,16 +129,17 @@ def band_keys(lines: list[str]) -> np.ndarray:
     out = []
     for i, j in _blocks(lines):
         least = _minima(lines[i:j])
-        empty = least == np.iinfo(np.uint64).max
-        full = least.copy()
-        bins = np.arange(BINS)
+        full = least.ravel().copy()
+        at = np.flatnonzero(full == np.iinfo(np.uint64).max)
+        line, bins = at - at % BINS, at % BINS
         for shift in _SHIFTS:  # an empty bin takes the value of another, in a fixed order
-            if not (row := np.flatnonzero(empty.any(axis=1))).size:
+            if not at.size:
                 break
-            other = (bins + shift) % BINS
-            take = empty[row] & (least[row][:, other] != np.iinfo(np.uint64).max)
-            full[row] = np.where(take, least[row][:, other], full[row])
-            empty[row] &= ~take
+            value = least.ravel()[line + (bins + shift) % BINS]
+            full[at] = value
+            left = np.flatnonzero(value == np.iinfo(np.uint64).max)
+            at, line, bins = at[left], line[left], bins[left]
+        full = full.reshape(least.shape)
         keys = np.full((j - i, BANDS), 0, np.uint64)
         for r in range(ROWS):
             keys = cooccur.mix64(keys * _MULT + full[:, r::ROWS] + np.uint64(r + 1))

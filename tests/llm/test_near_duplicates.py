@@ -429,3 +429,21 @@ def test_distinct_postings(share):
     keys, nodes = rng.integers(0, share, 5000).astype(np.uint64), rng.integers(-50, 50, 5000)
     got = list(zip(*(x.tolist() for x in cooccur._distinct(keys, nodes)), strict=True))
     assert got == sorted(set(zip(keys.tolist(), nodes.tolist(), strict=True)))
+
+
+def test_band_keys_are_those_of_bins_filled_one_by_one():
+    """Keys are those of bins filled one by one, and no more is hashed at once than a cache holds."""
+    lines = [f"{i:09d}" for i in range(9000)] + ["ab", "", "x" * 300, "é" * 30, "some words of a longer line " * 20]
+    empty = np.iinfo(np.uint64).max
+    few = lines[-8:]
+    full = linededup._minima(few)
+    for row, least in zip(full, full.copy(), strict=True):
+        for b in np.flatnonzero(least == empty):
+            row[b] = next((x for s in linededup._SHIFTS if (x := least[(b + s) % linededup.BINS]) != empty), empty)
+    keys = np.zeros((len(few), linededup.BANDS), np.uint64)
+    for r in range(linededup.ROWS):
+        keys = cooccur.mix64(keys * linededup._MULT + full[:, r :: linededup.ROWS] + np.uint64(r + 1))
+    want = cooccur.mix64(keys + np.arange(1, linededup.BANDS + 1, dtype=np.uint64) * linededup._MULT)
+    assert np.array_equal(linededup.band_keys(few), want)
+    lines = lines * 9
+    assert max(sum(map(len, lines[i:j])) for i, j in linededup._blocks(lines)) <= 1 << 17
