@@ -64,14 +64,18 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(keys)))
 
 
+def cut_keys(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Keys (uint64, well spread) as they come out: a key's range and its last 32 bits."""
+    bits = ranges.bit_length() - 1
+    return ((keys >> np.uint64(64 - bits)) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
 def chunks(keys: np.ndarray, nodes: np.ndarray, ranges: int, turn: int = 0) -> list[tuple]:
     """Rows of CHUNK for a batch: keys (uint64, well spread) and nodes (int64, not 0).
 
     A key is cut to its range and its last 32 bits: a few keys may thereby look
     shared, at the same rate for every size of input."""
-    bits = ranges.bit_length() - 1
-    cut = ((keys >> np.uint64(64 - bits)) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-    cut, nodes = _distinct(cut, nodes)
+    cut, nodes = _distinct(cut_keys(keys, ranges), nodes)
     at, n = _runs(cut)
     many = np.repeat(n > 1, n)
     out = []

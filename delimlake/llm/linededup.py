@@ -10,10 +10,12 @@ the first line in the order of documents stays.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from delimlake.llm import cooccur
 from delimlake.llm.common import attach, cut, drop, recut
@@ -154,52 +156,106 @@ def band_pieces(lines: list[str]):
         yield band_keys(part).ravel(), np.repeat(refs_of([line_id(x) for x in part]), BANDS)
 
 
+def copy_keys(refs: np.ndarray) -> np.ndarray:
+    """A key for each line itself, odd; those of bands are made even."""
+    return cooccur.mix64(refs.astype(np.uint64)) | np.uint64(1)
+
+
 def band_posts(docs: DataFrame, text: str, ranges: int) -> DataFrame:
-    """(key, ref): bands that several different lines share."""
+    """(key, ref): bands that several different lines share (even keys), and with ref 0 the lines that stand at several
+    places (odd ones)."""
 
     def postings(batches):
-        for b in batches:
-            lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
-            yield from band_pieces(lines)
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for turn, b in enumerate(batches):
+            seen = Counter(x for t in b.column(0).to_pylist() for x in text_lines(t))
+            several, at = np.fromiter(seen.values(), np.int64, len(seen)) > 1, 0
+            here = np.int64((task << 32) + turn + 1)  # a line that two batches hold, or one holds twice, has two nodes
+            for keys, refs in band_pieces(list(seen)):
+                yield keys & ~np.uint64(1), refs
+                own = copy_keys(refs[::BANDS])
+                twice = own[several[at : at + len(own)]]
+                at += len(own)
+                yield np.concatenate([own, twice]), np.repeat([here, -here], [len(own), len(twice)])
 
     def run(batches):
         yield from cooccur.chunk_batches(postings(batches), ranges)
 
     chunks = docs.select(F.col(text).cast("string")).mapInArrow(run, cooccur.CHUNK)
-    return cooccur.shared(chunks).select("key", F.col("node").alias("ref")).distinct()
+    ref = F.when(F.col("key") % 2 == 0, F.col("node")).otherwise(0)
+    return cooccur.shared(chunks).select("key", ref.alias("ref")).distinct()
+
 
+def one_of_equal(posts: DataFrame) -> DataFrame:
+    """posts(key, ref), each once, without the keys that hold the same lines as another: those make no further pair.
+    Sets of lines are told by their sizes and 128 bits."""
+    sums = [F.bit_xor(F.xxhash64("ref", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    sets = posts.groupBy("key").agg(*sums, F.count("*").alias("held")).groupBy("h0", "h1", "held")
+    return attach(posts, sets.agg(F.min("key").alias("key")).select("key"), ["key"], "left_semi")
 
-def line_texts(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
-    """(node: line id, ref, data: the line, n: size of its shingle set) of the different lines that the bitmap lets pass."""
+
+def line_places(docs: DataFrame, ident: str, text: str, table: np.ndarray, ranges: int) -> DataFrame:
+    """(none, id, text, lines, pos, node, ref, data, n): the places of the lines that the bitmap lets pass, by their own
+    key or one of their bands. node: line id; of the latter lines each batch has once data, the line, and n, the size of
+    its shingle set. A row without pos for each text with lines says how many lines count."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    rows = docs.select(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.xxhash64(text).alias("text"), F.col(text).cast("string").alias("line"))
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
         for b in batches:
-            lines = list(dict.fromkeys(x for t in b.column(0).to_pylist() for x in text_lines(t)))
+            no: dict[str, int] = {}
+            row, pos, which = [], [], []
+            for i, t in enumerate(b.column(3).to_pylist()):
+                for p, line in enumerate((t or "").split(BREAK)):
+                    if line := line.strip(BLANK):
+                        row.append(i)
+                        pos.append(p)
+                        which.append(no.setdefault(line, len(no)))
+            if not no:
+                continue
+            lines = list(no)
             ids = [line_id(x) for x in lines]
             refs = refs_of(ids)
-            keep = np.flatnonzero(cooccur.in_bitmap(refs, shared.value)) if lines else []
-            if len(keep):
-                arrays = [pa.array([ids[i] for i in keep], pa.binary()), pa.array(refs[keep]), pa.array([lines[i].encode() for i in keep], pa.binary())]
-                arrays.append(pa.array([len(shingles(lines[i])) for i in keep], pa.int64()))
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "ref", "data", "n"])
-
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node binary, ref long, data binary, n long").dropDuplicates(["node"])
-
-
-def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(node, label) of lines (by id) that are fuzzy duplicates of others; all but one of a component have a row."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    posts = cut(band_posts(docs, text, cooccur.ranges_for(size // LINE_BYTES * BANDS)))
+            banded = cooccur.in_bitmap(refs, shared.value)
+            passed = banded | cooccur.in_bitmap(cooccur.cut_keys(copy_keys(refs), ranges).astype(np.int64), shared.value)
+            row, pos, which = np.array(row), np.array(pos, np.int32), np.array(which)
+            texts, lines_of = np.unique(row, return_counts=True)
+            counted = [b.column(i).take(pa.array(texts)) for i in range(3)] + [pa.array(lines_of.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*counted, *(pa.nulls(len(texts), t) for t in kinds)], names=names)
+            at = np.flatnonzero(passed[which])
+            if not len(at):
+                continue
+            row, pos, which = row[at], pos[at], which[at]
+            _, first = np.unique(which, return_index=True)
+            told = np.zeros(len(at), bool)
+            told[first] = banded[which[first]]
+            data = [lines[k].encode() if x else None for k, x in zip(which.tolist(), told.tolist(), strict=True)]
+            n = [len(shingles(lines[k])) if x else None for k, x in zip(which.tolist(), told.tolist(), strict=True)]
+            held = [pos, [ids[k] for k in which.tolist()], refs[which], data, n]
+            arrays = [*(b.column(i).take(pa.array(row)) for i in range(3)), pa.nulls(len(at), pa.int32()), *(pa.array(x, t) for x, t in zip(held, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    kind = T.StructType(rows.schema.fields[:3])
+    for name, of in (("lines", T.IntegerType()), ("pos", T.IntegerType()), ("node", T.BinaryType()), ("ref", T.LongType()), ("data", T.BinaryType()), ("n", T.LongType())):
+        kind = kind.add(name, of)
+    names = kind.names
+    return rows.mapInArrow(run, kind)
+
+
+def line_labels(posts: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, label) of lines(node, ref, data, n) that are fuzzy duplicates of others, by bands (key, ref); all but one of
+    a component have a row."""
     if posts.isEmpty():
         return posts.select(F.lit(b"").alias("node"), F.lit(b"").alias("label")).limit(0)
-    lines = line_texts(docs, text, cooccur.bitmap(posts, "ref"))
     # Within the search a line is a number: short, and never two lines'.
-    lines = cut(lines.withColumn("no", F.monotonically_increasing_id()))
-    named = attach(posts, lines.groupBy("ref").agg(F.collect_list("no").alias("nodes")), ["ref"], "inner")
-    named = recut(named.select("key", F.explode("nodes").alias("gid")), posts)
+    lines = cut(lines.dropDuplicates(["node"]).withColumn("no", F.monotonically_increasing_id()))
+    named = attach(one_of_equal(posts), lines.groupBy("ref").agg(F.collect_list("no").alias("nodes")), ["ref"], "inner")
+    named = cut(named.select("key", F.explode("nodes").alias("gid")))
     members = lines.select(F.col("no").alias("gid"), F.col("no").alias("node"), "n").join(named.select("gid").distinct(), "gid", "left_semi")
     found = resolve(named, members, lines.select(F.col("no").alias("node"), "data"), LineSets(percent), few_keys=True)
     names = lines.select("no", "node")
@@ -208,37 +264,37 @@ def line_labels(docs: DataFrame, text: str = "text", percent: int = PERCENT) ->
     return recut(out, lines, named)
 
 
-def kept_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with __n_lines (lines that are not blank) and __kept (the positions that stay of them, from 0, among all).
+def gone_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs with __n_lines (lines that are not blank) and __gone (the positions that go of them, from 0, among all).
 
     Of the lines of a component, the first stays: smallest ident (null last),
     then a hash of the text, then the position. Blank lines always stay.
     """
-    labels = line_labels(docs, text, percent)
-    content = F.xxhash64(F.col(text))
-    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.btrim(F.col("line"), F.lit(BLANK))
-    each = docs.select(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), content.alias("text"), F.posexplode(F.split(F.col(text), BREAK)).alias("pos", "line")).where(line != "")
-    each = each.select(F.struct("none", "id", "text", "pos").alias("at"), F.unhex(F.md5(line.cast("binary"))).alias("node"))
-    firsts = each.groupBy("node").agg(F.min("at").alias("at"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = cooccur.ranges_for(size // LINE_BYTES * BANDS)
+    posts = cut(band_posts(docs, text, ranges))
+    bands = posts.where("key % 2 = 0")
+    # What stands at one place and shares no band is the first of its component: it takes no part.
+    table = cooccur.bitmap(posts.select(F.when(F.col("key") % 2 == 0, F.col("ref")).otherwise(F.col("key")).alias("node")))
+    places = cut(line_places(docs, ident, text, table, ranges))
+    labels = line_labels(bands, places.where("data is not null").select("node", "ref", "data", "n"), percent)
+    drop(posts)
+    firsts = places.where("pos is not null").groupBy("node").agg(F.min(F.struct("none", "id", "text", "pos")).alias("at"))
     firsts = firsts.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("at").alias("at"))
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keys = ["__null", "__id", "__text"]
-    stay = firsts.select("at.*").select(F.col("none").alias("__null"), told("id").alias("__id"), F.col("text").alias("__text"), "pos")
-    stay = stay.groupBy(*keys).agg(F.collect_list("pos").alias("__kept"))
-    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__text": content})
-    out = named.join(stay, keys, "left").drop(*keys)
-    lines = F.split(F.col(text), BREAK)
-    # Only a text with white space at the start of a line can hold lines of white space alone.
-    some = F.substring(F.col(text), 1, 1).isin(*BLANK)
-    for c in BLANK:
-        some = some | F.contains(F.col(text), F.lit(BREAK + c))
-    worded = F.when(some, F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != ""))).otherwise(F.size(F.array_remove(lines, "")))
-    n = F.when(F.col(text).isNull(), 0).otherwise(worded)
-    return out.withColumns({"__kept": F.coalesce("__kept", F.array().cast("array<int>")), "__n_lines": n})
-
-
-def cut_lines(text: Column, kept: Column) -> Column:
-    """The text with its blank lines and the lines at the kept positions alone."""
+    keyed = lambda rows, *more: rows.select(F.col("none").alias("__null"), told("id").alias("__id"), F.col("text").alias("__text"), *more)
+    none = F.lit(None).cast("int")
+    each = keyed(places, "lines", "pos", none.alias("stays")).union(keyed(firsts.select("at.*"), none.alias("lines"), none.alias("pos"), F.col("pos").alias("stays")))
+    gone = F.array_except(F.collect_list("pos"), F.collect_list("stays"))
+    each = each.groupBy(*keys).agg(F.max("lines").alias("__n_lines"), gone.alias("__gone"))
+    named = docs.withColumns({"__null": F.col(ident).isNull(), "__id": told(ident), "__text": F.xxhash64(text)})
+    out = named.join(each.hint("shuffle_hash"), keys, "left").drop(*keys)  # texts need not be sorted
+    return out.withColumns({"__gone": F.coalesce("__gone", F.array().cast("array<int>")), "__n_lines": F.coalesce("__n_lines", F.lit(0))})
+
+
+def cut_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at those positions."""
 
     def run(texts, positions):
         import pyarrow as pa
@@ -248,11 +304,11 @@ def cut_lines(text: Column, kept: Column) -> Column:
             if t is None:
                 out.append(None)
                 continue
-            stay, lines = set(p), t.split(BREAK)
-            out.append(BREAK.join(x for i, x in enumerate(lines) if i in stay or not x.strip(BLANK)))
+            go = set(p)
+            out.append(BREAK.join(x for i, x in enumerate(t.split(BREAK)) if i not in go))
         return pa.array(out, pa.string())
 
-    return F.arrow_udf(run, "string")(text, kept)
+    return F.arrow_udf(run, "string")(text, gone)
 
 
 def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -263,9 +319,9 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", p
     Rows that agree in ident and text keep the same lines. Other columns are
     kept; n_lines and n_kept of docs, if any, are replaced.
     """
-    rows = kept_lines(docs.drop("n_lines", "n_kept"), ident=ident, text=text, percent=percent)
-    rows = rows.withColumns({"n_lines": F.col("__n_lines").cast("long"), "n_kept": F.size("__kept").cast("long")})
+    rows = gone_lines(docs.drop("n_lines", "n_kept"), ident=ident, text=text, percent=percent)
+    rows = rows.withColumns({"n_lines": F.col("__n_lines").cast("long"), "n_kept": (F.col("__n_lines") - F.size("__gone")).cast("long")})
     # Only texts that lose lines travel to Python.
     changed = F.col("n_kept") < F.col("n_lines")
-    cut = cut_lines(F.when(changed, F.col(text)), F.when(changed, F.col("__kept")))
-    return rows.withColumn(text, F.when(changed, cut).otherwise(F.col(text))).drop("__n_lines", "__kept")
+    cut = cut_lines(F.when(changed, F.col(text)), F.when(changed, F.col("__gone")))
+    return rows.withColumn(text, F.when(changed, cut).otherwise(F.col(text))).drop("__n_lines", "__gone")

@@ -447,3 +447,46 @@ def test_band_keys_are_those_of_bins_filled_one_by_one():
     assert np.array_equal(linededup.band_keys(few), want)
     lines = lines * 9
     assert max(sum(map(len, lines[i:j])) for i, j in linededup._blocks(lines)) <= 1 << 17
+
+
+def test_lines_that_share_many_bands_meet_at_one_key(spark, monkeypatch):
+    """Keys that hold the same lines as another do not go through the search; what meets still does."""
+    rng = random.Random(12)
+    whole = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(150)).strip() for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"{x}\n{x[:-1]}!\n{x[:-2]}?!") for i, x in enumerate(whole)], "doc_id long, text string")
+    seen = []
+
+    def resolve(posts, *a, **b):
+        seen.append([(r["key"], r["gid"]) for r in posts.collect()])
+        return links.resolve(posts, *a, **b)
+
+    monkeypatch.setattr(linededup, "resolve", resolve)
+    assert [r["text"] for r in linededup.dedup_lines(docs).orderBy("doc_id").collect()] == whole
+    held: dict = {}
+    for key, node in seen[0]:
+        held.setdefault(key, set()).add(node)
+    assert len({frozenset(x) for x in held.values()}) == len(held)
+
+
+def test_lines_that_stand_once_take_no_part(spark, monkeypatch):
+    """Copies are found within a text, a batch, and across batches and tasks; other lines are not carried along."""
+    rng = random.Random(13)
+    line = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    own, text, both, every = [line() for _ in range(60)], line(), line(), line()
+    rows = [(i, "\n".join([own[i], *[text, f" {text}"] * (i == 7), *[both] * (i in (3, 55)), "", *[every] * (i % 9 == 0)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held, cut = [], linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df: held.append(cut(df)) or held[-1])
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = linededup.dedup_lines(docs).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for r in got:
+        i = r["doc_id"]
+        assert r["text"] == "\n".join([own[i], *[text] * (i == 7), *[both] * (i == 3), "", *[every] * (i == 0)])
+        assert r["n_lines"] == 1 + 2 * (i == 7) + (i in (3, 55)) + (i % 9 == 0)
+        assert r["n_kept"] == 1 + (i == 7) + (i == 3) + (i == 0)
+    places = next(x for x in held if "pos" in x.columns).where("pos is not null")
+    assert places.count() == 2 + 2 + 7
